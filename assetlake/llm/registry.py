@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .decontamination import op10_decontamination
+from .language_id import op7_language_id
 from .quality_rules import op5_quality_rules
+from .toxicity import op2_toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
         "op5_quality_rules": op5_quality_rules,
+        "op7_language_id": op7_language_id,
         "op10_decontamination": op10_decontamination,
     }
 
