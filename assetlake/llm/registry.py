@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontamination import op10_decontamination
 from .language_id import op7_language_id
+from .lm_scoring import op3_lm_scoring
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op5_quality_rules
 from .toxicity import op2_toxicity
 
@@ -11,8 +13,10 @@ from .toxicity import op2_toxicity
 def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
+        "op3_lm_scoring": op3_lm_scoring,
         "op5_quality_rules": op5_quality_rules,
         "op7_language_id": op7_language_id,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_decontamination": op10_decontamination,
     }
 
