@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op10_decontamination
 from .language_id import op7_language_id
 from .lm_scoring import op3_lm_scoring
+from .near_dedup import op8_near_dedup
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op5_quality_rules
 from .toxicity import op2_toxicity
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op3_lm_scoring": op3_lm_scoring,
         "op5_quality_rules": op5_quality_rules,
         "op7_language_id": op7_language_id,
+        "op8_near_dedup": op8_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_decontamination": op10_decontamination,
     }
