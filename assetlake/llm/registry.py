@@ -6,8 +6,10 @@ from .decontamination import op10_decontamination
 from .language_id import op7_language_id
 from .lm_scoring import op3_lm_scoring
 from .near_dedup import op8_near_dedup
+from .packing import op4_packing
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op5_quality_rules
+from .token_output import op6_token_output
 from .toxicity import op2_toxicity
 
 
@@ -15,7 +17,9 @@ def queries() -> dict:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_lm_scoring": op3_lm_scoring,
+        "op4_packing": op4_packing,
         "op5_quality_rules": op5_quality_rules,
+        "op6_token_output": op6_token_output,
         "op7_language_id": op7_language_id,
         "op8_near_dedup": op8_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
