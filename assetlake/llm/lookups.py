@@ -67,7 +67,7 @@ def packed(docs: DataFrame) -> DataFrame:
     text = docs.columns.index("text")
 
     def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         for chunk, rows in chunks(batches, text):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
