@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op10_decontamination
 from .language_id import op7_language_id
+from .license_scan import op1_license_scan
 from .lm_scoring import op3_lm_scoring
 from .near_dedup import op8_near_dedup
 from .packing import op4_packing
@@ -15,6 +16,7 @@ from .toxicity import op2_toxicity
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_toxicity": op2_toxicity,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_packing": op4_packing,
