@@ -1 +1,97 @@
-ORACLES: dict[str, str] = {}
+"""The queries in DuckDB SQL. Binary content is handled as hexadecimal text."""
+
+from __future__ import annotations
+
+from .fixtures import ASSETS_SQL, PIXELS_SQL
+
+_ASSETS = f"""WITH assets AS ({ASSETS_SQL}),
+sniffed AS (SELECT *, length(chex) // 2 AS length, CASE WHEN length(chex) <= 24 THEN NULL
+  WHEN chex LIKE '89504E470D0A1A0A%' THEN 'png' WHEN chex LIKE 'FFD8FF%' THEN 'jpeg'
+  WHEN chex LIKE '474946383761%' OR chex LIKE '474946383961%' THEN 'gif' END AS kind FROM assets),
+named AS (SELECT *, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'gif' THEN 'gif' WHEN 'jpg' THEN 'jpeg' WHEN 'jpeg' THEN 'jpeg' WHEN 'png' THEN 'png' END AS name_kind FROM sniffed),
+raw_size AS (SELECT *, CASE
+    WHEN kind = 'gif' THEN cast('0x' || substr(chex,15,2) || substr(chex,13,2) AS bigint)
+    WHEN kind = 'png' AND length > 24 AND substr(chex,25,8) = '49484452' THEN cast('0x' || substr(chex,33,8) AS bigint)
+    WHEN kind = 'jpeg' AND length > 29 AND substr(chex,41,4) = 'FFC0' THEN cast('0x' || substr(chex,55,4) AS bigint) END AS rw, CASE
+    WHEN kind = 'gif' THEN cast('0x' || substr(chex,19,2) || substr(chex,17,2) AS bigint)
+    WHEN kind = 'png' AND length > 24 AND substr(chex,25,8) = '49484452' THEN cast('0x' || substr(chex,41,8) AS bigint)
+    WHEN kind = 'jpeg' AND length > 29 AND substr(chex,41,4) = 'FFC0' THEN cast('0x' || substr(chex,51,4) AS bigint) END AS rh FROM named),
+sized AS (SELECT *, CASE WHEN rw > 0 AND rh > 0 THEN rw END AS width, CASE WHEN rw > 0 AND rh > 0 THEN rh END AS height FROM raw_size),
+classified AS (SELECT *, CASE WHEN length = 0 THEN 'empty file' WHEN kind IS NULL THEN 'invalid format' WHEN kind = 'jpeg' THEN 'skipped'
+  WHEN width IS NULL THEN 'invalid format' WHEN width * height > 2000000 THEN 'too big' ELSE 'ok' END AS status FROM sized)
+"""
+_BYTES = """WITH bytes AS (SELECT doc_id, cast('0x' || substr(h, 2 * i - 1, 2) AS int) AS sym
+  FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))),
+hist AS (SELECT doc_id, sym, count(*) AS n FROM bytes GROUP BY ALL),
+totals AS (SELECT doc_id, octet_length(encode(text)) AS n_bytes FROM documents WHERE text IS NOT NULL),
+costs AS (SELECT t.doc_id, t.n_bytes, 8 * t.n_bytes + 40 * ((t.n_bytes + 65534) // 65535) AS raw_bits,
+   cast(7 + coalesce(sum(n * CASE WHEN sym <= 143 THEN 8 ELSE 9 END), 0) AS bigint) AS fixed_bits,
+   cast(ceil(round(log2(t.n_bytes + 1) + coalesce(sum(n * (log2(t.n_bytes + 1) - log2(n))), 0), 3) + 71 + 4 * (count(sym) + 1)) AS bigint) AS adaptive_bits
+  FROM totals t LEFT JOIN hist h ON t.doc_id = h.doc_id GROUP BY t.doc_id, t.n_bytes)
+"""
+_PIXELS = f"""WITH pixels AS ({PIXELS_SQL}),
+lagged AS (SELECT *, lag(color) OVER (PARTITION BY asset_id, pos ORDER BY frame_no) AS was FROM pixels),
+delta AS (SELECT *, frame_no = 0 OR was IS DISTINCT FROM color AS changed FROM lagged),
+palettes AS (SELECT asset_id, frame_no, list_sort(list(DISTINCT coalesce(color, -1))) AS palette FROM pixels GROUP BY ALL),
+resets AS (SELECT asset_id, frame_no, any_value(frame_no) > 0 AND (bool_or(color IS NULL AND was IS NOT NULL) OR bool_and(changed)) AS resets, bool_or(color IS NULL) AS clear FROM delta GROUP BY asset_id, frame_no),
+disposal AS (SELECT asset_id, frame_no, CASE WHEN coalesce(lead(resets) OVER w, false) OR (lead(frame_no) OVER w IS NULL AND frame_no > 0 AND first_value(clear) OVER w)
+  THEN 'background' ELSE 'keep' END AS dispose FROM resets WINDOW w AS (PARTITION BY asset_id ORDER BY frame_no))
+"""
+_COMMENTS = "(octet_length(encode(html)) + 59999) // 60000"
+_GIF_BLOCKS = "(octet_length(encode(html)) + 254) // 255"
+
+ORACLES: dict[str, str] = {
+    "path_union": _ASSETS + "SELECT path FROM assets UNION SELECT '/assets/' || (doc_id % 13)::varchar || '/' || doc_id::varchar || '.gif' FROM labels",
+    "rewritten_assets": _ASSETS + ", r AS (SELECT path, kind, length AS before, length - CASE WHEN doc_id % 3 = 0 THEN 0 ELSE length // 10 END AS after FROM classified WHERE status = 'ok') SELECT * FROM r WHERE after < before",
+    "manifest_rows": "SELECT sha256(text) AS hash, './docs/' || doc_id::varchar || '.txt' AS path FROM documents",
+    "pending_export": _ASSETS + "SELECT path AS value FROM assets WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "ext_kind": _ASSETS + "SELECT path, name_kind AS kind FROM named",
+    "sniff_kind": _ASSETS + "SELECT doc_id, kind FROM sniffed",
+    "gif_dimensions": _ASSETS + "SELECT doc_id, width, height FROM sized WHERE kind = 'gif' AND width IS NOT NULL",
+    "png_dimensions": _ASSETS + "SELECT doc_id, width, height FROM sized WHERE kind = 'png' AND width IS NOT NULL",
+    "jpeg_dimensions": _ASSETS + "SELECT doc_id, width, height FROM sized WHERE kind = 'jpeg' AND width IS NOT NULL",
+    "png_color_type": _ASSETS + "SELECT doc_id, CASE substr(chex,51,2) WHEN '00' THEN 'grey' WHEN '02' THEN 'rgb' WHEN '03' THEN 'palette' WHEN '04' THEN 'grey alpha' WHEN '06' THEN 'rgba' END AS color_type FROM sniffed WHERE kind = 'png' AND substr(chex,25,8) = '49484452' AND substr(chex,51,2) IN ('00','02','03','04','06')",
+    "pixel_limit": "SELECT o_orderkey, CASE WHEN v BETWEEN 1 AND 4294967295 THEN v END AS pixels FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey * 1000 WHEN 1 THEN o_orderkey * 1000000 WHEN 2 THEN o_orderkey * 1000000000 WHEN 3 THEN NULL ELSE o_orderkey END AS v FROM (SELECT o_orderkey::bigint AS o_orderkey FROM orders))",
+    "resolution_filter": _ASSETS + "SELECT doc_id, width, height FROM sized WHERE width * height BETWEEN 1 AND 2000000",
+    "kind_filter": _ASSETS + "SELECT doc_id, kind FROM sniffed WHERE kind IN ('gif', 'png')",
+    "classify": _ASSETS + "SELECT doc_id, kind, status, length FROM classified",
+    "kind_mismatch": _ASSETS + "SELECT path, name_kind, kind AS content_kind FROM named WHERE name_kind IS DISTINCT FROM kind",
+    "effort_budget": _ASSETS + "SELECT doc_id, CASE WHEN length < 200000 THEN 60 ELSE 20 END AS rounds, CASE WHEN width * height > 65535 THEN width WHEN width * height > 32767 THEN 2 ELSE 1 END AS lzw_step FROM sized WHERE width IS NOT NULL",
+    "reportable_failures": _ASSETS + "SELECT path, status FROM classified WHERE status NOT IN ('ok', 'skipped') AND name_kind IN ('gif', 'png')",
+    "strip_metadata": f"""WITH p AS (SELECT page_id, octet_length(encode(html)) AS n FROM pages WHERE html IS NOT NULL AND html != ''),
+      q AS (SELECT page_id, n, (n + 59999) // 60000 AS c, (n + 254) // 255 AS b FROM p)
+      SELECT '/pages/' || page_id::varchar || '.jpg' AS path, 54 + n + 4 * c AS before, 54 AS after, lower('FFD8FFE000104A46494600010100000100010000FFC00011080020001003011100021101031101FFDA0008010100003F00D2CF20FFD9') AS content FROM q
+      UNION ALL SELECT '/pages/' || page_id::varchar || '.gif', 29 + 3 + n + b, 29, lower('474946383961100020000000002C00000000100020000002024C01003B') FROM q""",
+    "metadata_inventory": f"SELECT 254 AS marker, cast(sum({_COMMENTS}) AS bigint) AS segments, cast(sum(octet_length(encode(html)) + 4 * ({_COMMENTS})) AS bigint) AS bytes, count(*) AS files FROM pages WHERE html IS NOT NULL AND html != ''",
+    "byte_histogram": _BYTES + "SELECT doc_id, sym, n FROM hist",
+    "entropy_cost": _BYTES + "SELECT h.doc_id, sym, round(log2(n_bytes::double) - log2(n::double), 3) AS cost FROM hist h JOIN totals t ON h.doc_id = t.doc_id",
+    "block_cost": _BYTES + "SELECT *, CASE WHEN n_bytes <= 1000 AND fixed_bits < least(raw_bits, adaptive_bits) THEN 'fixed' WHEN adaptive_bits < raw_bits THEN 'adaptive' ELSE 'raw' END AS block FROM costs",
+    "code_width": _BYTES + "SELECT t.doc_id, cast(greatest(2, least(8, ceil(log2(max(sym) + 1)))) AS int) AS width FROM totals t LEFT JOIN hist h ON t.doc_id = h.doc_id GROUP BY t.doc_id",
+    "chunk_payload": "SELECT doc_id, cast(s // 4096 AS int) AS chunk_no, greatest(0, s - 1024) AS window_start, s AS start, least(s + 4096, n) AS \"end\", s + 4096 >= n AS last FROM (SELECT doc_id, n, unnest(range(0, n, 4096)) AS s FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents))",
+    "decay_histogram": """WITH a AS (SELECT event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), b AS (SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
+      SELECT coalesce(a.event_type, b.event_type) AS event_type, coalesce(a.n, 0) // 2 + coalesce(b.n, 0) AS n FROM a FULL JOIN b ON a.event_type = b.event_type""",
+    "value_runs": """WITH r AS (SELECT user_id, event_type, row_number() OVER w AS place, CASE WHEN row_number() OVER w = 1 OR lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      g AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY place) AS run_no FROM r)
+      SELECT user_id, cast(run_no AS bigint) AS run_no, event_type, min(place) - 1 AS first, count(*) AS n, count(*) >= 2 AS good FROM g GROUP BY user_id, run_no, event_type""",
+    "running_offset": "SELECT event_id, cast(coalesce(sum(octet_length(encode(props))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS offset FROM events",
+    "candidate_grid": "SELECT doc_id, setting_no, setting FROM documents, (VALUES (0, 'raw'), (1, 'fixed'), (2, 'adaptive')) s(setting_no, setting)",
+    "best_candidate": "SELECT l_orderkey, size, l_linenumber, l_suppkey FROM (SELECT l_orderkey, l_extendedprice::double AS size, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice::double, l_linenumber, l_suppkey) AS rn FROM lineitem WHERE l_extendedprice IS NOT NULL) WHERE rn = 1",
+    "dedup_compute": _BYTES + "SELECT d.doc_id, sha256(text) AS digest, n_bytes, fixed_bits FROM documents d JOIN costs c ON d.doc_id = c.doc_id",
+    "run_summary": _ASSETS + ", o AS (SELECT coalesce(kind, 'none') AS kind, status, length AS before, length - length // 10 AS after FROM classified), s AS (SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS total, count(*) FILTER (status = 'ok') AS done, count(*) FILTER (status != 'ok') AS skipped, cast(coalesce(sum(before) FILTER (status = 'ok'), 0) AS bigint) AS bytes_before, cast(coalesce(sum(after) FILTER (status = 'ok'), 0) AS bigint) AS bytes_after FROM o GROUP BY ROLLUP (kind)) SELECT *, bytes_before - bytes_after AS saved FROM s",
+    "pending_assets": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "verify_manifest": "SELECT doc_id::varchar AS path, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 10 = 0 THEN 'mismatch' ELSE 'match' END AS verdict FROM documents",
+    "duplicate_payloads": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_key FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "sorted_paths": _ASSETS + "SELECT path, doc_id FROM assets ORDER BY string_split(path, '/')",
+    "frame_delta": _PIXELS + "SELECT asset_id, cast(frame_no AS int) AS frame_no, cast(pos AS int) AS pos, changed FROM delta",
+    "frame_disposal": _PIXELS + "SELECT asset_id, cast(frame_no AS int) AS frame_no, dispose FROM disposal",
+    "change_bbox": _PIXELS + """, b AS (SELECT asset_id, frame_no, min(pos % 8) FILTER (changed) AS x0, max(pos % 8) FILTER (changed) AS x1, min(pos // 8) FILTER (changed) AS y0, max(pos // 8) FILTER (changed) AS y1 FROM delta GROUP BY ALL),
+      r AS (SELECT asset_id, frame_no, frame_no = 0 OR coalesce(lag(dispose) OVER (PARTITION BY asset_id ORDER BY frame_no) = 'background', false) AS whole FROM disposal)
+      SELECT b.asset_id, cast(b.frame_no AS int) AS frame_no, cast(CASE WHEN whole THEN 0 ELSE coalesce(x0, 0) END AS int) AS min_x, cast(CASE WHEN whole THEN 7 ELSE coalesce(x1, 0) END AS int) AS max_x, cast(CASE WHEN whole THEN 0 ELSE coalesce(y0, 0) END AS int) AS min_y, cast(CASE WHEN whole THEN 7 ELSE coalesce(y1, 0) END AS int) AS max_y FROM b JOIN r ON b.asset_id = r.asset_id AND b.frame_no = r.frame_no""",
+    "distinct_palette": _PIXELS + "SELECT asset_id, cast(frame_no AS int) AS frame_no, array_to_string(palette, ',') AS palette, len(palette) <= 256 AS valid FROM palettes",
+    "palette_containment": _PIXELS + "SELECT f.asset_id, cast(f.frame_no AS int) AS frame_no, cast(s.frame_no AS int) AS shared_no FROM palettes f JOIN palettes s ON f.asset_id = s.asset_id AND s.frame_no < 3 WHERE list_has_all(s.palette, f.palette)",
+    "first_free_value": _PIXELS + "SELECT asset_id, cast(frame_no AS int) AS frame_no, cast(list_min(list_filter(range(0, 600), lambda x: NOT list_contains(palette, x::int))) AS int) AS free FROM palettes",
+    "lossless_check": _PIXELS + """, f AS (SELECT asset_id, frame_no, bool_and(asset_id != 5 OR pos != 9 OR color IS NULL) AS same FROM pixels GROUP BY ALL)
+      SELECT asset_id, count(*) AS frames, bool_and(same AND (asset_id != 3 OR frame_no > 0)) AS same FROM f GROUP BY asset_id""",
+    "asset_report": _ASSETS + "SELECT kind, status, count(*) AS assets, cast(sum(length) AS bigint) AS bytes FROM classified GROUP BY ALL",
+    "incremental_run": _ASSETS + "SELECT path, kind, width, height, length, status FROM classified",
+}

@@ -1 +1,352 @@
+"""One query for each operator, over the given tables or what Spark derives from them."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import headers as H
+from ..functions.jpeg import jpeg_dimensions as jpeg_size
+from ..operators import candidates as C
+from ..operators import classify as K
+from ..operators import frames as A
+from ..operators import reports as R
+from ..operators import segments as G
+from ..operators import symbols as S
+from ..sources import files
+from ..streaming.incremental import incremental_run as run_incrementally
+from .fixtures import assets, containers, pixels, table
+
+LIMITED = K.Settings(kinds=("gif", "png"), max_pixels=2_000_000)
 QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    import tempfile
+
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/assetlake-{name}-{uuid.uuid4().hex}"
+
+
+# Sources and sinks
+
+
+@query
+def scan_assets(spark, d):
+    found = files.scan_assets(spark, [d], ["parquet"])
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
+
+
+@query
+def path_union(spark, d):
+    one = assets(spark, d).select("path")
+    other = table(spark, d, "labels").select(F.concat(F.lit("/assets/"), (F.col("doc_id") % 13).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".gif")).alias("path"))
+    return files.path_union(one, other)
+
+
+@query
+def rewritten_assets(spark, d):
+    rows = K.classify(assets(spark, d), LIMITED).filter("status = 'ok'")
+    after = F.col("length") - F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise(F.floor(F.col("length") / 10))
+    return files.smaller_only(rows.select("path", "kind", F.col("length").alias("before"), after.cast("long").alias("after")))
+
+
+@query
+def manifest_rows(spark, d):
+    rows = _docs(spark, d).withColumn("path", F.concat(F.lit("./docs/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return files.parse_manifest(files.manifest_lines(rows, content="text"))
+
+
+@query
+def pending_export(spark, d):
+    paths = R.pending(assets(spark, d), table(spark, d, "labels"), "doc_id").select("path")
+    return files.pending_lines(paths)
+
+
+# Names, headers, statuses
+
+
+@query
+def ext_kind(spark, d):
+    return assets(spark, d).select("path", H.ext_kind(F.col("path")).alias("kind"))
+
+
+@query
+def sniff_kind(spark, d):
+    return assets(spark, d).select("doc_id", H.sniff_kind(F.col("content")).alias("kind"))
+
+
+@query
+def gif_dimensions(spark, d):
+    return assets(spark, d).select("doc_id", H.gif_dimensions(F.col("content")).alias("s")).filter("s IS NOT NULL").select("doc_id", "s.width", "s.height")
+
+
+@query
+def png_dimensions(spark, d):
+    return assets(spark, d).select("doc_id", H.png_dimensions(F.col("content")).alias("s")).filter("s IS NOT NULL").select("doc_id", "s.width", "s.height")
+
+
+@query
+def jpeg_dimensions(spark, d):
+    rows = assets(spark, d).filter(H.sniff_kind(F.col("content")) == "jpeg").select("doc_id", jpeg_size(F.col("content")).alias("s"))
+    return rows.select("doc_id", "s.width", "s.height").filter("width IS NOT NULL")
+
+
+@query
+def png_color_type(spark, d):
+    return assets(spark, d).select("doc_id", H.png_color_type(F.col("content")).alias("color_type")).filter("color_type IS NOT NULL")
+
+
+@query
+def pixel_limit(spark, d):
+    text = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "k").when(F.col("o_orderkey") % 5 == 1, " M").when(F.col("o_orderkey") % 5 == 2, "g").when(F.col("o_orderkey") % 5 == 3, "x").otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", H.parse_pixel_limit(text).alias("pixels"))
+
+
+@query
+def resolution_filter(spark, d):
+    return K.measured(assets(spark, d)).filter(H.within_pixel_limit(F.col("width"), F.col("height"), 2_000_000)).select("doc_id", "width", "height")
+
+
+@query
+def kind_filter(spark, d):
+    rows = assets(spark, d).select("doc_id", H.sniff_kind(F.col("content")).alias("kind"))
+    return K.kind_enabled(rows, ["gif", "png"])
+
+
+@query
+def classify(spark, d):
+    return K.classify(assets(spark, d), LIMITED).select("doc_id", "kind", "status", "length")
+
+
+@query
+def kind_mismatch(spark, d):
+    return K.kind_mismatch(assets(spark, d)).select("path", "name_kind", "content_kind")
+
+
+@query
+def effort_budget(spark, d):
+    rows = K.measured(assets(spark, d)).filter("width IS NOT NULL")
+    return rows.withColumns(K.effort_budget()).select("doc_id", "rounds", "lzw_step")
+
+
+@query
+def reportable_failures(spark, d):
+    return K.reportable_failures(K.classify(assets(spark, d), LIMITED), LIMITED.kinds).select("path", "status")
+
+
+# Containers
+
+
+@query
+def jpeg_segments(spark, d):
+    return G.jpeg_segments(containers(spark, d, "jpeg"))
+
+
+@query
+def gif_blocks(spark, d):
+    return G.gif_blocks(containers(spark, d, "gif"))
+
+
+@query
+def strip_metadata(spark, d):
+    both = []
+    for kind, listed in (("jpeg", G.jpeg_segments), ("gif", G.gif_blocks)):
+        rows = containers(spark, d, kind)
+        both.append(G.strip_metadata(rows, listed(rows)).select("path", "before", "after", F.lower(F.hex("stripped")).alias("content")))
+    return both[0].unionByName(both[1])
+
+
+@query
+def metadata_inventory(spark, d):
+    return G.metadata_inventory(G.jpeg_segments(containers(spark, d, "jpeg")))
+
+
+# Symbols
+
+
+@query
+def byte_histogram(spark, d):
+    return S.exploded(S.histograms(_docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "sym", "n")
+
+
+@query
+def entropy_cost(spark, d):
+    rows = S.exploded(S.histograms(_docs(spark, d), "doc_id", "text"), "doc_id")
+    return rows.select("doc_id", "sym", F.round(S.symbol_cost(F.col("n").cast("double"), F.col("n_bytes").cast("double")), 3).alias("cost"))
+
+
+@query
+def block_cost(spark, d):
+    return S.block_costs(S.histograms(_docs(spark, d), "doc_id", "text"), "doc_id")
+
+
+@query
+def code_width(spark, d):
+    return S.code_width(S.histograms(_docs(spark, d), "doc_id", "text"), "doc_id")
+
+
+@query
+def chunk_payload(spark, d):
+    return S.chunk_payload(_docs(spark, d), "doc_id", F.octet_length("text"), chunk=4096, lookback=1024)
+
+
+@query
+def decay_histogram(spark, d):
+    counts = lambda when: table(spark, d, "events").filter(when).groupBy("event_type").agg(F.count("*").alias("n"))
+    return S.decay_histogram(counts(F.col("ts") < F.lit("2024-01-15").cast("timestamp")), counts(F.col("ts") >= F.lit("2024-01-15").cast("timestamp")), "event_type")
+
+
+@query
+def value_runs(spark, d):
+    return S.value_runs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 2, 2)
+
+
+@query
+def running_offset(spark, d):
+    rows = S.running_offset(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.octet_length("props"))
+    return rows.select("event_id", "offset")
+
+
+# Candidates
+
+
+def _costs(spark, d) -> DataFrame:
+    return S.block_costs(S.histograms(_docs(spark, d), "doc_id", "text"), "doc_id")
+
+
+@query
+def candidate_grid(spark, d):
+    rows = C.candidate_grid(_docs(spark, d).select("doc_id"), ["raw", "fixed", "adaptive"])
+    return rows.select("doc_id", "setting_no", "setting")
+
+
+@query
+def best_candidate(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("double").alias("size"), "l_linenumber", "l_suppkey")
+    return C.best_candidate(lines, "l_orderkey", "size", "l_linenumber", "l_suppkey")
+
+
+@query
+def dedup_compute(spark, d):
+    measure = lambda once: S.block_costs(S.histograms(once, "digest", "text"), "digest")
+    return C.dedup_compute(_docs(spark, d), "doc_id", "text", measure).select("doc_id", "digest", "n_bytes", "fixed_bits")
+
+
+@query
+def recompress(spark, d):
+    return C.recompress(assets(spark, d), "path", "content")
+
+
+# Reports
+
+
+@query
+def run_summary(spark, d):
+    rows = K.classify(assets(spark, d), LIMITED).withColumns({"before": F.col("length"), "after": F.col("length") - F.floor(F.col("length") / 10)})
+    return R.run_summary(rows)
+
+
+@query
+def pending_assets(spark, d):
+    return R.pending(_docs(spark, d).select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query
+def verify_manifest(spark, d):
+    rows = _docs(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"), "doc_id")
+    altered = F.when(F.col("doc_id") % 10 == 0, F.lit("changed")).otherwise(F.col("hash"))
+    return R.verify_manifest(rows, rows.filter("doc_id % 11 != 0").select("path", altered.alias("hash")))
+
+
+@query
+def duplicate_payloads(spark, d):
+    return R.duplicate_payloads(_docs(spark, d), "doc_id", "text")
+
+
+@query
+def sorted_paths(spark, d):
+    rows = assets(spark, d).select("path", "doc_id")
+    return R.sort_paths(rows)
+
+
+# Frames
+
+
+@query
+def frame_delta(spark, d):
+    return A.frame_delta(pixels(spark, d)).select("asset_id", "frame_no", "pos", "changed")
+
+
+@query
+def frame_disposal(spark, d):
+    return A.frame_disposal(pixels(spark, d))
+
+
+@query
+def change_bbox(spark, d):
+    return A.change_bbox(pixels(spark, d), 8, 8)
+
+
+@query
+def distinct_palette(spark, d):
+    rows = A.distinct_palette(pixels(spark, d))
+    return rows.select("asset_id", "frame_no", F.array_join("palette", ",").alias("palette"), "valid")
+
+
+@query
+def palette_containment(spark, d):
+    frames = A.distinct_palette(pixels(spark, d))
+    shared = frames.filter("frame_no < 3").select("asset_id", F.col("frame_no").alias("shared_no"), F.col("palette").alias("colors"))
+    return A.palette_containment(frames, shared)
+
+
+@query
+def merge_palettes(spark, d):
+    merged = A.merge_palettes(A.distinct_palette(pixels(spark, d)), limit=8)
+    return merged.select("asset_id", F.to_json("candidates").alias("candidates"))
+
+
+@query
+def first_free_value(spark, d):
+    return A.first_free_value(A.distinct_palette(pixels(spark, d))).select("asset_id", "frame_no", "free")
+
+
+@query
+def lossless_check(spark, d):
+    before = pixels(spark, d)
+    after = before.filter("asset_id != 3 OR frame_no > 0").withColumn("color", F.when(~((F.col("asset_id") == 5) & (F.col("pos") == 9)), F.col("color")))
+    frames = lambda p: p.groupBy("asset_id", "frame_no").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "color"))), lambda s: F.coalesce(s["color"].cast("string"), F.lit("-"))), ","), 256).alias("pixels"))
+    return A.lossless_check(frames(before), frames(after))
+
+
+# Whole runs
+
+
+@query
+def asset_report(spark, d):
+    rows = K.classify(assets(spark, d), LIMITED)
+    return rows.groupBy("kind", "status").agg(F.count("*").alias("assets"), F.sum("length").alias("bytes"))
+
+
+@query
+def incremental_run(spark, d):
+    source, out, checkpoint = (_shared(spark, x) for x in ("arrived", "outcomes", "progress"))
+    rows = assets(spark, d).select("path", "length", "content")
+    rows.write.parquet(source)
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(source)
+    run_incrementally(spark, stream(), out, checkpoint, LIMITED)
+    run_incrementally(spark, stream(), out, checkpoint, LIMITED)
+    return spark.read.schema("path string, kind string, width long, height long, length long, status string").parquet(out)
