@@ -12,6 +12,7 @@ placing every piece one by one.
 
 from __future__ import annotations
 
+import os
 import zlib
 from dataclasses import dataclass, field
 
@@ -26,7 +27,8 @@ from .scratch import written
 CAPACITY = 4096
 END_ID = 2
 SALTS = 64
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_CORES = 300_000, 1_000_000
+MARKS = ".,!#*$%&"
 
 
 class RoomTree:
@@ -156,22 +158,45 @@ class TokenIds:
     """Token ids of texts by a tokenizer that drops white space; ids of a word are kept once found."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, text: str, end: int = END_ID) -> np.ndarray:
-        # White space never lies inside a token of this vocabulary, so a text's ids are its words' ids in a row.
-        known, parts = self.known, text.split(" ")
-        fresh = [p for p in dict.fromkeys(parts) if p not in known]
-        if fresh:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                fresh = list(dict.fromkeys(parts))
-            for word, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                known[word] = np.array(e.ids, np.uint32)
-        return np.concatenate([*map(known.__getitem__, parts), np.array([end], np.uint32)])
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str], end: int = END_ID) -> list[np.ndarray]:
+        # No token spans white space, so a text's ids are its words' ids in a row.
+        known, split = self.known, [text.split(" ") for text in texts]
+        every = set().union(*split)
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        self.learn([p for p in every if p not in known])
+        last = [np.uint32(end).tobytes()]
+        return [np.frombuffer(b"".join([*map(known.__getitem__, parts), *last]), np.uint32) for parts in split]
+
+    def learn(self, fresh: list[str]) -> None:
+        # Letters and the marks after them are never in one token either, and case does not count.
+        split, wanted = [], set()
+        for word in fresh:
+            core = word.rstrip(MARKS)
+            tail = ""
+            if core.isalpha() and core.lower().isalpha():
+                tail = word[len(core) :]
+                core = core.lower() if core.isascii() else core
+            else:
+                core = word
+            split.append((word, core, tail))
+            wanted.add(core)
+            wanted.add(tail)
+        cores = self.cores
+        if len(cores) > CACHED_CORES:
+            cores.clear()
+        new = [c for c in wanted if c not in cores]
+        for core, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            cores[core] = np.array(e.ids, np.uint32).tobytes()
+        for word, core, tail in split:
+            self.known[word] = cores[core] + cores[tail]
 
 
 _tokenizers: dict[str, TokenIds] = {}
@@ -192,9 +217,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, carry=(
     """(carry..., start, length, ids_crc32, doc_tokens): full windows of each document, and the rest of it."""
 
     def compute(data, offsets, batch):
-        encode, found = token_ids(tokenizer), []
-        for text in texts(data, offsets):
-            ids = encode(text)
+        found = []
+        for ids in token_ids(tokenizer)(list(texts(data, offsets))):
             found.append([{"start": s, "length": min(capacity, len(ids) - s), "ids_crc32": zlib.crc32(ids[s : s + capacity].astype("<u4").tobytes()), "doc_tokens": len(ids)} for s in range(0, len(ids), capacity)])
         return [found]
 

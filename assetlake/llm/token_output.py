@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grams import text_buffers
+from .grams import blocks, text_buffers
 from .packing import CAPACITY, Slots, default_tokenizer, plan, texts, token_ids
 
 BLOCK_TOKENS = 4 << 20
@@ -77,10 +77,12 @@ def token_sequences(docs: DataFrame, tokenizer: str | None = None, *, capacity:
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(data, offsets)):
-                ids.append(encode(text))
-                owners.append(doc_id)
-                held += len(ids[-1])
+            names = batch.column(0).to_pylist()
+            for low, high in blocks(offsets):
+                found = encode(list(texts(data, offsets[low : high + 1])))
+                ids += found
+                owners += names[low:high]
+                held += sum(map(len, found))
                 if held >= block_tokens:
                     yield from flush()
                     ids, owners, held = [], [], 0
