@@ -21,27 +21,50 @@ BLOCK_TOKENS = 4 << 20
 SCHEMA = "sequence_id long, n_tokens int, input_ids binary, cu_seqlens binary, position_ids binary, doc_ids array<long>, starts array<long>"
 
 
-def _sequences(ids: list[np.ndarray], doc_ids: list, capacity: int):
-    """(n_tokens, ids, cumulative lengths, positions, doc_ids, starts) of each sequence of a block."""
-    cut = [(i, s, min(capacity, len(x) - s)) for i, x in enumerate(ids) for s in range(0, len(x), capacity)]
-    length = np.array([c[2] for c in cut], np.int64)
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """values cut at bounds, as little-endian 32-bit binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _sequences(ids: list[np.ndarray], doc_ids: list, capacity: int, number: int):
+    """Record batches of the sequences of a block, numbered from ``number``."""
+    tokens = np.array([len(x) for x in ids], np.int64)
+    flat, owners = np.concatenate(ids), pa.array(doc_ids, pa.int64())
+    cuts = -(-tokens // capacity)
+    doc = np.repeat(np.arange(len(ids)), cuts)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+    length = np.minimum(capacity, tokens[doc] - start)
+    begin = (np.cumsum(tokens) - tokens)[doc] + start
     order = np.argsort(length, kind="stable")
     sizes, counts = np.unique(length, return_counts=True)
-    rank = np.empty(len(cut), np.int64)
-    rank[order] = np.arange(len(cut)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     sequence, offset = Slots.of(plan(dict(zip(sizes.tolist(), counts.tolist())), capacity)).find(length, rank)
     by = np.lexsort((offset, sequence))
-    bounds = np.flatnonzero(np.concatenate([[True], np.diff(sequence[by]) > 0, [True]]))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        own = [cut[k] for k in by[a:b]]
-        lengths = np.array([n for _, _, n in own], np.int32)
-        yield (
-            int(lengths.sum()),
-            np.concatenate([ids[i][s : s + n] for i, s, n in own]).astype("<u4"),
-            np.concatenate([[0], np.cumsum(lengths)]).astype("<i4"),
-            np.concatenate([np.arange(n) for n in lengths]).astype("<i4"),
-            [doc_ids[i] for i, _, _ in own],
-            [s for _, s, _ in own],
+    doc, start, length, begin, offset, sequence = (x[by] for x in (doc, start, length, begin, offset, sequence))
+    firsts = np.flatnonzero(np.concatenate([[True], sequence[1:] != sequence[:-1], [True]]))
+    for low in range(0, len(firsts) - 1, 256):
+        segments = firsts[low : low + 257]
+        at = slice(segments[0], segments[-1])
+        segments = segments - segments[0]
+        n, of = len(segments) - 1, np.repeat(np.arange(len(segments) - 1), np.diff(segments))
+        ends = np.cumsum(length[at])
+        sequence_ends = np.concatenate([[0], ends])[segments]
+        positions = np.arange(ends[-1]) - np.repeat(ends - length[at], length[at])
+        cumulative = np.zeros(len(of) + n, "<i4")
+        cumulative[np.arange(len(of)) + 1 + of] = offset[at] + length[at]
+        lists = pa.array(segments, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.arange(number + low, number + low + n)),
+                pa.array(np.diff(sequence_ends), pa.int32()),
+                _binary(flat[np.repeat(begin[at], length[at]) + positions].astype("<u4", copy=False), sequence_ends),
+                _binary(cumulative, segments + np.arange(n + 1)),
+                _binary(positions.astype("<i4"), sequence_ends),
+                pa.ListArray.from_arrays(lists, owners.take(pa.array(doc[at]))),
+                pa.ListArray.from_arrays(lists, pa.array(start[at])),
+            ],
+            names=["sequence_id", "n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"],
         )
 
 
@@ -61,19 +84,9 @@ def token_sequences(docs: DataFrame, tokenizer: str | None = None, *, capacity:
 
         def flush():
             nonlocal number
-            made = list(_sequences(ids, owners, capacity))
-            for low in range(0, len(made), 256):
-                part = made[low : low + 256]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(number, number + len(part))),
-                        pa.array([m[0] for m in part], pa.int32()),
-                        *(pa.array([m[k].tobytes() for m in part], pa.binary()) for k in (1, 2, 3)),
-                        *(pa.array([m[k] for m in part], pa.list_(pa.int64())) for k in (4, 5)),
-                    ],
-                    names=["sequence_id", "n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"],
-                )
-                number += len(part)
+            for made in _sequences(ids, owners, capacity, number):
+                number += made.num_rows  # the numbers of this block were fixed when it began
+                yield made
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
