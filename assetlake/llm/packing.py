@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from dataclasses import dataclass, field
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -177,26 +179,24 @@ class TokenIds:
 
     def learn(self, fresh: list[str]) -> None:
         # Letters and the marks after them are never in one token either, and case does not count.
-        split, wanted = [], set()
+        words, tails = [], []
         for word in fresh:
             core = word.rstrip(MARKS)
-            tail = ""
-            if core.isalpha() and core.lower().isalpha():
-                tail = word[len(core) :]
-                core = core.lower() if core.isascii() else core
+            plain = core.isascii()
+            if core.isalpha() and (plain or core.lower().isalpha()):
+                words.append(core.lower() if plain else core)
+                tails.append(word[len(core) :])
             else:
-                core = word
-            split.append((word, core, tail))
-            wanted.add(core)
-            wanted.add(tail)
+                words.append(word)
+                tails.append("")
         cores = self.cores
         if len(cores) > CACHED_CORES:
             cores.clear()
-        new = [c for c in wanted if c not in cores]
+        new = [c for c in {*words, *tails} if c not in cores]
         for core, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cores[core] = np.array(e.ids, np.uint32).tobytes()
-        for word, core, tail in split:
-            self.known[word] = cores[core] + cores[tail]
+            cores[core] = array("I", e.ids).tobytes()
+        found = cores.__getitem__
+        self.known.update(zip(fresh, map(add, map(found, words), map(found, tails))))
 
 
 _tokenizers: dict[str, TokenIds] = {}
