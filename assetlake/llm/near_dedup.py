@@ -8,18 +8,18 @@ each text BANDS x ROWS samples, two texts agreeing on each with the probability
 Jaccard similarity; texts that agree on all samples of a band are candidates, and candidates are
 verified by the exact weighted Jaccard similarity of their whole texts.
 
-Equal texts are collapsed before anything else, so copies cost one row each. In a band's bucket of at
-most SMALL texts all pairs are candidates; in a larger one each text meets HEADS texts of the bucket
-(those with the least hashes, found by partial aggregation), and texts that none of them matches
-are dealt into finer buckets by one more shared band, where the same is done, until every text has
-matched a head, been one, or met all others of its bucket: texts that merely share a passage part
-ways there, and near copies do not. Classes are the connected components of the verified links. Nothing per document reaches the driver.
+Equal texts are collapsed before anything else, so copies cost one row each. Classes are the connected
+components of all similar pairs that share a band: each such pair is compared, or its texts are of one
+class already. Bands are taken in ROUNDS, and a round leaves out buckets that are of one class by then.
+A bucket is dealt to tasks in blocks, each with HEADS texts that all its blocks have. A task compares the
+texts of a block, all against all but those of one class; two texts can only be similar if they share one
+of their rarest shingles (a prefix of a fifth of their weight), so texts that merely share a passage are
+not compared at all. What buckets of several blocks still hold apart after the rounds is compared across blocks:
+each text outside the bucket's largest class with each text of the bucket. Nothing per document reaches the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +32,9 @@ from .scratch import written
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 DF_BUCKETS = 1 << 18
-SMALL, HEADS = 40, 3
-HEAD_MEMBERS = 2000  # texts that one task compares with one head, about
+BLOCK, BLOCK_BYTES = 1000, 4 << 20  # texts and their bytes that a task compares with each other, about
+HEADS = 3
+ROUNDS = ((0,), (1, 2, 3), tuple(range(4, BANDS)))  # bands of each
 _DRAWS = 1 << 15
 _r = np.random.default_rng(8)
 _ODD = _r.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,28 +131,104 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / whole if whole > 0 else 0.0
 
 
-def _verified(edges: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough. Edges of a head are dealt to several tasks by the other end."""
-    members = edges.groupBy("b").count().select("b", F.ceil(F.col("count") / HEAD_MEMBERS).cast("int").alias("salts"))
-    salted = edges.join(members, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
-    heads = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts.select(F.col("key").alias("b"), F.col("text").alias("body")), "b").select(F.col("b").alias("head"), F.col("salt").cast("long").alias("part"), "body")
-    rest = salted.join(texts.select(F.col("key").alias("a"), F.col("text").alias("body")), "a").select("a", "b", F.col("salt").cast("long").alias("part"), "body")
+def merged(found: np.ndarray, weight: np.ndarray, sizes: np.ndarray, labels: list, threshold: float) -> list[list]:
+    """Labels that belong together, by texts (as of ``features``, with weights) that are similar enough; texts of a label do anyway.
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        def sets(table):
-            data, offsets = text_buffers(table.column("body"))
-            for low, high in blocks(offsets):
-                at = offsets[low : high + 1]
-                found, counts, sizes = features(data[at[0] : at[-1]], at - at[0])
-                cuts = np.concatenate([[0], np.cumsum(sizes)])
-                w = weights(found, counts, idf.value)
-                yield from ((found[x:y], w[x:y]) for x, y in zip(cuts[:-1], cuts[1:]))
-
-        head = next(sets(right), None)
-        good = pa.array([head is not None and similarity(x, head) >= threshold for x in sets(left)], pa.bool_())
-        return left.select(["a", "b"]).filter(good)
+    Small classes first: each text is compared with those not reached yet that have one of its prefix's shingles.
+    """
+    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    _, ids, uses = np.unique(found, return_inverse=True, return_counts=True)
+    order = np.lexsort((ids, uses[ids], owner))
+    ids, weight, cuts = ids[order], weight[order], np.concatenate([[0], np.cumsum(sizes)])
+    total, running = np.add.reduceat(weight, cuts[:-1]), np.concatenate([[0], np.cumsum(weight)])
+    prefix = running[:-1] - running[cuts[:-1]][owner] <= (1 - threshold + 1e-6) * total[owner]
+    own, own_cuts = ids[prefix], np.concatenate([[0], np.cumsum(np.bincount(owner[prefix], minlength=n))])
+    by = np.argsort(own, kind="stable")
+    having, bounds = owner[prefix][by], np.searchsorted(own[by], np.arange(len(uses) + 1))
+    members: dict = {}
+    for i, label in enumerate(labels):
+        members.setdefault(label, []).append(i)
+    fresh, left, dense, out = np.ones(n, bool), n, np.zeros(len(uses)), []
+    for start in sorted(members, key=lambda x: len(members[x])):
+        if not left:
+            break
+        if not fresh[members[start][0]]:
+            continue
+        group, at = [start], 0
+        fresh[members[start]] = False
+        left -= len(members[start])
+        while at < len(group) and left:
+            for y in members[group[at]]:
+                shared = own[own_cuts[y] : own_cuts[y + 1]]
+                many = bounds[shared + 1] - bounds[shared]
+                near = having[np.arange(many.sum()) + np.repeat(bounds[shared] - np.cumsum(many) + many, many)]
+                near = np.unique(near[fresh[near]])
+                near = near[np.minimum(total[near], total[y]) >= (threshold - 1e-6) * np.maximum(total[near], total[y])]
+                if not len(near):
+                    continue
+                mine, lengths = slice(cuts[y], cuts[y + 1]), sizes[near]
+                first = np.cumsum(lengths) - lengths
+                places = np.arange(lengths.sum()) + np.repeat(cuts[near] - first, lengths)
+                dense[ids[mine]] = weight[mine]
+                both = np.add.reduceat(np.minimum(dense[ids[places]], weight[places]), first)
+                dense[ids[mine]] = 0
+                for other in near[both / (total[y] + total[near] - both) >= threshold]:
+                    if fresh[other]:
+                        group.append(labels[other])
+                        fresh[members[labels[other]]] = False
+                        left -= len(members[labels[other]])
+                if not left:
+                    break
+            at += 1
+        if len(group) > 1:
+            out.append(group)
+    return out
+
+
+def _merges(rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): root a belongs to the class of root b, from rows(bucket, block, root, text), each block compared in one task."""
+
+    def compare(table: pa.Table, starts: np.ndarray):
+        data, offsets = text_buffers(table.column("text"))
+        roots, low = table.column("root").to_pylist(), 0
+        while low < len(starts) - 1:
+            high = max(low + 1, int(np.searchsorted(offsets[starts], offsets[starts[low]] + BLOCK_BYTES, "right")) - 1)
+            at = offsets[starts[low] : starts[high] + 1]
+            found, counts, sizes = features(data[at[0] : at[-1]], at - at[0])
+            w, cuts, base = weights(found, counts, idf.value), np.concatenate([[0], np.cumsum(sizes)]), starts[low]
+            for x, y in zip(starts[low:high], starts[low + 1 : high + 1]):
+                p, q, labels = cuts[x - base], cuts[y - base], roots[x:y]
+                if y - x == 2:
+                    half = cuts[x + 1 - base]
+                    groups = [labels] if labels[0] != labels[1] and similarity((found[p:half], w[p:half]), (found[half:q], w[half:q])) >= threshold else []
+                else:
+                    groups = merged(found[p:q], w[p:q], sizes[x - base : y - base], labels, threshold)
+                for group in groups:
+                    least = min(group)
+                    yield from ((label, least) for label in group if label != least)
+            low = high
 
-    return rest.groupBy("b", "part").cogroup(heads.groupBy("head", "part")).applyInArrow(run, "a binary, b binary")
+    def run(batches):
+        tail = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if tail is None else pa.concat_tables([tail, table])
+            if not table.num_rows:
+                continue
+            bucket, block = table.column("bucket").to_numpy(), table.column("block").to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1])
+            tail = table.slice(starts[-1])
+            yield from told(compare(table.slice(0, starts[-1]), starts))
+        if tail is not None:
+            yield from told(compare(tail, np.array([0, tail.num_rows])))
+
+    def told(pairs):
+        pairs = list(pairs)
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = rows.select("bucket", "block", "root", "text").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    return written(dealt.mapInArrow(run, "a binary, b binary"), "merges")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,38 +250,52 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _pairs(small: DataFrame) -> DataFrame:
-    """All pairs (a, b), b before a, of buckets of SMALL keys at most."""
-    lists = small.groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    return lists.select(F.posexplode("keys").alias("i", "b"), "keys").select(F.explode(F.slice("keys", F.col("i") + 2, F.lit(SMALL))).alias("a"), "b").distinct()
-
-
-def _with_heads(members: DataFrame, seed: int) -> DataFrame:
-    """(bucket, band, key, head): each member of a bucket with each of HEADS heads."""
-    least = [F.min(F.struct(F.xxhash64("key", F.lit(seed * HEADS + i)), "key"))["key"].alias(f"h{i}") for i in range(HEADS)]
-    heads = members.groupBy("bucket").agg(*least).select("bucket", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(HEADS))))).alias("head"))
-    return members.join(heads, "bucket")
+def _together(roots: DataFrame, merges: DataFrame) -> DataFrame:
+    """roots(key, root) after merges(a, b) of them."""
+    if merges.isEmpty():
+        return roots
+    further = components(merges).select(F.col("key").alias("root"), F.col("root").alias("further"))
+    return written(roots.join(further, "root", "left").select("key", F.coalesce("further", "root").alias("root")), "roots")
 
 
 def _sized(buckets: DataFrame) -> DataFrame:
-    """buckets(bucket, band, key) of two keys and more, with n."""
-    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    """buckets(bucket, band, key, bytes) of two keys and more, with the number of blocks that they are compared in."""
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n"), parts.alias("parts")).filter("n > 1").drop("n")
     return buckets.join(counts, "bucket")
 
 
-def _finer(left: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
-    """(bucket, band, key): keys that no head matched, by one more band that they share.
+def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """buckets with roots, without those that are of one root."""
+    rows = buckets.join(roots, "key")
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    return rows.join(several, "bucket", "left_semi")
 
-    A second band may be any other; further ones come after those before. Where none comes
-    after, the bucket stays as it is and gets new heads.
-    """
-    spread = left.join(nodes, "key").select("bucket", "band", "key", F.col("bands")[F.col("band")].alias("own"), F.posexplode("bands").alias("more", "value"))
-    if level == 1:
-        first = F.col("band") < F.col("more")
-        one, two = (F.when(first, F.struct("band", "own")).otherwise(F.struct(F.col("more").alias("band"), F.col("value").alias("own"))), F.when(first, F.struct(F.col("more").alias("band"), F.col("value").alias("own"))).otherwise(F.struct("band", "own")))
-        return spread.filter("band != more").select(F.xxhash64(one, two).alias("bucket"), F.greatest("band", "more").alias("band"), "key").distinct()
-    deeper = spread.filter("more > band").select(F.xxhash64("bucket", "more", "value").alias("bucket"), F.col("more").alias("band"), "key")
-    return deeper.unionByName(left.filter(F.col("band") == BANDS - 1)).distinct()
+
+def _block(seed: int, parts):
+    return F.pmod(F.xxhash64("key", "bucket", F.lit(seed)), parts).cast("int")
+
+
+def _within(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, block, root, text): each text in its block, and the heads of a bucket of several blocks in all of them."""
+    least = F.array(*(F.min(F.struct(F.xxhash64("key", "bucket", F.lit(i)), "key"))["key"] for i in range(HEADS)))
+    heads = rows.filter("parts > 1").groupBy("bucket").agg(least.alias("heads"))
+    every = F.array_contains("heads", F.col("key"))
+    blocks_of = F.when(every, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_block(HEADS, F.col("parts"))))
+    return rows.join(heads, "bucket", "left").select("bucket", "key", "root", blocks_of.alias("blocks")).join(texts, "key").select("bucket", F.explode("blocks").alias("block"), "root", "text")
+
+
+def _across(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(bucket, block, root, text): blocks of texts outside their bucket's largest class, each with each block of the bucket's texts."""
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"), F.max(F.struct("n", "root", "bytes")).alias("most"))
+    few = F.greatest(F.ceil((F.col("all") - F.col("most.n")) / BLOCK), F.ceil((F.col("all_bytes") - F.col("most.bytes")) / BLOCK_BYTES), F.lit(1)).cast("int")
+    known = rows.join(largest.select("bucket", "main", few.alias("few")), "bucket").join(texts, "key")
+    one, two = _block(HEADS + 1, F.col("few")), _block(HEADS, F.col("parts"))
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: i * F.col("parts") + two)
+    outside = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: one * F.col("parts") + j)
+    blocks_of = F.when(F.col("root") == F.col("main"), everywhere).otherwise(F.array_union(everywhere, outside))
+    return known.select("bucket", F.explode(blocks_of).alias("block"), "root", "text")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,32 +314,22 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
 
     def sketch(data, offsets, batch):
         keys, sizes = bands(data, offsets, idf.value)
-        return [[row.tolist() if n else [] for row, n in zip(keys.astype(np.int64), sizes)]]
+        return [[row.tolist() if n else [] for row, n in zip(keys.astype(np.int64), sizes)], np.diff(offsets)]
 
-    sketches = written(annotate(rows, "bands array<long>", sketch, carry=["doc_id", "key"]), "sketches")
-    nodes = sketches.filter("key IS NOT NULL AND size(bands) > 0").groupBy("key").agg(F.first("bands").alias("bands"))
-    spread = nodes.select("key", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "key")
+    sketches = written(annotate(rows, "bands array<long>, bytes long", sketch, carry=["doc_id", "key"]), "sketches")
+    nodes = sketches.filter("key IS NOT NULL AND size(bands) > 0").groupBy("key").agg(F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
+    spread = nodes.select("key", "bytes", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "key", "bytes")
     buckets = written(_sized(spread), "buckets")
     needed = buckets.select("key").distinct()
     texts = rows.select("key", "text").join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
-    links, level = [], 0
-    while True:
-        met = written(_with_heads(buckets.filter(F.col("n") > SMALL).select("bucket", "band", "key"), level), "met")
-        headed = met.filter("key != head").select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b"))
-        tried = _pairs(buckets.filter(F.col("n") <= SMALL)).union(headed).distinct()
-        good = written(_verified(tried, texts, idf, threshold), "links")
-        links.append(good)
-        matched = good.select("a", "b").union(good.select("b", "a")).toDF("one", "other")
-        done = met.join(matched, (F.col("key") == F.col("one")) & (F.col("head") == F.col("other")), "left_semi").select("bucket", "key")
-        done = done.union(met.filter("key = head").select("bucket", "key")).distinct()
-        left = met.select("bucket", "band", "key").distinct().join(done, ["bucket", "key"], "left_anti")
-        level += 1
-        buckets = written(_sized(_finer(left, nodes, level)), "buckets")
-        if buckets.isEmpty():
-            break
-    links = reduce(DataFrame.unionByName, links)
-    roots = components(links)
+    roots = written(needed.select("key", F.col("key").alias("root")), "roots")
+    for some in ROUNDS:
+        apart = _apart(buckets.filter(F.col("band").isin(*some)), roots)
+        roots = _together(roots, _merges(_within(apart, texts), idf, threshold))
+    apart = written(_apart(buckets.filter("parts > 1"), roots), "apart")
+    if not apart.isEmpty():
+        roots = _together(roots, _merges(_across(apart, texts), idf, threshold))
     joined = sketches.select("doc_id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = joined.filter("key IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.count("*").alias("size"))
     return joined.join(classes, "root", "left").select(
