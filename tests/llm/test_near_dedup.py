@@ -98,3 +98,11 @@ def test_links_between_texts_that_matched_a_head(spark, monkeypatch):
     texts = [" ".join(f"w{j}" for j in range(4 * i, 4 * i + 60)) for i in range(60)]
     monkeypatch.setattr(near_dedup, "bands", _crafted([2, 7, 11]))
     assert _found(spark, texts) == [0] * 60
+
+
+def test_a_pair_that_shares_large_buckets_only(spark, monkeypatch):
+    """60 texts share exactly bands 2 and 7; two of them are similar."""
+    texts = [" ".join(f"t{i}w{j}" for j in range(40)) for i in range(59)]
+    texts.append(texts[17] + " end")
+    monkeypatch.setattr(near_dedup, "bands", _crafted([2, 7]))
+    assert _found(spark, texts) == list(range(59)) + [17]
