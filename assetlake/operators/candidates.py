@@ -8,16 +8,18 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Settings of the default codec, (level, strategy), in the order in which they win ties.
+from ..functions.headers import PNG_MAGIC
+
+#: Settings of the deflate codecs, (level, strategy), in the order in which they win ties.
 ZLIB_SETTINGS = ((9, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_FILTERED), (6, zlib.Z_RLE), (6, zlib.Z_HUFFMAN_ONLY))
-MAX_SETTINGS = 1000
+#: PNG chunks that are neither image nor colour nor animation, and go unless metadata is preserved.
+PNG_METADATA = frozenset([b"tEXt", b"zTXt", b"iTXt", b"eXIf", b"tIME", b"pHYs", b"sPLT", b"hIST"])
 
 
 def candidate_grid(assets: DataFrame, settings: list[str]) -> DataFrame:
-    """assets with setting_no and setting, once for each of at most 1,000 settings; no join, the settings are literals."""
-    if len(settings) > MAX_SETTINGS:
-        raise ValueError(f"over {MAX_SETTINGS} settings")
+    """assets with setting_no and setting, once for each setting; no join, the settings are one literal array."""
     return assets.select("*", F.posexplode(F.array(*map(F.lit, settings))).alias("setting_no", "setting"))
 
 
@@ -38,39 +40,98 @@ def dedup_compute(df: DataFrame, key: str, content: str, compute: Callable[[Data
     return rows.select(key, "digest").join(compute(once), "digest", "left")
 
 
-def zlib_codec(content: bytes, setting: int) -> bytes:
+def _deflated(content: bytes, setting: int) -> bytes:
     level, strategy = ZLIB_SETTINGS[setting]
     c = zlib.compressobj(level, zlib.DEFLATED, 15, 9, strategy)
     return c.compress(content) + c.flush()
 
 
-def recompress(df: DataFrame, key: str, content: str, *, settings: int = len(ZLIB_SETTINGS), encode: Callable[[bytes, int], bytes] = zlib_codec, decode: Callable[[bytes], bytes] = zlib.decompress, keep_content: bool = False) -> DataFrame:
-    """(key, before, after, setting_no, failed[, encoded]): the smallest encoding of each payload that decodes to it.
+def png_chunks(raw: bytes) -> list[tuple[bytes, bytes]]:
+    """(name, data) of each chunk up to IEND; an error for what is no PNG, is cut short or has a wrong checksum."""
+    magic = bytes.fromhex(PNG_MAGIC)
+    if not raw.startswith(magic):
+        raise ValueError("not a PNG")
+    at, found = len(magic), []
+    while not found or found[-1][0] != b"IEND":
+        size = int.from_bytes(raw[at : at + 4])
+        name, data = raw[at + 4 : at + 8], raw[at + 8 : at + 8 + size]
+        if len(data) != size or zlib.crc32(name + data).to_bytes(4) != raw[at + 8 + size : at + 12 + size]:
+            raise ValueError("a chunk is damaged")
+        found.append((name, data))
+        at += 12 + size
+    return found
+
+
+def _image(chunks: list[tuple[bytes, bytes]]) -> tuple[list[tuple[bytes, bytes]], bytes]:
+    """What has to stay equal: the other chunks, and the image's bytes before compression."""
+    rest = [c for c in chunks if c[0] != b"IDAT" and c[0] not in PNG_METADATA]
+    return rest, zlib.decompress(b"".join(data for name, data in chunks if name == b"IDAT"))
+
+
+def png_codec(raw: bytes, setting: int) -> bytes:
+    """A PNG with its image data compressed anew and without metadata chunks; the image's bytes are the same."""
+    chunks = png_chunks(raw)
+    rest, image = _image(chunks)
+    before = [n for n, _ in chunks if n not in PNG_METADATA].index(b"IDAT")
+    made = [*rest[:before], (b"IDAT", _deflated(image, setting)), *rest[before:]]
+    return bytes.fromhex(PNG_MAGIC) + b"".join(len(d).to_bytes(4) + n + d + zlib.crc32(n + d).to_bytes(4) for n, d in made)
 
-    All settings of a payload are tried where it is, so that neither it nor its encodings are
-    shuffled; the first of equally small ones wins; setting_no is null and after = before where none
-    is strictly smaller. failed: how many settings raised an error or did not give the payload back.
-    """
-    kind = df.schema[key].dataType.simpleString()
 
-    def attempt(raw: bytes, setting: int) -> bytes | None:
+def same_png(one: bytes, other: bytes) -> bool:
+    return _image(png_chunks(one)) == _image(png_chunks(other))
+
+
+def deflate_codec(content: bytes, setting: int) -> bytes:
+    return _deflated(content, setting)
+
+
+def smallest(raw: bytes, settings: int, encode: Callable[[bytes, int], bytes], same: Callable[[bytes, bytes], bool]) -> tuple[int | None, bytes | None, int]:
+    """(setting, encoding, failed) of the smallest encoding that is smaller than raw and stands for it; None and None without one."""
+    setting, best, failed = None, None, 0
+    for s in range(settings):
         try:
-            made = encode(raw, setting)
-            return made if decode(made) == raw else None
-        except Exception:  # a codec may fail in any way; the payload then stays as it is
-            return None
+            made = encode(raw, s)
+            if not same(raw, made):
+                made = None
+        except Exception:  # a codec may fail in any way; the content then stays as it is
+            made = None
+        failed += made is None
+        if made is not None and len(made) < len(raw if best is None else best):
+            setting, best = s, made
+    return setting, best, failed
+
+
+def recompress(
+    df: DataFrame,
+    content: str = "content",
+    *,
+    settings: int = len(ZLIB_SETTINGS),
+    encode: Callable[[bytes, int], bytes] = deflate_codec,
+    same: Callable[[bytes, bytes], bool] = lambda raw, made: zlib.decompress(made) == raw,
+    rounds: Callable[[int], int] | None = None,
+) -> DataFrame:
+    """df with before, after, setting_no, failed and encoded: the smallest encoding of each content that stands for it.
+
+    All settings of a content are tried where it is, so that neither it nor its encodings are
+    shuffled; the first of equally small ones wins. setting_no and encoded are null and after = before where none
+    is strictly smaller. failed: how many settings raised an error or made something that ``same`` rejects.
+    rounds: how many of the settings a content of some size is worth. A null content has null sizes.
+    Columns of df with the names of the new ones are replaced.
+    """
+    new = _parse_datatype_string("before long, after long, setting_no int, failed int, encoded binary").fields
+    names = [c for c in df.columns if c not in {f.name for f in new}]
+    at = names.index(content)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
         for batch in batches:
             rows = []
-            for raw in batch.column(1).to_pylist():
-                tried = [attempt(raw, s) for s in range(settings)]
-                good = [(len(x), s) for s, x in enumerate(tried) if x is not None and len(x) < len(raw)]
-                size, setting = min(good, default=(len(raw), None))
-                rows.append((len(raw), size, setting, sum(x is None for x in tried), raw if setting is None else tried[setting]))
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
-            n = 5 if keep_content else 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns[:n]], names=[key, "before", "after", "setting_no", "failed", "encoded"][: n + 1])
-
-    blobs = df.select(key, F.col(content).cast("binary").alias("content")).filter("content IS NOT NULL")
-    return blobs.mapInArrow(run, f"{key} {kind}, before long, after long, setting_no int, failed int" + ", encoded binary" * keep_content)
+            for raw in batch.column(at).to_pylist():
+                if raw is None:
+                    rows.append((None,) * 5)
+                    continue
+                setting, made, failed = smallest(raw, min(settings, rounds(len(raw)) if rounds else settings), encode, same)
+                rows.append((len(raw), len(raw) if made is None else len(made), setting, failed, made))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[*names, *(f.name for f in new)])
+
+    return df.select(*names).mapInArrow(run, StructType([*(df.schema[c] for c in names), *new]))

@@ -17,6 +17,7 @@ KINDS = ("gif", "jpeg", "png")
 class Settings:
     kinds: tuple[str, ...] = KINDS
     max_pixels: int | None = None
+    rounds: int | None = None  # of re-encoding; None: by size, 0: none
     preserve_meta: bool = False
     preserve_times: bool = False
 
@@ -41,12 +42,16 @@ def kind_enabled(df: DataFrame, kinds) -> DataFrame:
     return df.filter(F.col("kind").isin(*Settings(kinds=tuple(kinds)).kinds))
 
 
-def status(settings: Settings) -> Column:
-    """The first that holds, in the order of checks: empty, no kind, kind disabled, no size, too big, ok.
+#: What may become of an asset, by stage: reading, looking at it, writing.
+READ_ERROR, VANISHED, WRITE_ERROR = "read error", "vanished!", "write error"
 
-    Needs length, kind, width and height. Files that could not be read have their status from the scan.
+
+def status(settings: Settings, io: Column | None = None) -> Column:
+    """The first that holds, in the order of checks: what the scan says (io), empty, no kind, kind disabled, no size, too big, ok.
+
+    Needs length, kind, width and height. io: null for an asset that could be read (see read_status).
     """
-    return (
+    seen = (
         F.when(F.col("length") == 0, "empty file")
         .when(F.col("kind").isNull(), "invalid format")
         .when(~F.col("kind").isin(*settings.kinds), "skipped")
@@ -54,11 +59,27 @@ def status(settings: Settings) -> Column:
         .when(~F.coalesce(H.within_pixel_limit(F.col("width"), F.col("height"), settings.max_pixels), F.lit(False)), "too big")
         .otherwise("ok")
     )
+    return seen if io is None else F.coalesce(io, seen)
+
+
+def read_status(listed: DataFrame, read: DataFrame, still_there: DataFrame) -> DataFrame:
+    """(path, io): of each listed path null if it was read, else vanished! if it is not there any more, else read error."""
+    marked = lambda df, name: df.select("path").distinct().withColumn(name, F.lit(True))
+    rows = listed.select("path").join(marked(read, "got"), "path", "left").join(marked(still_there, "there"), "path", "left")
+    return rows.select("path", F.when(F.col("got").isNull(), F.when(F.col("there").isNull(), VANISHED).otherwise(READ_ERROR)).alias("io"))
+
+
+def written_status(outcomes: DataFrame, written: DataFrame) -> DataFrame:
+    """outcomes(path, status, before, after, ...): those that should have been written but are not among written(path) are write errors, and saved nothing."""
+    there = written.select("path").distinct().withColumn("stored", F.lit(True))
+    rows = outcomes.join(there, "path", "left")
+    lost = F.coalesce((F.col("status") == "ok") & (F.col("after") < F.col("before")) & F.col("stored").isNull(), F.lit(False))
+    return rows.withColumns({"status": F.when(lost, WRITE_ERROR).otherwise(F.col("status")), "after": F.when(lost, F.col("before")).otherwise(F.col("after"))}).drop("stored")
 
 
 def classify(assets: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """assets(path, length, content, ...) with kind, width, height and status."""
-    return measured(assets).withColumn("status", status(settings))
+    """assets(path, length, content, ...) with kind, width, height and status; a column io of theirs goes before all else."""
+    return measured(assets).withColumn("status", status(settings, F.col("io") if "io" in assets.columns else None))
 
 
 def kind_mismatch(assets: DataFrame) -> DataFrame:
@@ -67,14 +88,21 @@ def kind_mismatch(assets: DataFrame) -> DataFrame:
     return named.filter(~F.col("name_kind").eqNullSafe(F.col("content_kind")))
 
 
-def effort_budget(rounds: int | None = None) -> dict[str, Column]:
-    """rounds from length and lzw_step from width and height; an explicit number of rounds is held to 1..2147483647."""
+#: The largest step and number of rounds.
+MAX_ROUNDS = 2**31 - 1
+
+
+def effort_budget(rounds: int | None = None, lzw_step: int | None = None) -> dict[str, Column]:
+    """rounds from length and lzw_step from width and height; explicit values hold for all assets, and 0 switches the work off.
+
+    Explicit rounds are held to MAX_ROUNDS; an explicit step has no other bound than its type.
+    """
     pixels = F.col("width") * F.col("height")
     usual = F.when(F.col("length") < 200_000, 60).otherwise(20)
-    return {
-        "rounds": usual if rounds is None else F.lit(max(1, min(rounds, 2**31 - 1))),
-        "lzw_step": F.when(pixels > 65_535, F.col("width")).when(pixels > 32_767, F.lit(2).cast("long")).otherwise(F.lit(1).cast("long")),
-    }
+    step = F.when(pixels > 65_535, F.col("width")).when(pixels > 32_767, F.lit(2).cast("long")).otherwise(F.lit(1).cast("long"))
+    if (rounds or 0) < 0 or (lzw_step or 0) < 0:
+        raise ValueError("rounds and steps are 0 or more")
+    return {"rounds": usual if rounds is None else F.lit(min(rounds, MAX_ROUNDS)), "lzw_step": step if lzw_step is None else F.lit(lzw_step).cast("long")}
 
 
 def reportable_failures(outcomes: DataFrame, kinds=KINDS) -> DataFrame:

@@ -12,28 +12,41 @@ from pyspark.sql import functions as F
 LIMIT = 256
 
 
-def frame_delta(pixels: DataFrame) -> DataFrame:
-    """pixels with changed: the colour differs from the previous frame's; true in the first frame."""
+def _compared(pixels: DataFrame) -> DataFrame:
     w = Window.partitionBy("asset_id", "pos").orderBy("frame_no")
-    return pixels.withColumn("previous", F.lag("color").over(w)).withColumn("changed", (F.col("frame_no") == 0) | ~F.col("previous").eqNullSafe(F.col("color"))).drop("previous")
+    return pixels.withColumn("previous", F.lag("color").over(w)).withColumn("changed", (F.col("frame_no") == 0) | ~F.col("previous").eqNullSafe(F.col("color")))
 
 
-def frame_disposal(pixels: DataFrame) -> DataFrame:
-    """(asset_id, frame_no, dispose): background if the next frame makes a pixel transparent or keeps none, else keep.
+def frame_delta(pixels: DataFrame) -> DataFrame:
+    """pixels with changed: the colour differs from the previous frame's; true in the first frame."""
+    return _compared(pixels).drop("previous")
 
-    The last frame of an animation of several frames becomes background if the first one has transparency.
-    """
-    delta = frame_delta(pixels)
-    w = Window.partitionBy("asset_id", "pos").orderBy("frame_no")
-    turned = delta.withColumn("was", F.lag("color").over(w))
-    frames = turned.groupBy("asset_id", "frame_no").agg(
-        ((F.col("frame_no") > 0) & (F.bool_or(F.col("color").isNull() & F.col("was").isNotNull()) | F.bool_and("changed"))).alias("resets"),
+
+def _disposed(pixels: DataFrame, repeats: DataFrame | None, *more) -> DataFrame:
+    """(asset_id, frame_no, dispose, more...): more are aggregates of a frame's pixels. Pixels are windowed once and grouped once."""
+    frames = _compared(pixels).groupBy("asset_id", "frame_no").agg(
+        ((F.col("frame_no") > 0) & (F.bool_or(F.col("color").isNull() & F.col("previous").isNotNull()) | F.bool_and("changed"))).alias("resets"),
         F.bool_or(F.col("color").isNull()).alias("clear"),
+        *more,
     )
+    if repeats is not None:
+        frames = frames.join(repeats.select("asset_id", (F.col("repeat") == 0).alias("once")), "asset_id", "left")
+    else:
+        frames = frames.withColumn("once", F.lit(False))
     v = Window.partitionBy("asset_id").orderBy("frame_no")
-    loops = F.lead("frame_no").over(v).isNull() & (F.col("frame_no") > 0) & F.first("clear").over(v)
+    loops = F.lead("frame_no").over(v).isNull() & (F.col("frame_no") > 0) & F.first("clear").over(v) & ~F.coalesce("once", F.lit(False))
     background = F.coalesce(F.lead("resets").over(v), F.lit(False)) | loops
-    return frames.select("asset_id", "frame_no", F.when(background, "background").otherwise("keep").alias("dispose"))
+    return frames.withColumn("dispose", F.when(background, "background").otherwise("keep")).drop("resets", "clear", "once")
+
+
+def frame_disposal(pixels: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
+    """(asset_id, frame_no, dispose): background if the next frame makes a pixel transparent or keeps none, else keep.
+
+    The last frame of an animation of several frames becomes background if the first one has
+    transparency and the animation loops. repeats(asset_id, repeat), a row for each asset: how often it is repeated, 0 for
+    one that plays once, null for one without end; without the table, or a row in it, an animation loops.
+    """
+    return _disposed(pixels, repeats)
 
 
 def change_bbox(pixels: DataFrame, width: int, height: int) -> DataFrame:
@@ -42,17 +55,13 @@ def change_bbox(pixels: DataFrame, width: int, height: int) -> DataFrame:
     The whole canvas for the first frame and after a frame reset to background; one pixel at the
     origin for a frame that changes nothing.
     """
-    delta = frame_delta(pixels)
-    x, y = F.col("pos") % width, F.floor(F.col("pos") / width)
     hit = lambda c: F.when(F.col("changed"), c)
-    boxes = delta.groupBy("asset_id", "frame_no").agg(F.min(hit(x)).alias("x0"), F.max(hit(x)).alias("x1"), F.min(hit(y)).alias("y0"), F.max(hit(y)).alias("y1"))
+    x, y = hit(F.col("pos") % width), hit(F.floor(F.col("pos") / width))
+    boxes = _disposed(pixels, None, F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
     v = Window.partitionBy("asset_id").orderBy("frame_no")
-    before = frame_disposal(pixels).withColumn("reset", F.lag("dispose").over(v) == "background").select("asset_id", "frame_no", "reset")
-    whole = (F.col("frame_no") == 0) | F.coalesce("reset", F.lit(False))
-    pick = lambda c, full: F.when(whole, full).otherwise(F.coalesce(c, F.lit(0))).cast("int")
-    return boxes.join(before, ["asset_id", "frame_no"], "left").select(
-        "asset_id", "frame_no", pick("x0", 0).alias("min_x"), pick("x1", width - 1).alias("max_x"), pick("y0", 0).alias("min_y"), pick("y1", height - 1).alias("max_y")
-    )
+    boxes = boxes.withColumn("whole", (F.col("frame_no") == 0) | F.coalesce(F.lag("dispose").over(v) == "background", F.lit(False)))
+    pick = lambda c, full: F.when(F.col("whole"), full).otherwise(F.coalesce(c, F.lit(0))).cast("int")
+    return boxes.select("asset_id", "frame_no", pick("x0", 0).alias("min_x"), pick("x1", width - 1).alias("max_x"), pick("y0", 0).alias("min_y"), pick("y1", height - 1).alias("max_y"))
 
 
 def distinct_palette(pixels: DataFrame) -> DataFrame:
@@ -74,19 +83,28 @@ def first_free_value(palettes: DataFrame) -> DataFrame:
     return palettes.withColumn("free", F.coalesce(grey, above))
 
 
+def palette_index(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
+    """pixels with index: where the colour stands in its frame's palette, from 0; null if it is not there."""
+    at = F.array_position("palette", F.coalesce("color", F.lit(-1)))
+    return pixels.join(palettes.select("asset_id", "frame_no", "palette"), ["asset_id", "frame_no"]).withColumn("index", F.when(at > 0, (at - 1).cast("int"))).drop("palette")
+
+
 def merge_palettes(palettes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(asset_id, candidates): shared palettes worth trying for an asset.
+    """(asset_id, candidates): shared palettes worth trying for an asset, from those of its frames that are within the limit.
 
-    From the distinct frame palettes within the limit: none for none, itself for one, for two their union if it
-    fits; for more, from each starting place in order of size, and then in the reverse order, what still
-    fits is merged in turn, and a union of all alone if all fit. An asset's palettes are one row each of
-    limit colours at most; starting places times palettes steps are taken for each asset.
+    No such frame: none. One: its palette. Two: their union if it fits, else none. More: the union of
+    all if it fits; else, from each starting place in order of size (frames of one size in their order), and
+    then in the reverse order, what still fits is merged in turn, and those of two frames or more are
+    candidates, distinct and in order. Frames with equal palettes are frames like any others. An
+    asset's palettes are one row, each of limit colours at most.
     """
-    some = palettes.filter(F.size("palette") <= limit).select("asset_id", "palette").distinct()
-    lists = some.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct(F.size("palette").alias("size"), "palette"))).alias("sized"))
-    lists = lists.withColumn("up", F.transform("sized", lambda s: s["palette"])).withColumn("all", F.array_sort(F.array_distinct(F.flatten("up"))))
+    within = F.size("palette") <= limit
+    sized = F.array_sort(F.collect_list(F.when(within, F.struct(F.size("palette").alias("size"), "frame_no", "palette"))))
+    lists = palettes.groupBy("asset_id").agg(F.transform(sized, lambda s: s["palette"]).alias("up"))
+    none = F.expr("cast(array() as array<array<int>>)")
+    lists = lists.withColumns({"down": F.reverse("up"), "all": F.array_sort(F.array_distinct(F.flatten("up")))})
 
-    def fold(ordered: str):
+    def folded(ordered: str):
         def from_place(i):
             turned = F.concat(F.slice(ordered, i + 1, F.size(ordered)), F.slice(ordered, F.lit(1), i))
             start = F.struct(F.expr("cast(array() as array<int>)").alias("colors"), F.lit(0).alias("members"))
@@ -95,11 +113,10 @@ def merge_palettes(palettes: DataFrame, limit: int = LIMIT) -> DataFrame:
 
         return F.transform(F.sequence(F.lit(0), F.size(ordered) - 1), from_place)
 
-    lists = lists.withColumn("down", F.reverse("up"))
-    found = F.filter(F.concat(fold("up"), fold("down")), lambda m: m["members"] >= 2)
+    found = F.filter(F.concat(folded("up"), folded("down")), lambda m: m["members"] >= 2)
     many = F.array_sort(F.array_distinct(F.transform(found, lambda m: F.array_sort(m["colors"]))))
-    fits = F.size("all") <= limit
-    chosen = F.when(fits, F.array("all")).when(F.size("up") == 2, F.expr("cast(array() as array<array<int>>)")).otherwise(many)
+    n = F.size("up")
+    chosen = F.when(n == 0, none).when(F.size("all") <= limit, F.array("all")).when(n == 2, none).otherwise(many)
     return lists.select("asset_id", chosen.alias("candidates"))
 
 

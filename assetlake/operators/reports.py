@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:
-    """By kind and in all (kind 'all'; files of no kind are 'none'): total, done, skipped, and bytes of the done ones."""
+    """By kind and in all (kind 'all'; files of no kind are 'none'): total, done, skipped, bytes of the done ones, and what was saved of them.
+
+    saved_ratio: null where there is nothing to save from.
+    """
     ok = F.col("status") == "ok"
     rows = outcomes.withColumn("kind", F.coalesce("kind", F.lit("none")))
     made = rows.rollup("kind").agg(
@@ -18,7 +21,8 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(ok, F.col("before"))), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum(F.when(ok, F.col("after"))), F.lit(0)).alias("bytes_after"),
     )
-    return made.select(F.when(F.col("g") == 1, "all").otherwise(F.col("kind")).alias("kind"), "total", "done", "skipped", "bytes_before", "bytes_after", (F.col("bytes_before") - F.col("bytes_after")).alias("saved"))
+    saved = F.col("bytes_before") - F.col("bytes_after")
+    return made.select(F.when(F.col("g") == 1, "all").otherwise(F.col("kind")).alias("kind"), "total", "done", "skipped", "bytes_before", "bytes_after", saved.alias("saved"), F.round(F.try_divide(saved, "bytes_before"), 4).alias("saved_ratio"))
 
 
 def pending(inputs: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
@@ -34,9 +38,10 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def duplicate_payloads(df: DataFrame, key: str, content: str) -> DataFrame:
-    """(digest, copies, first_key): contents that occur more than once."""
+    """(key, digest, copies, first_key): the rows whose content occurs more than once; null contents have no duplicates."""
     hashed = df.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("digest")).filter("digest IS NOT NULL")
-    return hashed.groupBy("digest").agg(F.count("*").alias("copies"), F.min(key).alias("first_key")).filter("copies > 1")
+    several = hashed.groupBy("digest").agg(F.count("*").alias("copies"), F.min(key).alias("first_key")).filter("copies > 1")
+    return hashed.join(several, "digest").select(key, "digest", "copies", "first_key")
 
 
 def sort_paths(df: DataFrame, path: str = "path") -> DataFrame:

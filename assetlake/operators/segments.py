@@ -8,8 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from ..functions.headers import MIN_BYTES
 
 #: JPEG markers without a length; those that carry metadata (APP1-APP13, APP15, COM).
 BARE = frozenset([0x01, *range(0xD0, 0xDA)])
@@ -19,6 +23,8 @@ JPEG_KNOWN = frozenset([0x01, *range(0xC0, 0xFF)])
 #: GIF application extensions that belong to the animation.
 ANIMATION = (b"NETSCAPE2.0", b"ANIMEXTS1.0")
 
+BATCH_ROWS = 64  # files whose copies a task makes at once
+
 Segment = tuple[str, int | None, int, int, bool]  # name, label, offset, length, metadata
 
 
@@ -120,9 +126,6 @@ def _listed(assets: DataFrame, kind: str, parts: Callable[[bytes], Iterator[Segm
                     rows.append([path, i, *head, offset, length, metadata, bad])
             yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=target)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     target = to_arrow_schema(_parse_datatype_string(schema))
     return assets.filter("content IS NOT NULL").select("path", "content").mapInArrow(run, schema)
 
@@ -137,16 +140,48 @@ def gif_blocks(assets: DataFrame) -> DataFrame:
     return _listed(assets, "gif", gif_parts, "block string, label int")
 
 
-def strip_metadata(assets: DataFrame, segments: DataFrame) -> DataFrame:
-    """(path, before, after, stripped): content of the kept segments in order, where that is smaller; else the content as it was."""
-    keep = segments.filter("NOT is_metadata").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "offset", "length"))).alias("parts"), F.bool_or("malformed").alias("malformed"))
-    cut = F.aggregate("parts", F.unhex(F.lit("")), lambda made, s: F.concat(made, F.expr("content").substr(s["offset"].cast("int") + 1, s["length"].cast("int"))))
-    joined = assets.select("path", "content").join(keep, "path")
-    made = joined.withColumn("rebuilt", F.when(~F.col("malformed"), cut))
-    smaller = F.coalesce(F.length("rebuilt") < F.length("content"), F.lit(False))
-    return made.select("path", F.length("content").cast("long").alias("before"), F.when(smaller, F.length("rebuilt")).otherwise(F.length("content")).cast("long").alias("after"), F.when(smaller, F.col("rebuilt")).otherwise(F.col("content")).alias("stripped"))
+PARTS = {"jpeg": jpeg_parts, "gif": gif_parts}
+MAGIC = {"jpeg": (b"\xff\xd8\xff",), "gif": (b"GIF87a", b"GIF89a")}
+
+
+def without_metadata(raw: bytes, kind: str) -> bytes | None:
+    """The kept segments of a file, end to end; None unless that is smaller, of the same kind, and holds just these segments."""
+    parts = PARTS[kind]
+    try:
+        kept = [raw[at : at + size] for _, _, at, size, metadata in parts(raw) if not metadata]
+        made = b"".join(kept)
+        if not MIN_BYTES < len(made) < len(raw) or not made.startswith(MAGIC[kind]):
+            return None
+        return made if [made[at : at + size] for _, _, at, size, _ in parts(made)] == kept else None
+    except Malformed:
+        return None
+
+
+def strip_metadata(assets: DataFrame, kind: str) -> DataFrame:
+    """assets(path, content, ...) of one kind with before, after and stripped: content without metadata, where that is smaller; else as it was.
+
+    A file is listed and put together where it is, without a shuffle; rows of one path, or with the
+    same content, are rows like any others. Malformed files and null contents stay as they are.
+    """
+    names = [c for c in assets.columns if c not in ("before", "after", "stripped")]
+    at = names.index("content")
+    schema = StructType([*(assets.schema[c] for c in names), *_parse_datatype_string("before long, after long, stripped binary").fields])
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, BATCH_ROWS):
+                piece = batch.slice(low, BATCH_ROWS)
+                raw = piece.column(at).to_pylist()
+                made = [None if x is None else without_metadata(x, kind) or x for x in raw]
+                sizes = ([None if x is None else len(x) for x in side] for side in (raw, made))
+                yield pa.RecordBatch.from_arrays([*piece.columns, *(pa.array(x, pa.int64()) for x in sizes), pa.array(made, pa.binary())], names=[*names, "before", "after", "stripped"])
+
+    return assets.select(*names).mapInArrow(run, schema)
 
 
 def metadata_inventory(segments: DataFrame, label: str = "marker") -> DataFrame:
-    """By marker or label: metadata segments, their bytes and the files that have them."""
-    return segments.filter("is_metadata").groupBy(label).agg(F.count("*").alias("segments"), F.sum("length").alias("bytes"), F.countDistinct("path").alias("files"))
+    """By marker or label: metadata segments, their bytes, the files that have them, and the bytes' share of all that is listed."""
+    meta = F.col("is_metadata")
+    by = segments.groupBy(label).agg(F.count_if(meta).alias("segments"), F.sum(F.when(meta, F.col("length"))).alias("bytes"), F.count_distinct(F.when(meta, F.col("path"))).alias("files"), F.sum("length").alias("listed"))
+    share = F.round(F.col("bytes") / F.sum("listed").over(Window.partitionBy()), 6)  # over a row for each marker, 257 at most
+    return by.withColumn("share", share).filter("segments > 0").drop("listed")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 CHUNK, LOOKBACK = 1_000_000, 32_768
 HISTOGRAM = "array<struct<sym:int,n:long>>"
 
@@ -37,14 +39,19 @@ def histograms(payloads: DataFrame, key: str, content: str) -> DataFrame:
     return blobs.mapInArrow(run, f"{key} {kind}, n_bytes long, histogram {HISTOGRAM}")
 
 
-def exploded(made: DataFrame, key: str) -> DataFrame:
-    """(key, sym, n, n_bytes)."""
-    return made.select(key, "n_bytes", F.explode("histogram").alias("e")).select(key, "e.sym", "e.n", "n_bytes")
+def exploded(made: DataFrame, key: str, end: int | None = None) -> DataFrame:
+    """(key, sym, n, n_bytes): a row for each symbol; with ``end``, that symbol once more for each payload, also for empty ones."""
+    entries = F.col("histogram") if end is None else F.concat("histogram", F.array(F.struct(F.lit(end).alias("sym"), F.lit(1).cast("long").alias("n"))))
+    return made.select(key, "n_bytes", F.explode(entries).alias("e")).select(key, "e.sym", "e.n", "n_bytes")
+
 
+#: Bits of each symbol of a set in which nothing has been counted.
+EMPTY_LITERALS, EMPTY_DISTANCES = 0.0, 5.0
 
-def symbol_cost(n: Column, total: Column) -> Column:
-    """Bits for a symbol that occurs n times among total; all of log2(total) if it never occurs."""
-    return F.when(n > 0, F.log2(total) - F.log2(n)).otherwise(F.log2(total))
+
+def symbol_cost(n: Column, total: Column, empty: float = EMPTY_LITERALS) -> Column:
+    """Bits for a symbol that occurs n times among total; all of log2(total) if it never occurs; ``empty`` if nothing has been counted."""
+    return F.when(total > 0, F.when(n > 0, F.log2(total) - F.log2(n)).otherwise(F.log2(total))).otherwise(F.lit(empty))
 
 
 def block_costs(made: DataFrame, key: str) -> DataFrame:
@@ -64,9 +71,9 @@ def block_costs(made: DataFrame, key: str) -> DataFrame:
 
 
 def code_width(made: DataFrame, key: str) -> DataFrame:
-    """(key, width): bits for the largest symbol, 2 to 8; null for an empty payload."""
-    largest = F.array_max(F.transform("histogram", lambda e: e["sym"]))
-    return made.select(key, F.greatest(F.lit(2), F.least(F.lit(8), F.ceil(F.log2((largest + 1).cast("double"))))).cast("int").alias("width")).withColumn("width", F.when(F.col("width").isNotNull(), F.col("width")))
+    """(key, width): bits for the largest symbol, 2 to 8; 2 for an empty payload."""
+    largest = F.coalesce(F.array_max(F.transform("histogram", lambda e: e["sym"])), F.lit(0))
+    return made.select(key, F.greatest(F.lit(2), F.least(F.lit(8), F.ceil(F.log2((largest + 1).cast("double"))))).cast("int").alias("width"))
 
 
 def chunk_payload(payloads: DataFrame, key: str, size: Column, chunk: int = CHUNK, lookback: int = LOOKBACK) -> DataFrame:
@@ -77,25 +84,81 @@ def chunk_payload(payloads: DataFrame, key: str, size: Column, chunk: int = CHUN
     return rows.select(key, "chunk_no", F.greatest(F.lit(0).cast("long"), F.col("start") - lookback).alias("window_start"), "start", end.alias("end"), (end == F.col("n")).alias("last"))
 
 
-def decay_histogram(before: DataFrame, now: DataFrame, sym: str, weighted: bool = True) -> DataFrame:
-    """(sym, n): half of before, rounded down, and now; now alone if not weighted. A symbol of one side counts 0 in the other."""
-    if not weighted:
-        return now.select(sym, "n")
-    joined = before.select(sym, F.col("n").alias("old")).join(now.select(sym, F.col("n").alias("new")), sym, "full_outer")
-    return joined.select(sym, (F.floor(F.coalesce("old", F.lit(0)) / 2) + F.coalesce("new", F.lit(0))).cast("long").alias("n"))
+def decay_histogram(before: DataFrame, now: DataFrame, sym: str, weighted: bool = True, end: object = None) -> DataFrame:
+    """(sym, n): half of before, rounded down, and now; now alone if not weighted. A symbol of one side counts 0 in the other.
+
+    end: a symbol that closes every payload; it counts 1, whatever was counted, and is added if it is missing.
+    """
+    if weighted:
+        joined = before.select(sym, F.col("n").alias("old")).join(now.select(sym, F.col("n").alias("new")), sym, "full_outer")
+        made = joined.select(sym, (F.floor(F.coalesce("old", F.lit(0)) / 2) + F.coalesce("new", F.lit(0))).cast("long").alias("n"))
+    else:
+        made = now.select(sym, F.col("n").cast("long").alias("n"))
+    if end is None:
+        return made
+    one = now.sparkSession.range(1).select(F.lit(end).cast(now.schema[sym].dataType).alias(sym), F.lit(1).cast("long").alias("n"))
+    return made.filter(~F.col(sym).eqNullSafe(F.lit(end))).unionByName(one)
+
+
+def _sliced(rows: DataFrame, by: str, order: list[str], columns: dict[str, Column]) -> DataFrame:
+    """(by, order..., columns..., slice): rows dealt out in order and stored, so that a frequent ``by`` lies in many slices, each in order after the one before.
+
+    Rows equal in by and order are in one slice.
+    """
+    spark = rows.sparkSession
+    dealt = rows.select(by, *order, *(c.alias(name) for name, c in columns.items()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return written(dealt.repartitionByRange(parts, by, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def _runs(rows: DataFrame, by: str, order: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """rows with at (from 1) and run_no, and their runs (by, run_no, value, first, n)."""
+    parts = _sliced(rows, by, [c for c in order if c != value], {value: F.col(value)}) if value not in order else _sliced(rows, by, order, {})
+    w = Window.partitionBy(by, "_slice").orderBy(*order)
+    inner = parts.withColumns({"_place": F.row_number().over(w), "_was": F.lag(value).over(w)})
+    turns = ((F.col("_place") > 1) & ~F.col("_was").eqNullSafe(F.col(value))).cast("int")
+    inner = inner.withColumn("_turn", turns)
+    head, tail = F.min(F.struct("_place", F.col(value).alias("v")))["v"], F.max(F.struct("_place", F.col(value).alias("v")))["v"]
+    sums = inner.groupBy(by, "_slice").agg(F.count("*").alias("_rows"), F.sum("_turn").alias("_turns"), head.alias("_head"), tail.alias("_tail"))
+    v = Window.partitionBy(by).orderBy("_slice")
+    sums = sums.withColumn("_begins", (F.lag("_rows").over(v).isNull() | ~F.lag("_tail").over(v).eqNullSafe(F.col("_head"))).cast("int"))
+    before = v.rowsBetween(Window.unboundedPreceding, -1)
+    # A run_no counts the turns so far; that of a slice's first row also whether it begins a run.
+    runs_before = F.coalesce(F.sum(F.col("_turns") + F.col("_begins")).over(before), F.lit(0)) + F.col("_begins")
+    sums = sums.select(F.col(by).alias("_own"), F.col("_slice").alias("_own_slice"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"), runs_before.alias("_runs_before"))
+    numbered = inner.join(sums, F.col(by).eqNullSafe(F.col("_own")) & (F.col("_slice") == F.col("_own_slice")))
+    numbered = numbered.withColumn("run_no", (F.col("_runs_before") + F.sum("_turn").over(w)).cast("long")).withColumn("_at", (F.col("_rows_before") + F.col("_place")).cast("long"))
+    runs = numbered.groupBy(by, "run_no").agg(F.first(value).alias(value), (F.min("_at") - 1).cast("long").alias("first"), F.count("*").alias("n"))
+    return numbered.select(by, *order, *([value] if value not in order else []), "_at", "run_no"), runs
 
 
 def value_runs(rows: DataFrame, by: str, order: list[str], value: str, min_zero: int = 5, min_other: int = 7) -> DataFrame:
-    """(by, value, run_no, first, n, good): maximal runs of equal values in order; good: long enough to code as a repeat."""
-    w = Window.partitionBy(by).orderBy(*order)
-    numbered = rows.select(by, value, F.row_number().over(w).alias("at"), (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("int").alias("begins"))
-    numbered = numbered.withColumn("run_no", F.sum("begins").over(Window.partitionBy(by).orderBy("at")).cast("long"))
-    runs = numbered.groupBy(by, "run_no").agg(F.first(value).alias(value), (F.min("at") - 1).cast("long").alias("first"), F.count("*").alias("n"))
+    """(by, value, run_no, first, n, good): maximal runs of equal values in order; good: long enough to code as a repeat.
+
+    Runs are found in slices of the order and joined at their edges, so that one frequent ``by`` is dealt over many tasks.
+    """
+    _, runs = _runs(rows, by, order, value)
     zero = F.coalesce(F.col(value).cast("string") == "0", F.lit(False))
     return runs.withColumn("good", (F.col("n") >= min_zero) & (zero | (F.col("n") >= min_other)))
 
 
+def repeats_left(rows: DataFrame, by: str, order: list[str], value: str, cap: int = 65_535) -> DataFrame:
+    """(by, order..., value, left): how many rows with the same value follow each row without a break, ``cap`` at most."""
+    numbered, runs = _runs(rows, by, order, value)
+    ends = runs.select(F.col(by).alias("_own"), F.col("run_no").alias("_own_run"), (F.col("first") + F.col("n")).alias("_end"))
+    joined = numbered.join(ends, F.col(by).eqNullSafe(F.col("_own")) & (F.col("run_no") == F.col("_own_run")))
+    return joined.withColumn("left", F.least(F.col("_end") - F.col("_at"), F.lit(cap)).cast("int")).drop("_own", "_own_run", "_end", "_at", "run_no")
+
+
 def running_offset(rows: DataFrame, by: str, order: list[str], length: Column) -> DataFrame:
-    """rows with offset: the sum of the lengths before each row."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(length.cast("long")).over(w), F.lit(0)).cast("long"))
+    """(by, order..., length, offset): the sum of the lengths before each row, null lengths being 0.
+
+    Sums are taken in slices of the order and added up over slices, so that one frequent ``by`` is dealt over many tasks.
+    """
+    parts = _sliced(rows, by, order, {"length": F.coalesce(length.cast("long"), F.lit(0))})
+    earlier = lambda w: F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = parts.groupBy(by, "_slice").agg(F.sum("length").alias("length"))
+    sums = sums.select(F.col(by).alias("_own"), F.col("_slice").alias("_own_slice"), earlier(Window.partitionBy(by).orderBy("_slice")).alias("base"))
+    joined = parts.join(sums, F.col(by).eqNullSafe(F.col("_own")) & (F.col("_slice") == F.col("_own_slice")))
+    inner = earlier(Window.partitionBy(by, "_slice").orderBy(*order))
+    return joined.withColumn("offset", (F.col("base") + inner).cast("long")).select(by, *order, "length", "offset")

@@ -18,7 +18,9 @@ SELECT doc_id, w, h,
     WHEN doc_id % 7 IN (0, 4) THEN concat('474946383961', substr({w4},3,2), substr({w4},1,2), substr({h4},3,2), substr({h4},1,2), '800000', body)
     WHEN doc_id % 7 = 1 THEN concat('474946383761', substr({w4},3,2), substr({w4},1,2), substr({h4},3,2), substr({h4},1,2), '000000', body)
     WHEN doc_id % 7 = 2 THEN concat('89504E470D0A1A0A0000000D49484452', {w8}, {h8}, '0802', body)
-    WHEN doc_id % 7 = 3 THEN concat('FFD8FFE000104A46494600010100000100010000FFC0001108', {h4}, {w4}, '03', body)
+    WHEN doc_id % 7 = 3 THEN concat('FFD8FFE000104A46494600010100000100010000',
+      CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'FFC40004AABB' WHEN 2 THEN 'FFFE0002' ELSE 'FFD80002FFC00008110001000101FFD90002' END,
+      CASE WHEN doc_id % 2 = 0 THEN 'FFC0' ELSE 'FFC2' END, '001108', {h4}, {w4}, '03', body)
     ELSE body
   END AS chex
 FROM (SELECT doc_id, {body} AS body,

@@ -1,45 +1,92 @@
-"""The whole run: scan, classify, strip, try encodings, keep the smallest, report."""
+"""The whole run: scan, classify, try encodings, strip, keep the smallest, write, report."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.candidates import recompress
-from ..operators.classify import Settings, classify
+from ..operators.candidates import ZLIB_SETTINGS, png_codec, same_png, smallest
+from ..operators.classify import Settings, classify, read_status, written_status
 from ..operators.reports import run_summary
-from ..operators.segments import gif_blocks, jpeg_segments, strip_metadata
-from ..sources.files import scan_assets, smaller_only
+from ..operators.segments import BATCH_ROWS, PARTS, without_metadata
+from ..sources.files import require_assets, scan_assets
+from ..sources.scratch import Scratch
 
+#: By kind: (encode, same). Kinds without an entry are stripped only.
+CODECS = {"png": (png_codec, same_png)}
+OUTCOME = ("path", "kind", "status", "before", "after")
 
-def stripped(done: DataFrame, settings: Settings) -> DataFrame:
-    """done(path, kind, content) with content replaced by what remains without metadata."""
-    if settings.preserve_meta:
-        return done
-    rest = done.filter("kind = 'png'")
-    for kind, listed in (("jpeg", jpeg_segments), ("gif", gif_blocks)):
-        own = done.filter(F.col("kind") == kind)
-        made = strip_metadata(own, listed(own)).select("path", F.col("stripped").alias("content"))
-        rest = rest.unionByName(own.drop("content").join(made, "path"))
-    return rest
 
+def rewritten(assets: DataFrame, settings: Settings = Settings(), codecs: dict = CODECS) -> DataFrame:
+    """(path, kind, status, before, after, modificationTime, encoded): what becomes of each asset, and its new content if that is smaller.
 
-def optimize(assets: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(results, outcomes): results has the encoded content of assets that became smaller."""
+    A kind with a codec is encoded anew, and JPEG and GIF files that this does not make smaller are
+    stripped of metadata, unless it is to be preserved, which also leaves PNG files as they are. An asset stays in its
+    task from the scan to here. Assets that are not ok keep their size.
+    """
     rows = classify(assets, settings)
-    done = stripped(rows.filter("status = 'ok'"), settings)
-    best = recompress(done, "path", "content", keep_content=True).drop("before")
-    sized = rows.select("path", "kind", "length", "status")
-    results = sized.join(best, "path").select("path", "kind", F.col("length").alias("before"), F.least("after", "length").alias("after"), "setting_no", "encoded")
-    outcomes = sized.join(results.select("path", "after"), "path", "left").select("path", "kind", "status", F.col("length").alias("before"), F.coalesce("after", "length").alias("after"))
-    return smaller_only(results), outcomes
-
-
-def optimize_assets(spark: SparkSession, roots: list[str], out: str, settings: Settings = Settings()) -> DataFrame:
-    """Writes what became smaller to out, by kind, and returns the summary."""
-    results, outcomes = optimize(scan_assets(spark, roots, settings_extensions(settings)), settings)
-    results.write.partitionBy("kind").parquet(out)
-    return run_summary(outcomes)
+    if "modificationTime" not in rows.columns:
+        rows = rows.withColumn("modificationTime", F.lit(None).cast("timestamp"))
+    names = ["path", "kind", "status", "before", "modificationTime", "content"]
+    rows = rows.withColumn("before", F.col("length").cast("long")).select(*names)
+    tries = len(ZLIB_SETTINGS) if settings.rounds is None else min(settings.rounds, len(ZLIB_SETTINGS))
+
+    def better(kind: str, raw: bytes) -> bytes | None:
+        made = None
+        if kind in codecs and not settings.preserve_meta:
+            _, made, _ = smallest(raw, tries, *codecs[kind])
+        if made is None and kind in PARTS and not settings.preserve_meta:
+            made = without_metadata(raw, kind)
+        return made
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, BATCH_ROWS):
+                piece = batch.slice(low, BATCH_ROWS)
+                kinds, states, contents = (piece.column(names.index(c)).to_pylist() for c in ("kind", "status", "content"))
+                encoded = [better(k, x) if s == "ok" else None for k, s, x in zip(kinds, states, contents)]
+                before = piece.column(names.index("before")).to_pylist()
+                after = pa.array([b if x is None else len(x) for b, x in zip(before, encoded)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(4)), after, piece.column(4), pa.array(encoded, pa.binary())], names=[*OUTCOME, "modificationTime", "encoded"])
+
+    return rows.mapInArrow(run, "path string, kind string, status string, before long, after long, modificationTime timestamp, encoded binary")
+
+
+def stored(made: DataFrame, out: str, settings: Settings = Settings()) -> DataFrame:
+    """Writes rewritten's smaller assets to out, by kind, and returns (path, kind, status, before, after) of all.
+
+    Everything is computed once, into a scratch table that is deleted when what is worth keeping has been copied from it.
+    """
+    spark = made.sparkSession
+    scratch = Scratch(spark, "optimized")
+    whole = scratch.write(made, "results")
+    smaller = whole.filter("status = 'ok' AND after < before")
+    (smaller if settings.preserve_times else smaller.drop("modificationTime")).drop("status").write.mode("append").partitionBy("kind").parquet(out)
+    outcomes = scratch.write(whole.select(*OUTCOME), "outcomes")
+    there = spark.read.schema("path string, before long, after long, encoded binary, kind string").parquet(out).filter("octet_length(encoded) = after")
+    checked = scratch.write(written_status(outcomes, there.select("path")), "checked")
+    scratch.drop(whole, outcomes)
+    return checked
+
+
+def optimize_assets(spark: SparkSession, roots: list[str], out: str, settings: Settings = Settings(), *, lists: list[str] = (), codecs: dict = CODECS) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, summary) of the files below roots and in lists; what became smaller is written to out, by kind.
+
+    Nothing found is an error. A file that cannot be read is a read error, one that went meanwhile vanished!,
+    one that is not in out though it should be a write error; the others are done all the same.
+    """
+    extensions = settings_extensions(settings)
+    listed = require_assets(scan_assets(spark, roots, extensions, lists=lists).select("path", "length"))
+    scratch = Scratch(spark, "run")
+    listed = scratch.write(listed, "listed")
+    made = scratch.write(rewritten(scan_assets(spark, roots, extensions, lists=lists, skip_unreadable=True), settings, codecs), "made")
+    again = scan_assets(spark, roots, extensions, lists=lists).select("path")
+    unread = read_status(listed, made, again).filter("io IS NOT NULL")
+    lost = unread.join(listed, "path").select("path", F.lit(None).cast("string").alias("kind"), F.col("io").alias("status"), F.col("length").alias("before"), F.col("length").alias("after"))
+    outcomes = scratch.write(stored(made, out, settings).unionByName(lost), "outcomes")
+    scratch.drop(listed, made)
+    return outcomes, run_summary(outcomes)
 
 
 def settings_extensions(settings: Settings) -> list[str]:

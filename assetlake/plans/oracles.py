@@ -9,13 +9,14 @@ sniffed AS (SELECT *, length(chex) // 2 AS length, CASE WHEN length(chex) <= 24
   WHEN chex LIKE '89504E470D0A1A0A%' THEN 'png' WHEN chex LIKE 'FFD8FF%' THEN 'jpeg'
   WHEN chex LIKE '474946383761%' OR chex LIKE '474946383961%' THEN 'gif' END AS kind FROM assets),
 named AS (SELECT *, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'gif' THEN 'gif' WHEN 'jpg' THEN 'jpeg' WHEN 'jpeg' THEN 'jpeg' WHEN 'png' THEN 'png' END AS name_kind FROM sniffed),
+framed AS (SELECT *, 41 + CASE substr(chex,41,4) WHEN 'FFC4' THEN 12 WHEN 'FFFE' THEN 8 WHEN 'FFD8' THEN 36 ELSE 0 END AS sof FROM named),
 raw_size AS (SELECT *, CASE
     WHEN kind = 'gif' THEN cast('0x' || substr(chex,15,2) || substr(chex,13,2) AS bigint)
     WHEN kind = 'png' AND length > 24 AND substr(chex,25,8) = '49484452' THEN cast('0x' || substr(chex,33,8) AS bigint)
-    WHEN kind = 'jpeg' AND length > 29 AND substr(chex,41,4) = 'FFC0' THEN cast('0x' || substr(chex,55,4) AS bigint) END AS rw, CASE
+    WHEN kind = 'jpeg' AND length > sof // 2 + 9 AND substr(chex,sof,4) IN ('FFC0', 'FFC2') THEN cast('0x' || substr(chex,sof+14,4) AS bigint) END AS rw, CASE
     WHEN kind = 'gif' THEN cast('0x' || substr(chex,19,2) || substr(chex,17,2) AS bigint)
     WHEN kind = 'png' AND length > 24 AND substr(chex,25,8) = '49484452' THEN cast('0x' || substr(chex,41,8) AS bigint)
-    WHEN kind = 'jpeg' AND length > 29 AND substr(chex,41,4) = 'FFC0' THEN cast('0x' || substr(chex,51,4) AS bigint) END AS rh FROM named),
+    WHEN kind = 'jpeg' AND length > sof // 2 + 9 AND substr(chex,sof,4) IN ('FFC0', 'FFC2') THEN cast('0x' || substr(chex,sof+10,4) AS bigint) END AS rh FROM framed),
 sized AS (SELECT *, CASE WHEN rw > 0 AND rh > 0 THEN rw END AS width, CASE WHEN rw > 0 AND rh > 0 THEN rh END AS height FROM raw_size),
 classified AS (SELECT *, CASE WHEN length = 0 THEN 'empty file' WHEN kind IS NULL THEN 'invalid format' WHEN kind = 'jpeg' THEN 'skipped'
   WHEN width IS NULL THEN 'invalid format' WHEN width * height > 2000000 THEN 'too big' ELSE 'ok' END AS status FROM sized)
@@ -62,14 +63,29 @@ ORACLES: dict[str, str] = {
       q AS (SELECT page_id, n, (n + 59999) // 60000 AS c, (n + 254) // 255 AS b FROM p)
       SELECT '/pages/' || page_id::varchar || '.jpg' AS path, 54 + n + 4 * c AS before, 54 AS after, lower('FFD8FFE000104A46494600010100000100010000FFC00011080020001003011100021101031101FFDA0008010100003F00D2CF20FFD9') AS content FROM q
       UNION ALL SELECT '/pages/' || page_id::varchar || '.gif', 29 + 3 + n + b, 29, lower('474946383961100020000000002C00000000100020000002024C01003B') FROM q""",
-    "metadata_inventory": f"SELECT 254 AS marker, cast(sum({_COMMENTS}) AS bigint) AS segments, cast(sum(octet_length(encode(html)) + 4 * ({_COMMENTS})) AS bigint) AS bytes, count(*) AS files FROM pages WHERE html IS NOT NULL AND html != ''",
+    "metadata_inventory": f"""WITH p AS (SELECT octet_length(encode(html)) AS n, {_COMMENTS} AS c, {_GIF_BLOCKS} AS b FROM pages WHERE html IS NOT NULL AND html != '')
+      SELECT 'jpeg' AS kind, 254 AS label, cast(sum(c) AS bigint) AS segments, cast(sum(n + 4 * c) AS bigint) AS bytes, count(*) AS files, round(sum(n + 4 * c)::double / sum(54 + n + 4 * c)::double, 6) AS share FROM p
+      UNION ALL SELECT 'gif', 254, count(*), cast(sum(n + b + 3) AS bigint), count(*), round(sum(n + b + 3)::double / sum(29 + n + b + 3)::double, 6) FROM p""",
+    "jpeg_segments": f"""WITH p AS (SELECT '/pages/' || page_id::varchar || '.jpg' AS path, octet_length(encode(html)) AS n, {_COMMENTS} AS c FROM pages WHERE html IS NOT NULL AND html != ''),
+      comments AS (SELECT path, n, unnest(range(c)) AS i FROM p),
+      parts AS (SELECT path, 0 AS ordinal, 216 AS marker, 0 AS "offset", 2 AS length FROM p UNION ALL SELECT path, 1, 224, 2, 18 FROM p
+        UNION ALL SELECT path, 2 + i, 254, 20 + 60004 * i, least(60000, n - 60000 * i) + 4 FROM comments UNION ALL SELECT path, 2 + c, 192, 20 + n + 4 * c, 19 FROM p
+        UNION ALL SELECT path, 3 + c, 218, 39 + n + 4 * c, 13 FROM p UNION ALL SELECT path, 4 + c, 217, 52 + n + 4 * c, 2 FROM p)
+      SELECT path, cast(ordinal AS int) AS ordinal, cast(marker AS int) AS marker, cast("offset" AS bigint) AS "offset", cast(length AS bigint) AS length, marker = 254 AS is_metadata, false AS malformed FROM parts""",
+    "gif_blocks": f"""WITH p AS (SELECT '/pages/' || page_id::varchar || '.gif' AS path, octet_length(encode(html)) AS n, {_GIF_BLOCKS} AS b FROM pages WHERE html IS NOT NULL AND html != ''),
+      parts AS (SELECT path, 0 AS ordinal, 'header' AS block, NULL AS label, 0 AS "offset", 13 AS length FROM p UNION ALL SELECT path, 1, 'extension', 254, 13, n + b + 3 FROM p
+        UNION ALL SELECT path, 2, 'image', NULL, 16 + n + b, 15 FROM p UNION ALL SELECT path, 3, 'trailer', NULL, 31 + n + b, 1 FROM p)
+      SELECT path, cast(ordinal AS int) AS ordinal, block, cast(label AS int) AS label, cast("offset" AS bigint) AS "offset", cast(length AS bigint) AS length, block = 'extension' AS is_metadata, false AS malformed FROM parts""",
     "byte_histogram": _BYTES + "SELECT doc_id, sym, n FROM hist",
     "entropy_cost": _BYTES + "SELECT h.doc_id, sym, round(log2(n_bytes::double) - log2(n::double), 3) AS cost FROM hist h JOIN totals t ON h.doc_id = t.doc_id",
     "block_cost": _BYTES + "SELECT *, CASE WHEN n_bytes <= 1000 AND fixed_bits < least(raw_bits, adaptive_bits) THEN 'fixed' WHEN adaptive_bits < raw_bits THEN 'adaptive' ELSE 'raw' END AS block FROM costs",
-    "code_width": _BYTES + "SELECT t.doc_id, cast(greatest(2, least(8, ceil(log2(max(sym) + 1)))) AS int) AS width FROM totals t LEFT JOIN hist h ON t.doc_id = h.doc_id GROUP BY t.doc_id",
+    "code_width": _BYTES + "SELECT t.doc_id, cast(greatest(2, least(8, ceil(log2(coalesce(max(sym), 0) + 1)))) AS int) AS width FROM totals t LEFT JOIN hist h ON t.doc_id = h.doc_id GROUP BY t.doc_id",
     "chunk_payload": "SELECT doc_id, cast(s // 4096 AS int) AS chunk_no, greatest(0, s - 1024) AS window_start, s AS start, least(s + 4096, n) AS \"end\", s + 4096 >= n AS last FROM (SELECT doc_id, n, unnest(range(0, n, 4096)) AS s FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents))",
     "decay_histogram": """WITH a AS (SELECT event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), b AS (SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
-      SELECT coalesce(a.event_type, b.event_type) AS event_type, coalesce(a.n, 0) // 2 + coalesce(b.n, 0) AS n FROM a FULL JOIN b ON a.event_type = b.event_type""",
+      SELECT coalesce(a.event_type, b.event_type) AS event_type, coalesce(a.n, 0) // 2 + coalesce(b.n, 0) AS n FROM a FULL JOIN b ON a.event_type = b.event_type UNION ALL SELECT 'end', 1""",
+    "repeats_left": """WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER w AS place, CASE WHEN row_number() OVER w = 1 OR lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+      g AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY place) AS run_no FROM r)
+      SELECT event_id, cast(max(place) OVER (PARTITION BY user_id, run_no) - place AS int) AS "left" FROM g""",
     "value_runs": """WITH r AS (SELECT user_id, event_type, row_number() OVER w AS place, CASE WHEN row_number() OVER w = 1 OR lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       g AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY place) AS run_no FROM r)
       SELECT user_id, cast(run_no AS bigint) AS run_no, event_type, min(place) - 1 AS first, count(*) AS n, count(*) >= 2 AS good FROM g GROUP BY user_id, run_no, event_type""",
@@ -77,13 +93,22 @@ ORACLES: dict[str, str] = {
     "candidate_grid": "SELECT doc_id, setting_no, setting FROM documents, (VALUES (0, 'raw'), (1, 'fixed'), (2, 'adaptive')) s(setting_no, setting)",
     "best_candidate": "SELECT l_orderkey, size, l_linenumber, l_suppkey FROM (SELECT l_orderkey, l_extendedprice::double AS size, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice::double, l_linenumber, l_suppkey) AS rn FROM lineitem WHERE l_extendedprice IS NOT NULL) WHERE rn = 1",
     "dedup_compute": _BYTES + "SELECT d.doc_id, sha256(text) AS digest, n_bytes, fixed_bits FROM documents d JOIN costs c ON d.doc_id = c.doc_id",
-    "run_summary": _ASSETS + ", o AS (SELECT coalesce(kind, 'none') AS kind, status, length AS before, length - length // 10 AS after FROM classified), s AS (SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS total, count(*) FILTER (status = 'ok') AS done, count(*) FILTER (status != 'ok') AS skipped, cast(coalesce(sum(before) FILTER (status = 'ok'), 0) AS bigint) AS bytes_before, cast(coalesce(sum(after) FILTER (status = 'ok'), 0) AS bigint) AS bytes_after FROM o GROUP BY ROLLUP (kind)) SELECT *, bytes_before - bytes_after AS saved FROM s",
+    "run_summary": _ASSETS + ", o AS (SELECT coalesce(kind, 'none') AS kind, status, length AS before, length - length // 10 AS after FROM classified), s AS (SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS total, count(*) FILTER (status = 'ok') AS done, count(*) FILTER (status != 'ok') AS skipped, cast(coalesce(sum(before) FILTER (status = 'ok'), 0) AS bigint) AS bytes_before, cast(coalesce(sum(after) FILTER (status = 'ok'), 0) AS bigint) AS bytes_after FROM o GROUP BY ROLLUP (kind)) SELECT *, bytes_before - bytes_after AS saved, round((bytes_before - bytes_after)::double / nullif(bytes_before, 0)::double, 4) AS saved_ratio FROM s",
     "pending_assets": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "verify_manifest": "SELECT doc_id::varchar AS path, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 10 = 0 THEN 'mismatch' ELSE 'match' END AS verdict FROM documents",
-    "duplicate_payloads": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_key FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_payloads": "SELECT doc_id, digest, copies, first_key FROM (SELECT doc_id, sha256(text) AS digest, count(*) OVER (PARTITION BY text) AS copies, min(doc_id) OVER (PARTITION BY text) AS first_key FROM documents WHERE text IS NOT NULL) WHERE copies > 1",
     "sorted_paths": _ASSETS + "SELECT path, doc_id FROM assets ORDER BY string_split(path, '/')",
     "frame_delta": _PIXELS + "SELECT asset_id, cast(frame_no AS int) AS frame_no, cast(pos AS int) AS pos, changed FROM delta",
-    "frame_disposal": _PIXELS + "SELECT asset_id, cast(frame_no AS int) AS frame_no, dispose FROM disposal",
+    "frame_disposal": _PIXELS + """SELECT asset_id, cast(frame_no AS int) AS frame_no, CASE WHEN coalesce(lead(resets) OVER w, false) OR (asset_id % 3 != 1 AND lead(frame_no) OVER w IS NULL AND frame_no > 0 AND first_value(clear) OVER w)
+      THEN 'background' ELSE 'keep' END AS dispose FROM resets WINDOW w AS (PARTITION BY asset_id ORDER BY frame_no)""",
+    "palette_index": _PIXELS + "SELECT p.asset_id, cast(p.frame_no AS int) AS frame_no, cast(pos AS int) AS pos, cast(list_position(palette, coalesce(color, -1)) - 1 AS int) AS index FROM pixels p JOIN palettes q ON p.asset_id = q.asset_id AND p.frame_no = q.frame_no",
+    "merge_palettes": _PIXELS + """, lists AS (SELECT asset_id, coalesce(list(palette ORDER BY len(palette), frame_no) FILTER (len(palette) <= 12), []) AS up FROM palettes GROUP BY asset_id),
+      ways AS (SELECT asset_id, up AS ordered FROM lists UNION ALL SELECT asset_id, list_reverse(up) FROM lists),
+      turned AS (SELECT asset_id, list_concat(ordered[i + 1:], ordered[1:i]) AS palettes FROM (SELECT asset_id, ordered, unnest(range(len(ordered))) AS i FROM ways)),
+      folded AS (SELECT asset_id, palettes, list_sort(list_reduce(palettes, lambda acc, x: CASE WHEN len(list_distinct(list_concat(acc, x))) <= 12 THEN list_distinct(list_concat(acc, x)) ELSE acc END)) AS made FROM turned),
+      found AS (SELECT asset_id, list_sort(list(DISTINCT made)) AS made FROM folded WHERE len(list_filter(palettes, lambda p: list_has_all(made, p))) >= 2 GROUP BY asset_id),
+      whole AS (SELECT asset_id, up, list_sort(list_distinct(flatten(up))) AS every FROM lists)
+      SELECT w.asset_id, cast(to_json(CASE WHEN len(up) = 0 THEN [] WHEN len(every) <= 12 THEN [every] WHEN len(up) = 2 THEN [] ELSE coalesce(made, []) END) AS varchar) AS candidates FROM whole w LEFT JOIN found f ON w.asset_id = f.asset_id""",
     "change_bbox": _PIXELS + """, b AS (SELECT asset_id, frame_no, min(pos % 8) FILTER (changed) AS x0, max(pos % 8) FILTER (changed) AS x1, min(pos // 8) FILTER (changed) AS y0, max(pos // 8) FILTER (changed) AS y1 FROM delta GROUP BY ALL),
       r AS (SELECT asset_id, frame_no, frame_no = 0 OR coalesce(lag(dispose) OVER (PARTITION BY asset_id ORDER BY frame_no) = 'background', false) AS whole FROM disposal)
       SELECT b.asset_id, cast(b.frame_no AS int) AS frame_no, cast(CASE WHEN whole THEN 0 ELSE coalesce(x0, 0) END AS int) AS min_x, cast(CASE WHEN whole THEN 7 ELSE coalesce(x1, 0) END AS int) AS max_x, cast(CASE WHEN whole THEN 0 ELSE coalesce(y0, 0) END AS int) AS min_y, cast(CASE WHEN whole THEN 7 ELSE coalesce(y1, 0) END AS int) AS max_y FROM b JOIN r ON b.asset_id = r.asset_id AND b.frame_no = r.frame_no""",
@@ -91,7 +116,12 @@ ORACLES: dict[str, str] = {
     "palette_containment": _PIXELS + "SELECT f.asset_id, cast(f.frame_no AS int) AS frame_no, cast(s.frame_no AS int) AS shared_no FROM palettes f JOIN palettes s ON f.asset_id = s.asset_id AND s.frame_no < 3 WHERE list_has_all(s.palette, f.palette)",
     "first_free_value": _PIXELS + "SELECT asset_id, cast(frame_no AS int) AS frame_no, cast(list_min(list_filter(range(0, 600), lambda x: NOT list_contains(palette, x::int))) AS int) AS free FROM palettes",
     "lossless_check": _PIXELS + """, f AS (SELECT asset_id, frame_no, bool_and(asset_id != 5 OR pos != 9 OR color IS NULL) AS same FROM pixels GROUP BY ALL)
-      SELECT asset_id, count(*) AS frames, bool_and(same AND (asset_id != 3 OR frame_no > 0)) AS same FROM f GROUP BY asset_id""",
-    "asset_report": _ASSETS + "SELECT kind, status, count(*) AS assets, cast(sum(length) AS bigint) AS bytes FROM classified GROUP BY ALL",
-    "incremental_run": _ASSETS + "SELECT path, kind, width, height, length, status FROM classified",
+      SELECT asset_id, count(*) AS frames, bool_and(same AND (asset_id != 3 OR frame_no > 0) AND (asset_id != 7 OR frame_no != 2) AND (asset_id != 6 OR frame_no != 1) AND (asset_id != 8 OR frame_no != 1)) AS same FROM f GROUP BY asset_id""",
+    "read_status": _ASSETS + "SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'vanished!' WHEN doc_id % 5 = 0 THEN 'read error' END AS io FROM assets",
+    "written_status": _ASSETS + "SELECT path, CASE WHEN length % 4 = 0 AND length > 0 THEN 'write error' ELSE 'ok' END AS status, length AS before, CASE WHEN length % 4 = 0 THEN length ELSE length // 2 END AS after FROM sniffed",
+    "asset_report": _ASSETS + "SELECT kind, status, count(*) AS assets, cast(sum(length) AS bigint) AS bytes, cast(sum(length) AS bigint) AS bytes_after FROM classified GROUP BY ALL",
+    "optimize_assets": f"""WITH p AS (SELECT page_id, octet_length(encode(html)) AS n, {_COMMENTS} AS c, {_GIF_BLOCKS} AS b FROM pages WHERE html IS NOT NULL AND html != '')
+      SELECT '/pages/' || page_id::varchar || '.jpg' AS path, 'jpeg' AS kind, 'ok' AS status, 54 + n + 4 * c AS before, 54 AS after FROM p
+      UNION ALL SELECT '/pages/' || page_id::varchar || '.gif', 'gif', 'ok', 29 + 3 + n + b, 29 FROM p""",
+    "incremental_run": _ASSETS + "SELECT path, kind, status, length AS before, length AS after FROM classified",
 }

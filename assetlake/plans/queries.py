@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +14,13 @@ from ..operators import reports as R
 from ..operators import segments as G
 from ..operators import symbols as S
 from ..sources import files
+from ..sources.scratch import Scratch
 from ..streaming.incremental import incremental_run as run_incrementally
 from .fixtures import assets, containers, pixels, table
+from .optimize import rewritten, stored
 
 LIMITED = K.Settings(kinds=("gif", "png"), max_pixels=2_000_000)
+MERGED = 12  # colours of a merged palette
 QUERIES: dict = {}
 
 
@@ -32,14 +33,6 @@ def _docs(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/assetlake-{name}-{uuid.uuid4().hex}"
-
-
 # Sources and sinks
 
 
@@ -162,16 +155,15 @@ def gif_blocks(spark, d):
 
 @query
 def strip_metadata(spark, d):
-    both = []
-    for kind, listed in (("jpeg", G.jpeg_segments), ("gif", G.gif_blocks)):
-        rows = containers(spark, d, kind)
-        both.append(G.strip_metadata(rows, listed(rows)).select("path", "before", "after", F.lower(F.hex("stripped")).alias("content")))
-    return both[0].unionByName(both[1])
+    both = [G.strip_metadata(containers(spark, d, kind), kind) for kind in ("jpeg", "gif")]
+    return both[0].unionByName(both[1]).select("path", "before", "after", F.lower(F.hex("stripped")).alias("content"))
 
 
 @query
 def metadata_inventory(spark, d):
-    return G.metadata_inventory(G.jpeg_segments(containers(spark, d, "jpeg")))
+    jpeg = G.metadata_inventory(G.jpeg_segments(containers(spark, d, "jpeg"))).withColumnRenamed("marker", "label")
+    gif = G.metadata_inventory(G.gif_blocks(containers(spark, d, "gif")), "label")
+    return jpeg.select(F.lit("jpeg").alias("kind"), "*").unionByName(gif.select(F.lit("gif").alias("kind"), "*"))
 
 
 # Symbols
@@ -206,7 +198,7 @@ def chunk_payload(spark, d):
 @query
 def decay_histogram(spark, d):
     counts = lambda when: table(spark, d, "events").filter(when).groupBy("event_type").agg(F.count("*").alias("n"))
-    return S.decay_histogram(counts(F.col("ts") < F.lit("2024-01-15").cast("timestamp")), counts(F.col("ts") >= F.lit("2024-01-15").cast("timestamp")), "event_type")
+    return S.decay_histogram(counts(F.col("ts") < F.lit("2024-01-15").cast("timestamp")), counts(F.col("ts") >= F.lit("2024-01-15").cast("timestamp")), "event_type", end="end")
 
 
 @query
@@ -214,6 +206,11 @@ def value_runs(spark, d):
     return S.value_runs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 2, 2)
 
 
+@query
+def repeats_left(spark, d):
+    return S.repeats_left(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "left")
+
+
 @query
 def running_offset(spark, d):
     rows = S.running_offset(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.octet_length("props"))
@@ -247,7 +244,7 @@ def dedup_compute(spark, d):
 
 @query
 def recompress(spark, d):
-    return C.recompress(assets(spark, d), "path", "content")
+    return C.recompress(assets(spark, d).select("path", "content")).select("path", "before", "after", "setting_no", "failed", F.crc32("encoded").alias("encoded_crc32"))
 
 
 # Reports
@@ -292,7 +289,9 @@ def frame_delta(spark, d):
 
 @query
 def frame_disposal(spark, d):
-    return A.frame_disposal(pixels(spark, d))
+    shown = pixels(spark, d)
+    repeats = table(spark, d, "embeddings").select(F.col("label").alias("asset_id"), F.when(F.col("label") % 3 > 0, F.col("label") % 3 - 1).alias("repeat")).distinct()
+    return A.frame_disposal(shown, repeats)
 
 
 @query
@@ -313,9 +312,15 @@ def palette_containment(spark, d):
     return A.palette_containment(frames, shared)
 
 
+@query
+def palette_index(spark, d):
+    shown = pixels(spark, d)
+    return A.palette_index(shown, A.distinct_palette(shown)).select("asset_id", "frame_no", "pos", "index")
+
+
 @query
 def merge_palettes(spark, d):
-    merged = A.merge_palettes(A.distinct_palette(pixels(spark, d)), limit=8)
+    merged = A.merge_palettes(A.distinct_palette(pixels(spark, d)), limit=MERGED)
     return merged.select("asset_id", F.to_json("candidates").alias("candidates"))
 
 
@@ -328,25 +333,60 @@ def first_free_value(spark, d):
 def lossless_check(spark, d):
     before = pixels(spark, d)
     after = before.filter("asset_id != 3 OR frame_no > 0").withColumn("color", F.when(~((F.col("asset_id") == 5) & (F.col("pos") == 9)), F.col("color")))
-    frames = lambda p: p.groupBy("asset_id", "frame_no").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "color"))), lambda s: F.coalesce(s["color"].cast("string"), F.lit("-"))), ","), 256).alias("pixels"))
-    return A.lossless_check(frames(before), frames(after))
+
+    def frames(shown, late: bool):
+        in_order = F.array_sort(F.collect_list(F.struct("pos", "color")))
+        changed = lambda asset, frame: F.lit(late) & (F.col("asset_id") == asset) & (F.col("frame_no") == frame)
+        made = shown.groupBy("asset_id", "frame_no").agg(
+            F.bool_or(F.col("color").isNull()).alias("transparent"),
+            F.array_sort(F.collect_set(F.coalesce("color", F.lit(-1)))).alias("palette"),
+            F.sha2(F.array_join(F.transform(in_order, lambda s: F.coalesce(s["color"].cast("string"), F.lit("-"))), ","), 256).alias("pixels"),
+            F.struct((F.min("pos") % 8).alias("x"), F.floor(F.max("pos") / 8).alias("y")).alias("box"),
+        )
+        return made.withColumns({"delay": 10 * F.col("frame_no") + changed(7, 2).cast("int"), "dispose": F.when(changed(6, 1), "background").otherwise("keep"), "needs_input": F.lit(False), "interlaced": (F.col("frame_no") % 2 == 0) != changed(8, 1)})
+
+    return A.lossless_check(frames(before, False), frames(after, True))
 
 
 # Whole runs
 
 
+@query
+def read_status(spark, d):
+    listed = assets(spark, d).select("path", "doc_id")
+    return K.read_status(listed, listed.filter("doc_id % 5 != 0"), listed.filter("doc_id % 10 != 0"))
+
+
+@query
+def written_status(spark, d):
+    outcomes = assets(spark, d).select("path", F.lit("ok").alias("status"), F.col("length").alias("before"), F.floor(F.col("length") / 2).alias("after"))
+    return K.written_status(outcomes, outcomes.filter("before % 4 != 0"))
+
+
+@query
+def payload_crc(spark, d):
+    return _docs(spark, d).select("doc_id", files.content_crc("text").alias("crc"))
+
+
 @query
 def asset_report(spark, d):
-    rows = K.classify(assets(spark, d), LIMITED)
-    return rows.groupBy("kind", "status").agg(F.count("*").alias("assets"), F.sum("length").alias("bytes"))
+    rows = rewritten(assets(spark, d), LIMITED)
+    return rows.groupBy("kind", "status").agg(F.count("*").alias("assets"), F.sum("before").alias("bytes"), F.sum("after").alias("bytes_after"))
+
+
+@query
+def optimize_assets(spark, d):
+    both = containers(spark, d, "jpeg").unionByName(containers(spark, d, "gif")).withColumn("length", F.length("content").cast("long"))
+    return stored(rewritten(both), Scratch(spark, "optimize").path("out"))
 
 
 @query
 def incremental_run(spark, d):
-    source, out, checkpoint = (_shared(spark, x) for x in ("arrived", "outcomes", "progress"))
+    scratch = Scratch(spark, "incremental")
+    source, out, checkpoint = (scratch.path(x) for x in ("arrived", "out", "progress"))
     rows = assets(spark, d).select("path", "length", "content")
-    rows.write.parquet(source)
     stream = lambda: spark.readStream.schema(rows.schema).parquet(source)
-    run_incrementally(spark, stream(), out, checkpoint, LIMITED)
-    run_incrementally(spark, stream(), out, checkpoint, LIMITED)
-    return spark.read.schema("path string, kind string, width long, height long, length long, status string").parquet(out)
+    for part in (0, 1):
+        rows.filter(F.pmod(F.crc32("path"), F.lit(2)) == part).write.mode("append").parquet(source)
+        done = run_incrementally(spark, stream(), out, checkpoint, LIMITED)
+    return done.drop("batch")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("gif", "jpg", "jpeg", "png")
@@ -13,12 +15,30 @@ def any_case(extensions) -> str:
     return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
 
 
-def scan_assets(spark: SparkSession, roots: list[str], extensions=EXTENSIONS) -> DataFrame:
-    """(path, modificationTime, length, content) of the files below roots; content is read only if it is used.
+def scan_assets(spark: SparkSession, roots: list[str], extensions=EXTENSIONS, *, lists: list[str] = (), skip_unreadable: bool = False) -> DataFrame:
+    """(path, modificationTime, length, content) of the files below roots and at the paths in lists, each once; content is read only if it is used.
 
-    The scan is lazy: use require_assets where an empty result has to be an error.
+    lists: text files of further roots, one a line. The paths that Spark scans are in the driver in any case, in
+    its file index. skip_unreadable: files that cannot be read, or are gone by then, are left out instead of
+    ending the job (see classify.read_status). The scan is lazy: use require_assets where an empty result has to be an error.
     """
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions)).load(roots)
+    more = [r["path"] for r in read_path_list(spark, list(lists)).collect()] if lists else []
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions))
+    if skip_unreadable:
+        reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+    found = list(dict.fromkeys([*roots, *more]))
+    if not found:
+        raise FileNotFoundError("no roots and no lists of paths")
+    rows = reader.load(found)
+    # A file below two of the roots is listed twice; contents do not go through the shuffle that drops it.
+    return rows if len(found) == 1 else _once(rows)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    twice = rows.groupBy("path").count().filter("count > 1")
+    if twice.isEmpty():
+        return rows
+    return rows.dropDuplicates(["path"])
 
 
 def require_assets(assets: DataFrame) -> DataFrame:
@@ -76,5 +96,18 @@ def pending_lines(paths: DataFrame) -> DataFrame:
     return paths.select(F.when(bad, F.raise_error(F.lit("a path is not a line of text")).cast("string")).otherwise(F.col("path")).alias("value"))
 
 
-def write_pending(paths: DataFrame, out: str) -> None:
+def export_name(now: float | None = None) -> str:
+    """A file name with the unix time, so that exports of several runs lie side by side."""
+    return f"assetlake-{int(time.time() if now is None else now)}.txt"
+
+
+def write_pending(paths: DataFrame, folder: str, now: float | None = None) -> str:
+    """Writes the paths below folder under an export_name, and returns where; nothing is left there if a path is no line."""
+    out = f"{folder.rstrip('/')}/{export_name(now)}"
     pending_lines(paths).write.text(out)
+    return out
+
+
+def content_crc(content: str = "content") -> Column:
+    """CRC-32 of a content, as image containers store it."""
+    return F.crc32(F.col(content).cast("binary"))

@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.classify import Settings, classify
+from ..operators.classify import Settings
+from ..plans.optimize import OUTCOME, rewritten
+from ..sources.files import any_case
+from ..sources.scratch import Scratch
 
+OUTCOMES = "path string, kind string, status string, before long, after long, batch long"
 
-def incremental_run(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, settings: Settings = Settings()) -> None:
-    """Classifies the assets that ``source``, a streaming table (path, length, content), has since the last run.
 
-    Each run takes what is there, appends outcomes to out and ends; the checkpoint remembers what is
-    done. Parquet's own file sink records the batches it has written, so a batch that was cut
-    short and runs again is not there twice.
+def incremental_run(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, settings: Settings = Settings()) -> DataFrame:
+    """Optimizes the assets that ``source``, a streaming table (path, length, content), has since the last run; returns all outcomes so far.
+
+    Each run takes what is there, appends outcomes below out/outcomes and smaller contents below
+    out/results, and ends; the checkpoint remembers what is done. A batch writes to a folder of its own number, over
+    what a run that was cut short may have left there, so nothing is there twice.
     """
-    outcomes = classify(source, settings).select("path", "kind", "width", "height", "length", "status")
-    query = outcomes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def process(batch: DataFrame, number: int) -> None:
+        scratch = Scratch(batch.sparkSession, "batch")
+        made = scratch.write(rewritten(batch, settings), "made")
+        smaller = made.filter("status = 'ok' AND after < before")
+        (smaller if settings.preserve_times else smaller.drop("modificationTime")).drop("status").write.mode("overwrite").parquet(f"{out}/results/batch={number}")
+        made.select(*OUTCOME).write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
+        scratch.drop(made)
+
+    query = source.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     query.stop()
+    return spark.read.schema(OUTCOMES).parquet(f"{out}/outcomes").select(*OUTCOME, F.col("batch"))
 
 
 def stream_assets(spark: SparkSession, in_dir: str, extensions=("gif", "jpg", "jpeg", "png")) -> DataFrame:
-    from ..sources.files import any_case
-
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions)).load(in_dir)

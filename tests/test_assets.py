@@ -1,3 +1,5 @@
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +9,9 @@ from assetlake.operators import classify as K
 from assetlake.operators import frames as A
 from assetlake.operators import segments as G
 from assetlake.operators import symbols as S
-from assetlake.operators.candidates import best_candidate, recompress
+from assetlake.operators.candidates import best_candidate, png_chunks, recompress
 from assetlake.operators.reports import sort_paths
+from assetlake.plans.optimize import optimize_assets
 from assetlake.sources import files
 
 
@@ -78,7 +81,7 @@ def _until_malformed(parts):
 def test_strip_keeps_what_is_no_metadata(spark):
     gif = bytes.fromhex("47494638396101000100000000") + b"\x21\xfe\x03abc\x00" + b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00" + bytes.fromhex("2C0000000001000100000202440100") + b"\x3b"
     df = spark.createDataFrame([("x.gif", bytearray(gif)), ("y.gif", bytearray(b"GIF89a no"))], "path string, content binary")
-    got = {r.path: bytes(r.stripped) for r in G.strip_metadata(df, G.gif_blocks(df)).collect()}
+    got = {r.path: bytes(r.stripped) for r in G.strip_metadata(df, "gif").collect()}
     assert got["x.gif"] == gif.replace(b"\x21\xfe\x03abc\x00", b"") and got["y.gif"] == b"GIF89a no"
 
 
@@ -90,7 +93,7 @@ def test_block_costs(spark):
 
 def test_recompress_round_trip(spark):
     df = spark.createDataFrame([(1, bytearray(b"a" * 1000)), (2, bytearray(b"x")), (3, bytearray())], "id long, content binary")
-    got = {r.id: r for r in recompress(df, "id", "content").collect()}
+    got = {r.id: r for r in recompress(df).collect()}
     assert got[1].after < 50 and got[2].after == 1 and got[2].setting_no is None and got[3].after == 0
 
 
@@ -105,9 +108,11 @@ def test_paths_sort_by_component(spark):
 
 
 def test_merge_palettes(spark):
-    df = spark.createDataFrame([(1, [1, 2]), (1, [2, 3]), (1, [7, 8, 9]), (2, [1, 2, 3]), (2, [7, 8, 9])], "asset_id int, palette array<int>")
+    rows = {1: [[1, 2], [2, 3], [7, 8, 9]], 2: [[1, 2, 3], [7, 8, 9]], 3: [[1, 2], [1, 2], [7, 8, 9]], 4: [[1, 2]], 5: [[1, 2, 3, 4, 5]], 6: [[5], [5]]}
+    df = spark.createDataFrame([(k, i, p) for k, ps in rows.items() for i, p in enumerate(ps)], "asset_id int, frame_no int, palette array<int>")
     got = {r.asset_id: r.candidates for r in A.merge_palettes(df, 4).collect()}
     assert [1, 2, 3] in got[1] and got[2] == []
+    assert got[3] == [[1, 2]] and got[4] == [[1, 2]] and got[5] == [] and got[6] == [[5]]
 
 
 def test_scan_ignores_case_and_other_files(spark, tmp_path):
@@ -117,3 +122,90 @@ def test_scan_ignores_case_and_other_files(spark, tmp_path):
     assert got == {"a.GIF", "b.jpeg"}
     with pytest.raises(FileNotFoundError):
         files.require_assets(files.scan_assets(spark, [str(tmp_path)], ["png"]))
+
+
+def test_code_width_of_an_empty_payload(spark):
+    df = spark.createDataFrame([(1, bytearray()), (2, bytearray([8])), (3, bytearray([255])), (4, None)], "id long, content binary")
+    assert {r.id: r.width for r in S.code_width(S.histograms(df, "id", "content"), "id").collect()} == {1: 2, 2: 4, 3: 8}
+
+
+def test_strip_rows_of_one_path(spark):
+    jpeg = bytes.fromhex("FFD8FFE00004AABBFFFE0004CCDDFFDA0003007F00FF00FFD012FFD9")
+    df = spark.createDataFrame([("a", bytearray(jpeg), 1), ("a", bytearray(jpeg), 2), (None, None, 3)], "path string, content binary, before long")
+    got = [(r.path, r.before, r.after) for r in G.strip_metadata(df, "jpeg").collect()]
+    assert sorted(got[:2]) == [("a", len(jpeg), len(jpeg) - 6)] * 2 and got[2] == (None, None, None)
+    assert G.without_metadata(bytes.fromhex("FFD8FFFE0004CCDDFFD9") + bytes(8), "jpeg") is None  # 12 bytes are no image
+
+
+def _png(*chunks):
+    return b"\x89PNG\r\n\x1a\n" + b"".join(len(d).to_bytes(4) + n + d + zlib.crc32(n + d).to_bytes(4) for n, d in chunks)
+
+
+def test_the_whole_run(spark, tmp_path):
+    image = zlib.compress(bytes(20_000), 0)
+    header = (100).to_bytes(4) + (50).to_bytes(4) + bytes([8, 0, 0, 0, 0])
+    png = _png((b"IHDR", header), (b"tEXt", b"hello"), (b"IDAT", image[:7000]), (b"IDAT", image[7000:]), (b"IEND", b""))
+    jpeg = bytes.fromhex("FFD8FFE00004AABBFFFE0004CCDDFFC00008080010002001FFDA0003007F00FF00FFD012FFD9")
+    for name, content in (("a.png", png), ("b.jpg", jpeg), ("c.gif", b""), ("d.PNG", png[:-5]), ("e.txt", b"no")):
+        (tmp_path / name).write_bytes(content)
+    more = tmp_path / "more"
+    more.mkdir()
+    (more / "f.png").write_bytes(png)
+    (tmp_path / "list.txt").write_text(f"{more}/f.png\n\n  {more}/f.png \n")
+    out = str(tmp_path / "out")
+    outcomes, summary = optimize_assets(spark, [str(tmp_path)], out, lists=[str(tmp_path / "list.txt")])
+    got = {r.path.rsplit("/")[-1]: r for r in outcomes.collect()}
+    assert sorted(got) == ["a.png", "b.jpg", "c.gif", "d.PNG", "f.png"] and outcomes.count() == 5
+    assert got["c.gif"].status == "empty file" and got["b.jpg"].after == len(jpeg) - 6 and got["d.PNG"].after == got["d.PNG"].before
+    stored = {r.path.rsplit("/")[-1]: bytes(r.encoded) for r in spark.read.parquet(out).collect()}
+    assert sorted(stored) == ["a.png", "b.jpg", "f.png"] and len(stored["a.png"]) == got["a.png"].after < 300
+    kept = png_chunks(stored["a.png"])
+    assert [n for n, _ in kept] == [b"IHDR", b"IDAT", b"IEND"] and zlib.decompress(kept[1][1]) == bytes(20_000)
+    assert {r.kind: r.done for r in summary.collect()}["all"] == 4
+    with pytest.raises(FileNotFoundError):
+        optimize_assets(spark, [str(more)], out, K.Settings(kinds=("gif",)))
+    same, _ = optimize_assets(spark, [str(tmp_path)], str(tmp_path / "kept"), K.Settings(preserve_meta=True))
+    assert same.filter("after < before").count() == 0
+
+
+def test_a_frequent_key_is_split_over_slices(spark):
+    rows = [("hot" if i % 3 else f"k{i % 5}", i, "xy"[(i // 4) % 2] if i % 7 else None, i % 6) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, at int, v string, size int")
+    want, sums, left, runs = {}, {}, {}, {}
+    for k in {r[0] for r in rows}:
+        own, total = sorted((r for r in rows if r[0] == k), key=lambda r: r[1]), 0
+        for i, r in enumerate(own):
+            sums[r[1]], total = total, total + r[3]
+            left[r[1]] = next((j for j, s in enumerate(own[i + 1 :]) if s[2] != r[2]), len(own) - i - 1)
+            if not i or own[i - 1][2] != r[2]:
+                runs.setdefault(k, []).append([r[2], i, 0])
+            runs[k][-1][2] += 1
+    assert {r.at: r.offset for r in S.running_offset(df, "k", ["at"], F.col("size")).collect()} == sums
+    assert {r.at: r.left for r in S.repeats_left(df, "k", ["at"], "v").collect()} == left
+    for r in S.value_runs(df, "k", ["at"], "v").collect():
+        want.setdefault(r.k, []).append((r.run_no, [r.v, r.first, r.n]))
+    assert {k: [x for _, x in sorted(v)] for k, v in want.items()} == runs
+    assert all(sorted(n for n, _ in v) == list(range(1, len(v) + 1)) for v in want.values())
+
+
+def test_budgets_costs_and_ends(spark):
+    row = spark.createDataFrame([(100, 300, 300)], "length int, width long, height long")
+    assert row.select(*(c.alias(k) for k, c in K.effort_budget(0, 0).items())).first()[:] == (0, 0)
+    assert row.select(*(c.alias(k) for k, c in K.effort_budget().items())).first()[:] == (60, 300)
+    one = spark.createDataFrame([(0.0, 0.0), (0.0, 32.0), (4.0, 32.0)], "n double, total double")
+    assert [r[0] for r in one.select(S.symbol_cost(F.col("n"), F.col("total"), S.EMPTY_DISTANCES)).collect()] == [5.0, 5.0, 3.0]
+    old, new = (spark.createDataFrame(x, "sym int, n long") for x in ([(1, 5), (256, 9)], [(1, 2)]))
+    assert {r.sym: r.n for r in S.decay_histogram(old, new, "sym", end=256).collect()} == {1: 4, 256: 1}
+    df = spark.createDataFrame([(1, bytearray(b"aa")), (2, bytearray())], "id long, content binary")
+    assert sorted(r[:3] for r in S.exploded(S.histograms(df, "id", "content"), "id", end=256).collect()) == [(1, 97, 2), (1, 256, 1), (2, 256, 1)]
+
+
+def test_an_animation_that_plays_once(spark):
+    df = spark.createDataFrame([(a, f, p, None if p == 0 else 5) for a in (1, 2, 3) for f in (0, 1) for p in (0, 1)], "asset_id int, frame_no int, pos int, color int")
+    repeats = spark.createDataFrame([(1, 0), (2, None)], "asset_id int, repeat int")
+    got = {(r.asset_id, r.frame_no): r.dispose for r in A.frame_disposal(df, repeats).collect()}
+    assert got[1, 1] == "keep" and got[2, 1] == got[3, 1] == "background"
+
+
+def test_export_name():
+    assert files.export_name(1700000000.9) == "assetlake-1700000000.txt"
