@@ -10,7 +10,7 @@ from ..operators.candidates import ZLIB_SETTINGS, png_codec, same_png, smallest
 from ..operators.classify import Settings, classify, read_status, written_status
 from ..operators.reports import run_summary
 from ..operators.segments import BATCH_ROWS, PARTS, without_metadata
-from ..sources.files import require_assets, scan_assets
+from ..sources.files import require_assets, scan_assets, with_empty
 from ..sources.scratch import Scratch
 
 #: By kind: (encode, same). Kinds without an entry are stripped only.
@@ -77,10 +77,12 @@ def optimize_assets(spark: SparkSession, roots: list[str], out: str, settings: S
     one that is not in out though it should be a write error; the others are done all the same.
     """
     extensions = settings_extensions(settings)
-    listed = require_assets(scan_assets(spark, roots, extensions, lists=lists).select("path", "length"))
     scratch = Scratch(spark, "run")
-    listed = scratch.write(listed, "listed")
-    made = scratch.write(rewritten(scan_assets(spark, roots, extensions, lists=lists, skip_unreadable=True), settings, codecs), "made")
+    listed = scratch.write(with_empty(scan_assets(spark, roots, extensions, lists=lists).select("path", "length")), "listed")
+    require_assets(listed)
+    empty = listed.filter("length = 0").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", F.lit(b"").alias("content"))
+    scanned = scan_assets(spark, roots, extensions, lists=lists, skip_unreadable=True).unionByName(empty)
+    made = scratch.write(rewritten(scanned, settings, codecs), "made")
     again = scan_assets(spark, roots, extensions, lists=lists).select("path")
     unread = read_status(listed, made, again).filter("io IS NOT NULL")
     lost = unread.join(listed, "path").select("path", F.lit(None).cast("string").alias("kind"), F.col("io").alias("status"), F.col("length").alias("before"), F.col("length").alias("after"))

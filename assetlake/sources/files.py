@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,18 @@ def scan_assets(spark: SparkSession, roots: list[str], extensions=EXTENSIONS, *,
     return rows if len(found) == 1 else _once(rows)
 
 
+def with_empty(rows: DataFrame) -> DataFrame:
+    """rows of scan_assets and those of files without bytes, which Spark's readers leave out though their file index has them; such rows have no modificationTime.
+
+    The index, and with it every path, is in the driver in any case (see scan_assets); only names go through here.
+    """
+    spark = rows.sparkSession
+    names = [(re.sub("^([a-z][a-z0-9+.-]*):///", r"\1:/", unquote(p)),) for p in rows.inputFiles()]
+    missing = spark.createDataFrame(names, "path string").distinct().join(rows.select("path"), "path", "left_anti")
+    values = {"modificationTime": F.lit(None).cast("timestamp"), "length": F.lit(0).cast("long"), "content": F.lit(b"")}
+    return rows.unionByName(missing.select("path", *(v.alias(c) for c, v in values.items() if c in rows.columns)))
+
+
 def _once(rows: DataFrame) -> DataFrame:
     twice = rows.groupBy("path").count().filter("count > 1")
     if twice.isEmpty():
