@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontamination import op10_decontamination
+from .decontamination import OP10_SQL, op10_decontamination
 from .language_id import op7_language_id
 from .license_scan import op1_license_scan
 from .lm_scoring import op3_lm_scoring
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontamination": OP10_SQL}

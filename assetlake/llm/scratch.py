@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.scratch import Scratch, shared_dir, written  # noqa: F401
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; where it is unset (tests on one machine), a folder of our own."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = context.getCheckpointDir()
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet and read again: later steps do not compute it anew, and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/assetlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        Scratch(df.sparkSession, "dropped").drop(df)
 
 
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, to choose partition counts by; a scan without a shuffle of rows."""
-    from pyspark.sql import functions as F
-
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def veiled(docs: DataFrame, needed: tuple[str, ...]):
+    """(docs, unveil): docs with columns other than those needed under names that no operator uses, and what gives them their names back.
+
+    unveil takes a DataFrame with all of these columns and returns them alone, as they were. No column is read for it.
+    """
+    names = [c if c in needed else f"carried {i}" for i, c in enumerate(docs.columns)]
+    back = [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*back)
