@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .annotate import annotate
 from .grams import SPACE, segment_sums, shingles, word_hashes, words
+from .scratch import veiled
 
 #: The symbols that the base columns count.
 SYMBOLS = "#*$%&|<>"
@@ -153,10 +154,16 @@ def quality_rules(docs: DataFrame, *, text: str = "text", threshold: float = 0.5
 
 
 def op5_quality_rules(spark, sf_dir):
+    """A row for each document: doc_id, its counts, base_failed, kept and quality (see quality_rules for nulls and repeats)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return quality_rules(docs, carry=["doc_id"])
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_rules(docs, carry=["doc_id"]).select("doc_id", *counts, "base_failed", "kept", "quality")
 
 
 def stage_quality_rules(spark, docs, sf_dir):
-    """The documents that the rules keep."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns they had, whatever the names of these.
+
+    Null, empty and very short texts go; equal texts stay or go together; an empty table gives an empty one.
+    """
+    own, unveil = veiled(docs, ("text",))
+    return unveil(quality_rules(own).filter("kept"))
