@@ -276,4 +276,5 @@ def op4_packing(spark, sf_dir):
 
 
 def stage_packing(spark, docs, sf_dir):
+    """A row for each piece of the documents (see pack); the last stage, so that other columns end here."""
     return pack(docs.select("doc_id", "text"))
