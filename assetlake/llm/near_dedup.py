@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .annotate import annotate
 from .grams import blocks, mix, runs, segment_sums, shingles, text_buffers, word_hashes, words
-from .scratch import written
+from .scratch import dropped, veiled, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -239,23 +239,29 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     roots = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "key"), "roots")
+    before = roots
     while True:
         near = both.join(roots.select(F.col("key").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near.withColumnRenamed("a", "key"), "key").select("key", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = roots.select(F.col("key").alias("root"), F.col("root").alias("further"))
         after = written(step.join(jump, "root", "left").select("key", "old", F.least("root", "further").alias("root")), "roots")
-        changed = after.filter("old != root").limit(1).count()
-        roots = after.select("key", "root")
+        changed = not after.filter("old != root").isEmpty()
+        dropped(before)
+        before, roots = after, after.select("key", "root")
         if not changed:
+            dropped(both)
             return roots
 
 
 def _together(roots: DataFrame, merges: DataFrame) -> DataFrame:
     """roots(key, root) after merges(a, b) of them."""
     if merges.isEmpty():
+        dropped(merges)
         return roots
     further = components(merges).select(F.col("key").alias("root"), F.col("root").alias("further"))
-    return written(roots.join(further, "root", "left").select("key", F.coalesce("further", "root").alias("root")), "roots")
+    after = written(roots.join(further, "root", "left").select("key", F.coalesce("further", "root").alias("root")), "roots")
+    dropped(merges, roots)
+    return after
 
 
 def _sized(buckets: DataFrame) -> DataFrame:
@@ -330,6 +336,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     apart = written(_apart(buckets.filter("parts > 1"), roots), "apart")
     if not apart.isEmpty():
         roots = _together(roots, _merges(_across(apart, texts), idf, threshold))
+    dropped(apart, buckets, texts)
     joined = sketches.select("doc_id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = joined.filter("key IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.count("*").alias("size"))
     return joined.join(classes, "root", "left").select(
@@ -345,9 +352,13 @@ def op8_near_dedup(spark, sf_dir):
 
 
 def stage_near_dedup(spark, docs, sf_dir):
-    """One document of each class: the row of the least doc_id. Rows with a null text stay."""
+    """One document of each class, with the columns it had: the row of the least doc_id, and of equal such rows one.
+
+    Rows with a null text stay; empty texts are equal texts; an empty table gives an empty one. Extra columns may have any names.
+    """
+    docs, unveil = veiled(docs, ("doc_id", "text"))
     found = near_duplicates(docs.select("doc_id", "text"))
     reps = found.filter("class_key IS NOT NULL").select(F.col("class_id").alias("rep_id"), F.col("class_key").alias("rep_key")).distinct()
     keyed = docs.withColumn("near_dedup_key", F.unhex(F.md5("text")))
     kept = keyed.filter("near_dedup_key IS NOT NULL").join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("near_dedup_key") == F.col("rep_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "near_dedup_key"]).unionByName(keyed.filter("near_dedup_key IS NULL")).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "near_dedup_key"]).unionByName(keyed.filter("near_dedup_key IS NULL")).transform(unveil)
