@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .annotate import annotate
@@ -119,19 +119,21 @@ def has_letter(text: str) -> bool:
 def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, languages: int = 200):
     """(languages, network) from docs(text, lang), null lang and texts without a letter left out; None if nothing is left.
 
-    Of each language about ``sample_docs`` rows are drawn by a hash of their text, never more than
-    twice as many in all, and of each SAMPLE_WINDOWS windows. More than ``languages`` distinct values are an error.
+    Of each language about ``sample_docs`` distinct texts are drawn by a hash, never more than twice as
+    many, and of each SAMPLE_WINDOWS windows, spread evenly over the whole text. Copies of a text count as one. More than ``languages`` distinct values are an error.
     """
     spark = docs.sparkSession
-    known = docs.filter("lang IS NOT NULL AND octet_length(text) >= 16")
-    there = known.groupBy("lang").count().orderBy("lang").limit(languages + 1).collect()
+    known = docs.filter("lang IS NOT NULL AND octet_length(text) > 0")
+    there = known.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().orderBy("lang").limit(languages + 1).collect()
     if not there:
         return None
     if len(there) > languages:
         raise ValueError(f"over {languages} languages")
     share = F.create_map(*(x for r in there for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))))
     drawn = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
-    few = known.filter(drawn).limit(2 * sample_docs * len(there))
+    texts = known.filter(drawn).select("lang", "text").dropDuplicates()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(7)), "text")  # of about sample_docs rows
+    few = texts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * sample_docs)
 
     def run(batches):
         for batch in batches:
@@ -139,7 +141,9 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, languages: int = 200
             windows, held, n = cut(data, offsets)
             first = np.cumsum(n) - n
             langs, found = [], []
-            for lang, f, m in zip(batch.column(0).to_pylist(), first, n):
+            for lang, text, f, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), first, n):
+                if not has_letter(text):
+                    continue
                 for w in sorted({f + i * m // SAMPLE_WINDOWS for i in range(SAMPLE_WINDOWS)}):
                     langs.append(lang)
                     found.append(windows[w].tobytes())
