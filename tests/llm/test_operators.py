@@ -1,9 +1,10 @@
 """The operators on a small awkward table: nulls, empty and repeated rows, clashing names."""
 
-import zlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from assetlake.llm import decontamination, language_id, license_scan, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, token_output, toxicity
 from assetlake.llm.scratch import written
@@ -113,4 +114,41 @@ def test_binary_output_round_trip(docs, empty):
         if i != 4:
             assert whole[-1 if i is None else i] == encode([text or ""])[0].tobytes(), i
     assert token_output.token_sequences(empty).count() == 0
-    assert zlib.crc32(b"") == 0
+
+
+def test_token_ids_are_those_of_the_tokenizer(docs):
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.token_ids(packing.default_tokenizer())
+    texts = [t or "" for _, t, _ in ROWS] + ["  two  spaces\n\tand tabs ", "naïve café 12,5 % — “x”", "a" * 3000, "日本語 text"]
+    for text, got in zip(texts, encode(texts)):
+        assert got.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_short_items_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(12))) for _ in range(120)] + [None, "A b  C\nd"]
+    items = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(5))) for _ in range(25)] + [None, "a b", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, x.item) for r in decontamination.find_leaks(docs, bench).collect() for x in r.leaks}
+    inside = lambda t, i: any(t[k : k + len(i)] == i for k in range(len(t) - len(i) + 1))
+    split = lambda x: (x or "").lower().split()
+    assert got == {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if split(x) and inside(split(t), split(x))}
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, PROSE[::-1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1), (1, 1), (4, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    theirs = ("pattern", "kept", "quality", "keep", "leaks", "perplexity", "threshold", "rep_id", "rep_key", "near_dedup_key", "a.b", "key", "chunk")
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("theirs") for c in theirs})
+    stages = (quality_rules.stage_quality_rules, quality_classifier.stage_quality_classifier, near_dedup.stage_near_dedup, decontamination.stage_decontamination)
+    for stage in stages:
+        for table, name in ((docs, "some"), (docs.limit(0), "none")):
+            before = written(table, name)
+            after = stage(spark, before, str(tmp_path))
+            rows = after.collect()
+            assert after.columns == before.columns and len(rows) <= len(ROWS) * (name == "some"), stage
+            assert all(r[c] == "theirs" for r in rows for c in theirs), stage
+            if name == "some":
+                ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in rows)
+                assert 0 in ids and (stage is not near_dedup.stage_near_dedup or (1 not in ids and 4 not in ids and 2 in ids)), (stage, ids)
