@@ -22,7 +22,6 @@ from .grams import SPACE, byte_codes, segment_sums, sum_by, sums_by_text, tally,
 from .kneser_ney import ORDER, Level, lower_levels, mask, probability
 
 SAMPLE_DOCS = 3000  # of each class
-SAMPLE_TEXT_BYTES = 1 << 16  # longer texts do not train
 DAMPING = 32  # symbols without evidence that each text is taken to have, so that a few words prove little
 SHARED = 2  # n-grams of so many symbols and fewer are counted over both classes
 
@@ -121,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS):
     if not picked:
         return None
     sample = spark.createDataFrame([(r[0], r[1]) for r in picked], "doc_id long, toxic int")
-    texts = docs.filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(sample), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0)
+    texts = docs.filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0)
     table = gram_counts(texts.filter("NOT held"), "toxic").toPandas().sort_values("code")
     by = [(x["code"].to_numpy(np.uint64), x["n"].to_numpy(np.int64)) for x in (table[table["toxic"] == 1], table[table["toxic"] == 0])]
     if not len(by[0][0]) or not len(by[1][0]):
@@ -163,6 +162,7 @@ def remainder(doc_id: str, n: int) -> Column:
 
 
 def op2_toxicity(spark, sf_dir):
+    """A row for each document: doc_id, held_out, score, predicted, evidence (see toxicity for nulls, empty texts and repeats)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     fitted = fit(docs, labels.filter(remainder("doc_id", 3) != 1))
