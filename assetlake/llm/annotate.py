@@ -17,7 +17,7 @@ def annotate(df: DataFrame, added: str, compute: Callable, *, text: str = "text"
 
     compute(data, offsets, batch) gets the bytes and offsets of a slice's texts and the slice, and
     returns one Arrow array or list for each added column. A column of df that has the name of an
-    added one is replaced. No shuffle; a slice holds a few MB of text or one longer text.
+    added one is replaced. No shuffle; a slice holds a MB of text or one longer text.
     """
     new = T._parse_datatype_string(added)
     names = set(new.fieldNames())

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 START, END = 0xFE, 0xFF  # never part of UTF-8
 
 SPACE = np.zeros(256, bool)

@@ -29,7 +29,8 @@ from .scratch import written
 CAPACITY = 4096
 END_ID = 2
 SALTS = 64
-CACHED_WORDS, CACHED_CORES = 300_000, 1_000_000
+CACHED_WORDS, CACHED_CORES = 150_000, 300_000  # kept from slice to slice, about; a worker lives on after its task, and so does what it keeps
+ENCODED = 8192  # words that are tokenized at once
 MARKS = ".,!#*$%&"
 
 
@@ -171,11 +172,12 @@ class TokenIds:
         # No token spans white space, so a text's ids are its words' ids in a row.
         known, split = self.known, [text.split(" ") for text in texts]
         every = set().union(*split)
-        if len(known) > CACHED_WORDS:
-            known.clear()
         self.learn([p for p in every if p not in known])
         last = [np.uint32(end).tobytes()]
-        return [np.frombuffer(b"".join([*map(known.__getitem__, parts), *last]), np.uint32) for parts in split]
+        ids = [np.frombuffer(b"".join([*map(known.__getitem__, parts), *last]), np.uint32) for parts in split]
+        if len(known) > CACHED_WORDS:
+            self.known = {p: known[p] for p in every}
+        return ids
 
     def learn(self, fresh: list[str]) -> None:
         # Letters and the marks after them are never in one token either, and case does not count.
@@ -189,14 +191,16 @@ class TokenIds:
             else:
                 words.append(word)
                 tails.append("")
-        cores = self.cores
-        if len(cores) > CACHED_CORES:
-            cores.clear()
-        new = [c for c in {*words, *tails} if c not in cores]
-        for core, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cores[core] = array("I", e.ids).tobytes()
+        cores, used = self.cores, {*words, *tails}
+        new = [c for c in used if c not in cores]
+        for low in range(0, len(new), ENCODED):
+            some = new[low : low + ENCODED]
+            for core, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                cores[core] = array("I", e.ids).tobytes()
         found = cores.__getitem__
         self.known.update(zip(fresh, map(add, map(found, words), map(found, tails))))
+        if len(cores) > CACHED_CORES:
+            self.cores = {c: cores[c] for c in used}
 
 
 _tokenizers: dict[str, TokenIds] = {}
