@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .grams import blocks, text_buffers
+from .grams import blocks, settle, text_buffers
 
 
 def annotate(df: DataFrame, added: str, compute: Callable, *, text: str = "text", carry: Iterable[str] | None = None) -> DataFrame:
@@ -38,5 +38,6 @@ def annotate(df: DataFrame, added: str, compute: Callable, *, text: str = "text"
                     [*(piece.column(i) for i in range(len(kept_names))), *(x if isinstance(x, pa.Array) and x.type == k else pa.array(x, k) for x, k in zip(found, kinds))],
                     names=[*kept_names, *new.fieldNames()],
                 )
+        settle()
 
     return df.select(*(f"`{c}`" for c in inputs)).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ says otherwise.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,14 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def settle() -> None:
+    """Gives back what freed arrays still hold: a Python worker outlives its task, and what it holds counts beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+    if trim is not None:
+        trim(0)
+
+
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most ``limit`` bytes together (a longer text is a range of its own)."""
     low, last = 0, len(offsets) - 1

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grams import settle
+
 CHUNK_BYTES = 24 << 20
 GROUP_KEYS = 2_000_000  # distinct n-grams that one task holds, on average
 
@@ -58,6 +60,7 @@ def listed_keys(docs: DataFrame, keys) -> DataFrame:
         for chunk, rows in chunks(batches, text):
             found, n = keys(rows)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found.astype(np.int64)), pa.array(n)], names=["chunk", "key", "n"])
+        settle()
 
     return docs.mapInArrow(run, "chunk long, key long, n long")
 
@@ -73,6 +76,7 @@ def packed(docs: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
                 out.write_table(rows)
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
+        settle()
 
     return docs.mapInArrow(run, "chunk long, rows binary")
 
@@ -99,6 +103,8 @@ def score_chunks(docs: DataFrame, values: DataFrame, score, schema: str) -> Data
         order = np.argsort(keys)
         keys, own = keys[order], found.column("value").to_numpy()[order]
         made = [score(pa.ipc.open_stream(x.as_py()).read_all(), keys, own) for x in rows.column("rows")]
+        del keys, own, order
+        settle()
         return pa.concat_tables(made) if made else pa.table({})
 
     return packed(docs).groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(run, schema)

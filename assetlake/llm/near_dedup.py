@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .annotate import annotate
-from .grams import blocks, mix, runs, segment_sums, shingles, text_buffers, word_hashes, words
+from .grams import blocks, mix, runs, segment_sums, settle, shingles, text_buffers, word_hashes, words
 from .scratch import dropped, veiled, written
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -79,6 +79,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                 counts += np.bincount(_bucket(found), minlength=DF_BUCKETS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "n"])
+        settle()
 
     table = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # DF_BUCKETS rows at most
     counters = np.zeros(DF_BUCKETS, np.int64)
@@ -221,6 +222,7 @@ def _merges(rows: DataFrame, idf, threshold: float) -> DataFrame:
             yield from told(compare(table.slice(0, starts[-1]), starts))
         if tail is not None:
             yield from told(compare(tail, np.array([0, tail.num_rows])))
+        settle()
 
     def told(pairs):
         pairs = list(pairs)
