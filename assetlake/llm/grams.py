@@ -74,9 +74,9 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         low = min(high, last)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte ranges of the words, and of each text its first word's number."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte ranges of the words, and of each text its first word's number. apart: which bytes are in no word."""
+    solid = ~apart[data]
     begin, stop = solid.copy(), solid.copy()
     if len(data):
         begin[1:] &= ~solid[:-1]
@@ -90,13 +90,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, apart: np.ndarray = SPACE) -> np.ndarray:
     """A 64-bit hash of each word, A-Z as a-z unless fold is false. The words must be all of those in ``data``."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
-    solid = data[~SPACE[data]]
+    solid = data[~apart[data]]
     place = np.arange(len(solid)) - np.repeat(first, sizes)
     return mix(np.add.reduceat((_FOLD if fold else _PLAIN)[solid] * _powers(int(sizes.max()))[place], first) + sizes.astype(np.uint64))
 

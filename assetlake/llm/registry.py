@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP10_SQL, op10_decontamination
 from .language_id import op7_language_id
+from .lexical_search import OP13_SQL, op13_lexical_search
 from .license_scan import op1_license_scan
 from .lm_scoring import op3_lm_scoring
 from .near_dedup import op8_near_dedup
@@ -12,6 +13,7 @@ from .quality_classifier import op9_quality_classifier
 from .quality_rules import op5_quality_rules
 from .token_output import op6_token_output
 from .toxicity import op2_toxicity
+from .url_filter import OP12_SQL, op12_url_filter
 
 
 def queries() -> dict:
@@ -26,8 +28,10 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_decontamination": op10_decontamination,
+        "op12_url_filter": op12_url_filter,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op10_decontamination": OP10_SQL, "op12_url_filter": OP12_SQL, "op13_lexical_search": OP13_SQL}
