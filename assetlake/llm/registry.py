@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_tokenizer_alignment
 from .decontamination import OP10_SQL, op10_decontamination
 from .language_id import op7_language_id
 from .lexical_search import OP13_SQL, op13_lexical_search
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_decontamination": op10_decontamination,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_url_filter": op12_url_filter,
         "op13_lexical_search": op13_lexical_search,
     }
