@@ -12,8 +12,14 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.headers import PNG_MAGIC
 
-#: Settings of the deflate codecs, (level, strategy), in the order in which they win ties.
-ZLIB_SETTINGS = ((9, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_FILTERED), (6, zlib.Z_RLE), (6, zlib.Z_HUFFMAN_ONLY))
+#: Settings of the deflate codecs, (level, strategy, memory), in the order in which they win ties.
+ZLIB_SETTINGS = ((9, zlib.Z_DEFAULT_STRATEGY, 9), (9, zlib.Z_FILTERED, 9), (6, zlib.Z_RLE, 9), (6, zlib.Z_HUFFMAN_ONLY, 9))
+#: These and further ones, for work that an effort budget allows: as many as the largest budget has rounds.
+EFFORTS = ZLIB_SETTINGS + tuple(
+    x
+    for x in ((level, strategy, memory) for memory in (8, 9, 7, 6, 5, 4, 3) for level in (9, 8, 7, 6, 5) for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FILTERED))
+    if x not in ZLIB_SETTINGS
+)[: 60 - len(ZLIB_SETTINGS)]
 #: PNG chunks that are neither image nor colour nor animation, and go unless metadata is preserved.
 PNG_METADATA = frozenset([b"tEXt", b"zTXt", b"iTXt", b"eXIf", b"tIME", b"pHYs", b"sPLT", b"hIST"])
 
@@ -41,8 +47,8 @@ def dedup_compute(df: DataFrame, key: str, content: str, compute: Callable[[Data
 
 
 def _deflated(content: bytes, setting: int) -> bytes:
-    level, strategy = ZLIB_SETTINGS[setting]
-    c = zlib.compressobj(level, zlib.DEFLATED, 15, 9, strategy)
+    level, strategy, memory = EFFORTS[setting]
+    c = zlib.compressobj(level, zlib.DEFLATED, 15, memory, strategy)
     return c.compress(content) + c.flush()
 
 

@@ -78,3 +78,44 @@ def containers(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         comments = F.concat(F.lit("21FE"), F.array_join(segments, ""), F.lit("00"))
     path = F.concat(F.lit("/pages/"), F.col("page_id").cast("string"), F.lit(".jpg" if kind == "jpeg" else ".gif"))
     return pages.select(path.alias("path"), F.unhex(F.concat(F.lit(head), comments, F.lit(tail))).alias("content"))
+
+
+#: An image of 32 x 32 grey pixels, all 0, as it is filtered, and stored without compression.
+GREY = bytes(32 * 33)
+_STORED = "7801" + "01" + len(GREY).to_bytes(2, "little").hex() + (0xFFFF - len(GREY)).to_bytes(2, "little").hex() + GREY.hex() + "04200001"
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): each page as a comment in a whole JPEG, GIF and PNG, each with something of its own to keep; every tenth page's files twice.
+
+    Kept are the URL in an application segment of the JPEG and in a private chunk of the PNG, and a colour table of the GIF.
+    """
+    pages = table(spark, sf_dir, "pages").filter("html IS NOT NULL AND html != ''")
+    rows = pages.select("page_id", F.hex(F.col("html").cast("binary")).alias("body"), F.hex(F.coalesce("url", F.lit("")).cast("binary")).alias("url"))
+
+    def sized(hex_text, digits: int, more: int = 0):
+        return F.lpad(F.hex((F.length(hex_text) / 2 + more).cast("long")), digits, "0")
+
+    def pieces(size: int, digits: int, head: str, more: int):
+        at = F.sequence(F.lit(0).cast("long"), F.floor((F.length("body") - 1) / (2 * size)))
+        return F.array_join(F.transform(at, lambda i: F.concat(F.lit(head), sized(F.substring("body", (i * 2 * size + 1).cast("int"), F.lit(2 * size)), digits, more), F.substring("body", (i * 2 * size + 1).cast("int"), F.lit(2 * size)))), "")
+
+    def chunk(name: str, data):
+        named = F.concat(F.lit(name.encode().hex()), data)
+        return F.concat(sized(data, 8), named, F.lpad(F.hex(F.crc32(F.unhex(named))), 8, "0"))
+
+    url, body = F.col("url"), F.col("body")
+    flags = F.col("page_id") % 8
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFEE"), sized(url, 4, 2), url, pieces(60_000, 4, "FFFE", 2), F.lit("FFC00011080020001003011100021101031101FFDA0008010100003F00D2CF20FFD9"))
+    gif = F.concat(
+        F.lit("47494638396110002000"), F.lpad(F.hex(flags + 0x80), 2, "0"), F.lit("0000"), F.repeat(F.lit("00"), (3 * F.pow(F.lit(2), flags + 1)).cast("int")),
+        F.lit("21F904000000000021FE"), pieces(255, 2, "", 0), F.lit("002C00000000100020000002024C01003B"),
+    )
+    png = F.concat(
+        F.lit("89504E470D0A1A0A"), chunk("IHDR", F.lit("0000002000000020" + "0800000000")), chunk("prVt", url), chunk("tEXt", body), chunk("IDAT", F.lit(_STORED)), chunk("IEND", F.lit("")),
+    )
+    every = rows.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("hex")) for k, c in (("jpg", jpeg), ("gif", gif), ("PNG", png))))).alias("file"))
+    folders = F.when(F.col("page_id") % 10 == 0, F.array(F.lit("pages"), F.lit("copies/of/pages"))).otherwise(F.array(F.lit("pages")))
+    each = every.select("page_id", "file.*", F.explode(folders).alias("folder"))
+    path = F.concat(F.col("folder"), F.lit("/"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit("."), F.col("kind"))
+    return each.select(path.alias("path"), F.unhex("hex").alias("content"))

@@ -1,95 +1,167 @@
-"""The whole run: scan, classify, try encodings, strip, keep the smallest, write, report."""
+"""The whole run: list, leave out what is done, read, classify, encode each payload once, commit, report.
+
+Results and outcomes are versions (see sources.versions): a batch of files counts once it is committed,
+so that a run that ends early keeps all but its last batch, and running again does only what is left. The
+outcomes of committed batches are the journal by which files are left out before they are read; their results
+are the store, by SHA-256 of the payload, by which a payload is encoded once, however many files and runs have it.
+Contents are never shuffled: only rows of names are, before a task reads what they name.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.candidates import ZLIB_SETTINGS, png_codec, same_png, smallest
-from ..operators.classify import Settings, classify, read_status, written_status
+from ..operators.candidates import EFFORTS, png_codec, same_png, smallest
+from ..operators.classify import READ_ERROR, VANISHED, WRITE_ERROR, Settings, classify, effort_budget
 from ..operators.reports import run_summary
 from ..operators.segments import BATCH_ROWS, PARTS, without_metadata
-from ..sources.files import require_assets, scan_assets, with_empty
+from ..sources.files import write_files
+from ..sources.listing import by_part, list_files, packed, read_files
 from ..sources.scratch import Scratch
+from ..sources.versions import Versions
 
 #: By kind: (encode, same). Kinds without an entry are stripped only.
 CODECS = {"png": (png_codec, same_png)}
 OUTCOME = ("path", "kind", "status", "before", "after")
+OUTCOMES = "path string, length long, modificationTime timestamp, digest string, settings string, kind string, status string, before long, after long"
+RESULTS = "digest string, settings string, kind string, before long, after long, tried int, encoded binary"
+#: Files with these outcomes are done again by the next run.
+AGAIN = (READ_ERROR, VANISHED, WRITE_ERROR)
+PART_COST = 2 << 30  # bytes times settings tried that one task works on, or one larger file
+BATCH_PARTS = 2000  # parts that are committed together
+
+
+def better(kind: str, raw: bytes, tries: int, settings: Settings, codecs: dict) -> bytes | None:
+    """A smaller content that stands for raw, by the kind's codec or without its metadata; None without one."""
+    made = None
+    if kind in codecs and not settings.preserve_meta:
+        _, made, _ = smallest(raw, tries, *codecs[kind])
+    if made is None and kind in PARTS and not settings.preserve_meta:
+        made = without_metadata(raw, kind)
+    return made
+
+
+def tries(settings: Settings) -> Column:
+    """How many settings a file of some length is worth: its rounds, as far as there are settings."""
+    return F.least(effort_budget(settings.rounds)["rounds"], F.lit(len(EFFORTS))).cast("int")
 
 
 def rewritten(assets: DataFrame, settings: Settings = Settings(), codecs: dict = CODECS) -> DataFrame:
     """(path, kind, status, before, after, modificationTime, encoded): what becomes of each asset, and its new content if that is smaller.
 
-    A kind with a codec is encoded anew, and JPEG and GIF files that this does not make smaller are
+    A kind with a codec is encoded anew, with as many settings as its effort budget has rounds, and JPEG and GIF files that this does not make smaller are
     stripped of metadata, unless it is to be preserved, which also leaves PNG files as they are. An asset stays in its
     task from the scan to here. Assets that are not ok keep their size.
     """
     rows = classify(assets, settings)
     if "modificationTime" not in rows.columns:
         rows = rows.withColumn("modificationTime", F.lit(None).cast("timestamp"))
-    names = ["path", "kind", "status", "before", "modificationTime", "content"]
-    rows = rows.withColumn("before", F.col("length").cast("long")).select(*names)
-    tries = len(ZLIB_SETTINGS) if settings.rounds is None else min(settings.rounds, len(ZLIB_SETTINGS))
-
-    def better(kind: str, raw: bytes) -> bytes | None:
-        made = None
-        if kind in codecs and not settings.preserve_meta:
-            _, made, _ = smallest(raw, tries, *codecs[kind])
-        if made is None and kind in PARTS and not settings.preserve_meta:
-            made = without_metadata(raw, kind)
-        return made
+    names = ["path", "kind", "status", "before", "modificationTime", "tries", "content"]
+    rows = rows.withColumns({"before": F.col("length").cast("long"), "tries": tries(settings)}).select(*names)
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, BATCH_ROWS):
                 piece = batch.slice(low, BATCH_ROWS)
-                kinds, states, contents = (piece.column(names.index(c)).to_pylist() for c in ("kind", "status", "content"))
-                encoded = [better(k, x) if s == "ok" else None for k, s, x in zip(kinds, states, contents)]
-                before = piece.column(names.index("before")).to_pylist()
-                after = pa.array([b if x is None else len(x) for b, x in zip(before, encoded)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(4)), after, piece.column(4), pa.array(encoded, pa.binary())], names=[*OUTCOME, "modificationTime", "encoded"])
+                columns = {c: piece.column(i) for i, c in enumerate(names)}
+                kinds, states, contents, worth = (columns[c].to_pylist() for c in ("kind", "status", "content", "tries"))
+                encoded = [better(k, x, n, settings, codecs) if s == "ok" else None for k, s, x, n in zip(kinds, states, contents, worth)]
+                after = pa.array([b if x is None else len(x) for b, x in zip(columns["before"].to_pylist(), encoded)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(columns[c] for c in OUTCOME[:4]), after, columns["modificationTime"], pa.array(encoded, pa.binary())], names=[*OUTCOME, "modificationTime", "encoded"])
 
     return rows.mapInArrow(run, "path string, kind string, status string, before long, after long, modificationTime timestamp, encoded binary")
 
 
-def stored(made: DataFrame, out: str, settings: Settings = Settings()) -> DataFrame:
-    """Writes rewritten's smaller assets to out, by kind, and returns (path, kind, status, before, after) of all.
+def _encoded(elected: DataFrame, tag: str, settings: Settings, codecs: dict) -> DataFrame:
+    """RESULTS of elected(digest, kind, tries, content): a row for each payload that is still what its digest says."""
+    names = ["digest", "kind", "tries", "content"]
 
-    Everything is computed once, into a scratch table that is deleted when what is worth keeping has been copied from it.
-    """
-    spark = made.sparkSession
-    scratch = Scratch(spark, "optimized")
-    whole = scratch.write(made, "results")
-    smaller = whole.filter("status = 'ok' AND after < before")
-    (smaller if settings.preserve_times else smaller.drop("modificationTime")).drop("status").write.mode("append").partitionBy("kind").parquet(out)
-    outcomes = scratch.write(whole.select(*OUTCOME), "outcomes")
-    there = spark.read.schema("path string, before long, after long, encoded binary, kind string").parquet(out).filter("octet_length(encoded) = after")
-    checked = scratch.write(written_status(outcomes, there.select("path")), "checked")
-    scratch.drop(whole, outcomes)
-    return checked
-
-
-def optimize_assets(spark: SparkSession, roots: list[str], out: str, settings: Settings = Settings(), *, lists: list[str] = (), codecs: dict = CODECS) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, summary) of the files below roots and in lists; what became smaller is written to out, by kind.
-
-    Nothing found is an error. A file that cannot be read is a read error, one that went meanwhile vanished!,
-    one that is not in out though it should be a write error; the others are done all the same.
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, BATCH_ROWS):
+                rows = [r for r in batch.slice(low, BATCH_ROWS).to_pylist() if r["content"] is not None and hashlib.sha256(r["content"]).hexdigest() == r["digest"]]
+                made = [better(r["kind"], r["content"], r["tries"], settings, codecs) for r in rows]
+                sizes = [len(r["content"]) for r in rows]
+                columns = [[r["digest"] for r in rows], [tag] * len(rows), [r["kind"] for r in rows], sizes, [n if x is None else len(x) for n, x in zip(sizes, made)], [r["tries"] for r in rows], made]
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in RESULTS.split(", ")])
+
+    return elected.select(*names).mapInArrow(run, RESULTS)
+
+
+def _tag(settings: Settings) -> str:
+    """What results depend on, so that a run with other settings neither skips files nor takes over results."""
+    return f"kinds={','.join(sorted(settings.kinds))} pixels={settings.max_pixels} rounds={settings.rounds} meta={settings.preserve_meta}"
+
+
+def unfinished(listed: DataFrame, out: str, settings: Settings = Settings()) -> DataFrame:
+    """Those of listed(path, length, modificationTime, ...) that no committed run below out has done with these settings, as they are now."""
+    done = Versions(listed.sparkSession, out).read("outcomes", OUTCOMES).filter((F.col("settings") == _tag(settings)) & ~F.col("status").isin(*AGAIN))
+    return listed.join(done.select("path", "length", "modificationTime").distinct(), ["path", "length", "modificationTime"], "left_anti")
+
+
+def _batch(versions: Versions, files: DataFrame, first: int, last: int, settings: Settings, codecs: dict) -> None:
+    """Does and commits the files of parts first to last - 1."""
+    tag, run, scratch = _tag(settings), versions.begin(), Scratch(versions.spark, "batch")
+    read = read_files(by_part(files, first, last).withColumn("listed", F.col("length")))
+    seen = classify(read, settings).select(
+        "path", F.col("listed").alias("length"), "modificationTime", "part", "kind", "status", F.coalesce("length", F.lit(0)).cast("long").alias("before"), F.sha2("content", 256).alias("digest")
+    )
+    seen = scratch.write(seen, "seen")
+    # Of all files with a payload that is not in the store one is read again, by the task of its part.
+    known = versions.read("results", RESULTS).filter(F.col("settings") == tag).select("digest", "after")
+    once = seen.filter("status = 'ok'").groupBy("digest").agg(F.min(F.struct("path", "part", "kind", F.col("before").alias("length"))).alias("own")).select("digest", "own.*")
+    elected = scratch.write(once.join(known, "digest", "left_anti").withColumns({"tries": tries(settings), "io": F.lit(None).cast("string")}), "elected")
+    results = run.write(_encoded(read_files(by_part(elected, first, last)), tag, settings, codecs), "results")
+    here = results.filter("encoded IS NULL OR octet_length(encoded) = after").select("digest", "after")
+    made = results.select("digest", F.col("after").alias("made"))
+    rows = seen.join(known.unionByName(here), "digest", "left").join(made, "digest", "left")
+    status = F.when((F.col("status") == "ok") & F.col("after").isNull(), F.when(F.col("made").isNull(), READ_ERROR).otherwise(WRITE_ERROR)).otherwise(F.col("status"))
+    rows = rows.withColumns({"status": status, "after": F.when(F.col("status") == "ok", F.coalesce("after", "before")).otherwise(F.col("before")), "settings": F.lit(tag)})
+    run.write(rows.select(*(x.split()[0] for x in OUTCOMES.split(", "))), "outcomes")
+    run.commit()
+    scratch.drop(seen, elected)
+
+
+def optimize_assets(
+    spark: SparkSession, roots: list[str], out: str, settings: Settings = Settings(), *, lists: list[str] = (), codecs: dict = CODECS, part_cost: int = PART_COST, batch_parts: int = BATCH_PARTS
+) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, summary) of the files below roots and in lists; what becomes of them is kept below out (see optimized).
+
+    Nothing found is an error. Files that a committed run has done with the same settings, and that have the length and time they
+    had, are not read again. A file that cannot be read is a read error, one that is not there vanished!, one whose
+    result is not stored as made a write error; the others are done all the same, and these again by the next run.
+    Work is dealt out by cost, length times settings tried; every ``batch_parts`` parts are committed.
     """
-    extensions = settings_extensions(settings)
-    scratch = Scratch(spark, "run")
-    listed = scratch.write(with_empty(scan_assets(spark, roots, extensions, lists=lists).select("path", "length")), "listed")
-    require_assets(listed)
-    empty = listed.filter("length = 0").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), "length", F.lit(b"").alias("content"))
-    scanned = scan_assets(spark, roots, extensions, lists=lists, skip_unreadable=True).unionByName(empty)
-    made = scratch.write(rewritten(scanned, settings, codecs), "made")
-    again = scan_assets(spark, roots, extensions, lists=lists).select("path")
-    unread = read_status(listed, made, again).filter("io IS NOT NULL")
-    lost = unread.join(listed, "path").select("path", F.lit(None).cast("string").alias("kind"), F.col("io").alias("status"), F.col("length").alias("before"), F.col("length").alias("after"))
-    outcomes = scratch.write(stored(made, out, settings).unionByName(lost), "outcomes")
-    scratch.drop(listed, made)
+    listed = list_files(spark, roots, settings_extensions(settings), lists=lists)
+    if listed.isEmpty():
+        raise FileNotFoundError("no files of the wanted kinds")
+    versions = Versions(spark, out)
+    files, parts = packed(unfinished(listed, out, settings), F.coalesce("length", F.lit(0)) * F.greatest(tries(settings), F.lit(1)), part_cost, "path")
+    for first in range(0, parts, batch_parts):
+        _batch(versions, files, first, min(parts, first + batch_parts), settings, codecs)
+    outcomes = versions.latest("outcomes", OUTCOMES, "path").join(listed.select("path"), "path", "left_semi").select(*OUTCOME)
     return outcomes, run_summary(outcomes)
 
 
+def optimized(spark: SparkSession, out: str) -> DataFrame:
+    """(path, modificationTime, kind, before, after, encoded): of each file that became smaller its new content, as the last committed run has it."""
+    versions = Versions(spark, out)
+    last = versions.latest("outcomes", OUTCOMES, "path").filter("status = 'ok' AND after < before").select("path", "modificationTime", "kind", "before", "after", "digest", "settings")
+    results = versions.read("results", RESULTS).filter("encoded IS NOT NULL").select("digest", "settings", "encoded")
+    return last.join(results, ["digest", "settings"]).drop("digest", "settings")
+
+
+def export_files(spark: SparkSession, out: str, folder: str, strip: str = "") -> DataFrame:
+    """(path, length): the smaller contents written as files below folder, under their paths without the prefix ``strip``; never in place."""
+    own = F.col("path")
+    rows = optimized(spark, out)
+    return write_files(rows.withColumn("path", F.when(F.startswith(own, F.lit(strip)), F.substring(own, F.lit(len(strip) + 1), F.length(own))).otherwise(own)), folder, "encoded")
+
+
 def settings_extensions(settings: Settings) -> list[str]:
     return [e for k in settings.kinds for e in {"gif": ["gif"], "jpeg": ["jpg", "jpeg"], "png": ["png"]}[k]]

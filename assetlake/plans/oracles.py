@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .fixtures import ASSETS_SQL, PIXELS_SQL
+from ..operators.candidates import EFFORTS, _deflated
+from .fixtures import ASSETS_SQL, GREY, PIXELS_SQL
 
 _ASSETS = f"""WITH assets AS ({ASSETS_SQL}),
 sniffed AS (SELECT *, length(chex) // 2 AS length, CASE WHEN length(chex) <= 24 THEN NULL
@@ -41,6 +42,18 @@ disposal AS (SELECT asset_id, frame_no, CASE WHEN coalesce(lead(resets) OVER w,
 _COMMENTS = "(octet_length(encode(html)) + 59999) // 60000"
 _GIF_BLOCKS = "(octet_length(encode(html)) + 254) // 255"
 
+#: Bytes of the smallest encoding of the fixture's image; which it is, only the library that deflates can say.
+_IMAGE = min(len(_deflated(GREY, s)) for s in range(len(EFFORTS)))
+_FILES = f"""WITH p AS (SELECT page_id, unnest(CASE WHEN page_id % 10 = 0 THEN ['pages', 'copies/of/pages'] ELSE ['pages'] END) AS folder,
+    octet_length(encode(html)) AS n, hex(encode(coalesce(url, ''))) AS url, octet_length(encode(coalesce(url, ''))) AS u, {_COMMENTS} AS c, {_GIF_BLOCKS} AS b,
+    3 * cast(2 ** (page_id % 8 + 1) AS bigint) AS colors FROM pages WHERE html IS NOT NULL AND html != ''),
+  runs AS (SELECT page_id, folder, '.jpg' AS ending, 'jpeg' AS kind, 54 + 4 + u + n + 4 * c AS before, 54 + 4 + u AS after,
+      'FFD8FFE000104A46494600010100000100010000FFEE' || printf('%04X', u + 2) || url || 'FFC00011080020001003011100021101031101FFDA0008010100003F00D2CF20FFD9' AS content FROM p
+    UNION ALL SELECT page_id, folder, '.gif', 'gif', 13 + colors + 8 + 3 + n + b + 16, 13 + colors + 8 + 16,
+      '47494638396110002000' || printf('%02X', 128 + page_id % 8) || '0000' || repeat('00', colors) || '21F90400000000002C00000000100020000002024C01003B' FROM p
+    UNION ALL SELECT page_id, folder, '.PNG', 'png', 8 + 25 + 12 + u + 12 + n + 12 + {len(GREY) + 11} + 12, 8 + 25 + 12 + u + 12 + {_IMAGE} + 12, '' FROM p)
+"""
+
 ORACLES: dict[str, str] = {
     "path_union": _ASSETS + "SELECT path FROM assets UNION SELECT '/assets/' || (doc_id % 13)::varchar || '/' || doc_id::varchar || '.gif' FROM labels",
     "rewritten_assets": _ASSETS + ", r AS (SELECT path, kind, length AS before, length - CASE WHEN doc_id % 3 = 0 THEN 0 ELSE length // 10 END AS after FROM classified WHERE status = 'ok') SELECT * FROM r WHERE after < before",
@@ -120,8 +133,8 @@ ORACLES: dict[str, str] = {
     "read_status": _ASSETS + "SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'vanished!' WHEN doc_id % 5 = 0 THEN 'read error' END AS io FROM assets",
     "written_status": _ASSETS + "SELECT path, CASE WHEN length % 4 = 0 AND length > 0 THEN 'write error' ELSE 'ok' END AS status, length AS before, CASE WHEN length % 4 = 0 THEN length ELSE length // 2 END AS after FROM sniffed",
     "asset_report": _ASSETS + "SELECT kind, status, count(*) AS assets, cast(sum(length) AS bigint) AS bytes, cast(sum(length) AS bigint) AS bytes_after FROM classified GROUP BY ALL",
-    "optimize_assets": f"""WITH p AS (SELECT page_id, octet_length(encode(html)) AS n, {_COMMENTS} AS c, {_GIF_BLOCKS} AS b FROM pages WHERE html IS NOT NULL AND html != '')
-      SELECT '/pages/' || page_id::varchar || '.jpg' AS path, 'jpeg' AS kind, 'ok' AS status, 54 + n + 4 * c AS before, 54 AS after FROM p
-      UNION ALL SELECT '/pages/' || page_id::varchar || '.gif', 'gif', 'ok', 29 + 3 + n + b, 29 FROM p""",
+    "optimize_assets": _FILES + """SELECT folder || '/' || (page_id % 7)::varchar || '/' || page_id::varchar || ending AS path, kind, 'ok' AS status, before, after FROM runs""",
+    "optimized": _FILES + """SELECT folder || '/' || (page_id % 7)::varchar || '/' || page_id::varchar || ending AS path, kind, before, after, lower(content) AS content FROM runs WHERE kind != 'png'""",
+    "scan_assets": _ASSETS + "SELECT substr(path, 2) AS path, length, NULL::varchar AS io, sha256(unhex(chex)) AS digest FROM sniffed",
     "incremental_run": _ASSETS + "SELECT path, kind, status, length AS before, length AS after FROM classified",
 }

@@ -16,8 +16,10 @@ from ..operators import symbols as S
 from ..sources import files
 from ..sources.scratch import Scratch
 from ..streaming.incremental import incremental_run as run_incrementally
-from .fixtures import assets, containers, pixels, table
-from .optimize import rewritten, stored
+from .fixtures import assets, containers, image_files, pixels, table
+from .optimize import optimize_assets as run_optimize
+from .optimize import optimized as optimized_contents
+from .optimize import rewritten
 
 LIMITED = K.Settings(kinds=("gif", "png"), max_pixels=2_000_000)
 MERGED = 12  # colours of a merged palette
@@ -36,10 +38,17 @@ def _docs(spark, d) -> DataFrame:
 # Sources and sinks
 
 
+def _relative(column: str, folder: str):
+    return F.substring(column, len(folder) + 2, 1 << 20)
+
+
 @query
 def scan_assets(spark, d):
-    found = files.scan_assets(spark, [d], ["parquet"])
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
+    """Files of the asset table, written below a folder and found again."""
+    folder = Scratch(spark, "scan").path("files")
+    files.write_files(assets(spark, d), folder)
+    found = files.scan_assets(spark, [folder, f"{folder}/assets/1"])
+    return found.select(_relative("path", folder).alias("path"), "length", "io", F.sha2("content", 256).alias("digest"))
 
 
 @query
@@ -376,8 +385,23 @@ def asset_report(spark, d):
 
 @query
 def optimize_assets(spark, d):
-    both = containers(spark, d, "jpeg").unionByName(containers(spark, d, "gif")).withColumn("length", F.length("content").cast("long"))
-    return stored(rewritten(both), Scratch(spark, "optimize").path("out"))
+    """Outcomes of a whole run over files, after a second run into the same output, which has to leave them as they are."""
+    scratch = Scratch(spark, "optimize")
+    folder, out = scratch.path("files"), scratch.path("out")
+    files.write_files(image_files(spark, d), folder)
+    for _ in range(2):
+        outcomes, _ = run_optimize(spark, [folder], out)
+    return outcomes.withColumn("path", _relative("path", folder))
+
+
+@query
+def optimized(spark, d):
+    """What a reader of the whole run's output gets: the smaller contents by path."""
+    scratch = Scratch(spark, "optimized")
+    folder, out = scratch.path("files"), scratch.path("out")
+    files.write_files(image_files(spark, d).filter("path NOT LIKE '%PNG'"), folder)
+    run_optimize(spark, [folder], out, batch_parts=1, part_cost=1 << 22)
+    return optimized_contents(spark, out).select(_relative("path", folder).alias("path"), "kind", "before", "after", F.lower(F.hex("encoded")).alias("content"))
 
 
 @query

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import os
 import time
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXTENSIONS = ("gif", "jpg", "jpeg", "png")
+from .listing import EXTENSIONS, by_part, list_files, opened, packed, read_files, read_path_list  # noqa: F401
+from .scratch import written
+
+PART_BYTES = 64 << 20  # of contents that one task reads, or one larger file
 
 
 def any_case(extensions) -> str:
@@ -17,42 +20,14 @@ def any_case(extensions) -> str:
     return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
 
 
-def scan_assets(spark: SparkSession, roots: list[str], extensions=EXTENSIONS, *, lists: list[str] = (), skip_unreadable: bool = False) -> DataFrame:
-    """(path, modificationTime, length, content) of the files below roots and at the paths in lists, each once; content is read only if it is used.
+def scan_assets(spark: SparkSession, roots: list[str], extensions=EXTENSIONS, *, lists: list[str] = ()) -> DataFrame:
+    """(path, length, modificationTime, io, content) of the files below roots and at the paths in lists, each once (see listing).
 
-    lists: text files of further roots, one a line. The paths that Spark scans are in the driver in any case, in
-    its file index. skip_unreadable: files that cannot be read, or are gone by then, are left out instead of
-    ending the job (see classify.read_status). The scan is lazy: use require_assets where an empty result has to be an error.
-    """
-    more = [r["path"] for r in read_path_list(spark, list(lists)).collect()] if lists else []
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions))
-    if skip_unreadable:
-        reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
-    found = list(dict.fromkeys([*roots, *more]))
-    if not found:
-        raise FileNotFoundError("no roots and no lists of paths")
-    rows = reader.load(found)
-    # A file below two of the roots is listed twice; contents do not go through the shuffle that drops it.
-    return rows if len(found) == 1 else _once(rows)
-
-
-def with_empty(rows: DataFrame) -> DataFrame:
-    """rows of scan_assets and those of files without bytes, which Spark's readers leave out though their file index has them; such rows have no modificationTime.
-
-    The index, and with it every path, is in the driver in any case (see scan_assets); only names go through here.
+    The listing is made at once; contents are read where they are used, from parts of about PART_BYTES, and only if the
+    column is asked for by something. Use require_assets where an empty result has to be an error.
     """
-    spark = rows.sparkSession
-    names = [(re.sub("^([a-z][a-z0-9+.-]*):///", r"\1:/", unquote(p)),) for p in rows.inputFiles()]
-    missing = spark.createDataFrame(names, "path string").distinct().join(rows.select("path"), "path", "left_anti")
-    values = {"modificationTime": F.lit(None).cast("timestamp"), "length": F.lit(0).cast("long"), "content": F.lit(b"")}
-    return rows.unionByName(missing.select("path", *(v.alias(c) for c, v in values.items() if c in rows.columns)))
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    twice = rows.groupBy("path").count().filter("count > 1")
-    if twice.isEmpty():
-        return rows
-    return rows.dropDuplicates(["path"])
+    rows, parts = packed(list_files(spark, roots, extensions, lists=lists), F.col("length"), PART_BYTES, "path")
+    return read_files(by_part(rows, 0, max(1, parts))).drop("part")
 
 
 def require_assets(assets: DataFrame) -> DataFrame:
@@ -61,11 +36,6 @@ def require_assets(assets: DataFrame) -> DataFrame:
     return assets
 
 
-def read_path_list(spark: SparkSession, lists: list[str]) -> DataFrame:
-    """(path): the lines of text files, trimmed, without empty and repeated ones. An unreadable list is an error."""
-    return spark.read.text(lists).select(F.trim("value").alias("path")).filter("path != ''").distinct()
-
-
 def path_union(*paths: DataFrame) -> DataFrame:
     """(path): each path once."""
     made = paths[0].select("path")
@@ -80,9 +50,26 @@ def smaller_only(results: DataFrame, keep_times: bool = False) -> DataFrame:
     return kept if keep_times else kept.drop("modificationTime")
 
 
-def write_if_smaller(results: DataFrame, out: str, keep_times: bool = False) -> None:
-    """Writes them as a new version by kind; never in place."""
-    smaller_only(results, keep_times).write.partitionBy("kind").parquet(out)
+def write_files(rows: DataFrame, folder: str, content: str = "content") -> DataFrame:
+    """(path, length) of rows(path, content), written by the tasks to files below folder; stored. Null contents are left out.
+
+    A file is written beside its place and then moved there, so that it is there whole or not at all.
+    """
+
+    def run(batches):
+        for batch in batches:
+            done = []
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, own = opened(f"{folder.rstrip('/')}/{path.lstrip('/')}")
+                system.create_dir(os.path.dirname(own), recursive=True)
+                with system.open_output_stream(f"{own}.part") as out:
+                    out.write(raw)
+                system.move(f"{own}.part", own)
+                done.append((path, len(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.string()), pa.array([r[1] for r in done], pa.int64())], names=["path", "length"])
+
+    wanted = rows.select("path", F.col(content).cast("binary").alias("content")).filter("content IS NOT NULL")
+    return written(wanted.mapInArrow(run, "path string, length long"), "files")
 
 
 def manifest_lines(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
