@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -185,3 +185,31 @@ def metadata_inventory(segments: DataFrame, label: str = "marker") -> DataFrame:
     by = segments.groupBy(label).agg(F.count_if(meta).alias("segments"), F.sum(F.when(meta, F.col("length"))).alias("bytes"), F.count_distinct(F.when(meta, F.col("path"))).alias("files"), F.sum("length").alias("listed"))
     share = F.round(F.col("bytes") / F.sum("listed").over(Window.partitionBy()), 6)  # over a row for each marker, 257 at most
     return by.withColumn("share", share).filter("segments > 0").drop("listed")
+
+
+def _table_function(parts: Callable[[bytes], Iterator[Segment]], block: bool):
+    class Segments:
+        def eval(self, content: bytes):
+            if content is None:
+                return
+            try:
+                found, bad = list(parts(content)), False
+            except Malformed:
+                found, bad = [("", None, 0, len(content), False)], True
+            for i, (name, label, offset, length, metadata) in enumerate(found):
+                yield (i, *((name, label) if block else (label,)), offset, length, metadata, bad)
+
+    return Segments
+
+
+#: By name: rows of a content, for LATERAL joins in SQL. A null content has no rows, a malformed one a single row.
+TABLE_FUNCTIONS = {
+    "jpeg_segments": (jpeg_parts, False, "ordinal int, marker int, offset long, length long, is_metadata boolean, malformed boolean"),
+    "gif_blocks": (gif_parts, True, "ordinal int, block string, label int, offset long, length long, is_metadata boolean, malformed boolean"),
+}
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Makes jpeg_segments(content) and gif_blocks(content) known to SQL, so that FROM assets, LATERAL jpeg_segments(content) lists segments."""
+    for name, (parts, block, schema) in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, F.udtf(_table_function(parts, block), returnType=schema, useArrow=True))

@@ -135,6 +135,11 @@ ORACLES: dict[str, str] = {
     "asset_report": _ASSETS + "SELECT kind, status, count(*) AS assets, cast(sum(length) AS bigint) AS bytes, cast(sum(length) AS bigint) AS bytes_after FROM classified GROUP BY ALL",
     "optimize_assets": _FILES + """SELECT folder || '/' || (page_id % 7)::varchar || '/' || page_id::varchar || ending AS path, kind, 'ok' AS status, before, after FROM runs""",
     "optimized": _FILES + """SELECT folder || '/' || (page_id % 7)::varchar || '/' || page_id::varchar || ending AS path, kind, before, after, lower(content) AS content FROM runs WHERE kind != 'png'""",
+    "incremental_files": _FILES + """SELECT folder || '/' || (page_id % 7)::varchar || '/' || page_id::varchar || ending AS path, kind, 'ok' AS status, before, after FROM runs""",
     "scan_assets": _ASSETS + "SELECT substr(path, 2) AS path, length, NULL::varchar AS io, sha256(unhex(chex)) AS digest FROM sniffed",
     "incremental_run": _ASSETS + "SELECT path, kind, status, length AS before, length AS after FROM classified",
 }
+
+ORACLES["segment_sizes"] = f"""WITH j AS ({ORACLES["jpeg_segments"]}), g AS ({ORACLES["gif_blocks"]})
+  SELECT kind, label, count(*) AS segments, cast(sum(length) AS bigint) AS bytes, count(DISTINCT path) AS files
+  FROM (SELECT 'jpeg' AS kind, marker AS label, length, path FROM j UNION ALL SELECT 'gif', label, length, path FROM g) GROUP BY kind, label"""

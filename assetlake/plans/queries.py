@@ -16,6 +16,7 @@ from ..operators import symbols as S
 from ..sources import files
 from ..sources.scratch import Scratch
 from ..streaming.incremental import incremental_run as run_incrementally
+from ..streaming.incremental import stream_assets
 from .fixtures import assets, containers, image_files, pixels, table
 from .optimize import optimize_assets as run_optimize
 from .optimize import optimized as optimized_contents
@@ -175,6 +176,17 @@ def metadata_inventory(spark, d):
     return jpeg.select(F.lit("jpeg").alias("kind"), "*").unionByName(gif.select(F.lit("gif").alias("kind"), "*"))
 
 
+@query
+def segment_sizes(spark, d):
+    """By kind and marker or label: segments, their bytes and files, in SQL over the table functions."""
+    G.register_table_functions(spark)
+    jpegs, gifs = containers(spark, d, "jpeg"), containers(spark, d, "gif")
+    sql = """SELECT kind, label, count(*) AS segments, sum(length) AS bytes, count(DISTINCT path) AS files FROM (
+      SELECT 'jpeg' AS kind, s.marker AS label, s.length, a.path FROM {jpegs} a, LATERAL jpeg_segments(a.content) s WHERE NOT s.malformed
+      UNION ALL SELECT 'gif', s.label, s.length, a.path FROM {gifs} a, LATERAL gif_blocks(a.content) s WHERE NOT s.malformed) GROUP BY kind, label"""
+    return spark.sql(sql, jpegs=jpegs, gifs=gifs)
+
+
 # Symbols
 
 
@@ -413,4 +425,16 @@ def incremental_run(spark, d):
     for part in (0, 1):
         rows.filter(F.pmod(F.crc32("path"), F.lit(2)) == part).write.mode("append").parquet(source)
         done = run_incrementally(spark, stream(), out, checkpoint, LIMITED)
-    return done.drop("batch")
+    return done.drop("version")
+
+
+@query
+def incremental_files(spark, d):
+    """Files that arrive in two instalments, read as a stream of binary files."""
+    scratch = Scratch(spark, "arrivals")
+    folder, out, checkpoint = (scratch.path(x) for x in ("arrived", "out", "progress"))
+    rows = image_files(spark, d)
+    for part in (0, 1):
+        files.write_files(rows.filter(F.pmod(F.crc32("path"), F.lit(2)) == part), folder)
+        done = run_incrementally(spark, stream_assets(spark, folder), out, checkpoint)
+    return done.select(F.element_at(F.split("path", "-arrived/"), -1).alias("path"), "kind", "status", "before", "after")

@@ -1,6 +1,6 @@
 """Results as versions: a run writes beside all others and counts once its marker is there.
 
-Below a folder, ``runs/<number>-<id>`` holds the tables of a run and ``commits/<number>`` its name. A marker is written
+Below a folder, ``runs/<label>-<id>`` holds the tables of a run and ``commits/<number>`` its name. A marker is written
 elsewhere and renamed, last of all, so a run that was cut short is never read: it leaves a folder that
 nothing refers to. Readers take the committed runs, and of each key what the last of them says.
 """
@@ -28,16 +28,25 @@ class Versions:
         found = {}
         for name in self._names("commits"):
             if name.isdigit():
-                stream = self._system.open(self._path(f"{self.root}/commits/{name}"))
-                try:
-                    found[int(name)] = bytes(stream.readAllBytes()).decode()
-                finally:
-                    stream.close()
+                found[int(name)] = self.text(f"{self.root}/commits/{name}")
         return found
 
-    def begin(self) -> Run:
+    def text(self, path: str) -> str:
+        """A small file's text."""
+        stream = self._system.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def begin(self, label: str | None = None) -> Run:
+        """A run to write to; label: what it does, for has, if that must not be done twice."""
         number = max(self.committed(), default=0) + 1
-        return Run(self, number, f"{number:09d}-{uuid.uuid4().hex}")
+        return Run(self, number, f"{label or f'{number:09d}'}-{uuid.uuid4().hex}")
+
+    def has(self, label: str) -> bool:
+        """Whether a run of that label is committed."""
+        return any(run.rpartition("-")[0] == label for run in self.committed().values())
 
     def read(self, table: str, schema: str) -> DataFrame:
         """The table of all committed runs, with the number of its run in ``version``; no rows before the first commit."""

@@ -1,7 +1,9 @@
-"""The same job as files arrive: only what has not been processed, resumable after a kill."""
+"""The same job as files arrive: only what has not been processed, and each asset once, wherever a run is killed."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,32 +11,49 @@ from ..operators.classify import Settings
 from ..plans.optimize import OUTCOME, rewritten
 from ..sources.files import any_case
 from ..sources.scratch import Scratch
+from ..sources.versions import Versions
 
-OUTCOMES = "path string, kind string, status string, before long, after long, batch long"
+OUTCOMES = "path string, kind string, status string, before long, after long"
+RESULTS = f"{OUTCOMES}, encoded binary"
 
 
 def incremental_run(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, settings: Settings = Settings()) -> DataFrame:
-    """Optimizes the assets that ``source``, a streaming table (path, length, content), has since the last run; returns all outcomes so far.
+    """Optimizes the assets that ``source``, a streaming table (path, length, content), has since the last run; returns all outcomes so far, with their ``version``.
 
-    Each run takes what is there, appends outcomes below out/outcomes and smaller contents below
-    out/results, and ends; the checkpoint remembers what is done. A batch writes to a folder of its own number, over
-    what a run that was cut short may have left there, so nothing is there twice.
+    Each run takes what is there and ends; the checkpoint remembers what is done. A micro-batch is a version of ``out``
+    (see sources.versions) under the name of its stream and number: killed before its commit it leaves nothing that is
+    read, and killed between that and the stream's own commit it is found to be done when the stream offers it again.
     """
 
     def process(batch: DataFrame, number: int) -> None:
-        scratch = Scratch(batch.sparkSession, "batch")
-        made = scratch.write(rewritten(batch, settings), "made")
+        own = batch.sparkSession
+        versions = Versions(own, out)
+        label = f"{json.loads(versions.text(f'{checkpoint}/metadata'))['id']}-{number}"
+        if versions.has(label):
+            return
+        scratch = Scratch(own, "batch")
+        made, run = scratch.write(rewritten(batch, settings), "made"), versions.begin(label)
         smaller = made.filter("status = 'ok' AND after < before")
-        (smaller if settings.preserve_times else smaller.drop("modificationTime")).drop("status").write.mode("overwrite").parquet(f"{out}/results/batch={number}")
-        made.select(*OUTCOME).write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
+        run.write(smaller if settings.preserve_times else smaller.drop("modificationTime"), "results")
+        run.write(made.select(*OUTCOME), "outcomes")
+        run.commit()
         scratch.drop(made)
 
     query = source.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    query.stop()
-    return spark.read.schema(OUTCOMES).parquet(f"{out}/outcomes").select(*OUTCOME, F.col("batch"))
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    return Versions(spark, out).read("outcomes", OUTCOMES)
+
+
+def incremental_results(spark: SparkSession, out: str) -> DataFrame:
+    """(path, kind, status, before, after, encoded, version): the smaller contents of all committed micro-batches."""
+    return Versions(spark, out).read("results", RESULTS)
 
 
-def stream_assets(spark: SparkSession, in_dir: str, extensions=("gif", "jpg", "jpeg", "png")) -> DataFrame:
+def stream_assets(spark: SparkSession, in_dir: str, extensions=("gif", "jpg", "jpeg", "png"), *, files_per_batch: int | None = None) -> DataFrame:
+    """(path, modificationTime, length, content) of files as they arrive below a folder; a file counts once, by its path."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions)).load(in_dir)
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions))
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).load(in_dir)

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from assetlake.functions import headers as H
-from assetlake.functions.jpeg import _walk
+from assetlake.functions.jpeg import jpeg_dimensions
 from assetlake.operators import classify as K
 from assetlake.operators import frames as A
 from assetlake.operators import segments as G
@@ -44,10 +46,36 @@ def test_no_kind_enabled():
         K.Settings(kinds=())
 
 
-def test_jpeg_walk():
+def _walk(raw):
+    """(width, height) from the first frame header outside nested images."""
+    if raw is None or raw[:2] != b"\xff\xd8":
+        return None
+    at, nested = 2, 0
+    while at + 4 < len(raw) and raw[at] == 0xFF:
+        marker = raw[at + 1]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC) and not nested:
+            height, width = int.from_bytes(raw[at + 5 : at + 7]), int.from_bytes(raw[at + 7 : at + 9])
+            return (width, height) if at + 9 < len(raw) and width and height else None
+        nested += (marker == 0xD8) - (marker == 0xD9)
+        if nested < 0:
+            return None
+        at += 2 + int.from_bytes(raw[at + 2 : at + 4])
+    return None
+
+
+def test_jpeg_walk(spark):
     raw = bytes.fromhex("FFD8FFE00004AABBFFC0001108002000100301110002110103110100")
-    assert _walk(raw) == (16, 32)
-    assert _walk(b"\xff\xd8\xff") is None and _walk(None) is None
+    rng, rows = random.Random(8), [raw, b"\xff\xd8\xff", None, b"", b"GIF89a" + bytes(9)]
+    for _ in range(400):
+        parts = [rng.choice(["FFE00004AABB", "FFFE0002", "FFD80002", "FFD90002", "FFC40003AA", "FFDB0000", "FFC0001108002000100301", "FFC2000B080020001003", "FFC10011080000001003", "00", "FFCF00"]) for _ in range(rng.randint(0, 8))]
+        rows.append(bytes.fromhex("FFD8" + "".join(parts)) + rng.randbytes(rng.randint(0, 9)))
+    rows += [bytes.fromhex("FFD8" + "FFE00002" * n + "FFC000110800200010030111") for n in (30, 31, 32, 33, 4130, 9000)] + [bytes.fromhex("FFD8") + bytes.fromhex("FF000000") * 300]
+    df = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(rows)], "i int, content binary")
+    walked = df.select("i", jpeg_dimensions(F.col("content")).alias("s")).select("i", "s.width", "s.height")
+    assert {r.i: (r.width, r.height) for r in walked.collect()} == {i: _walk(x) or (None, None) for i, x in enumerate(rows)}
+    assert sum(_walk(x) is not None for x in rows) > 100
+    plan = K.classify(spark.createDataFrame([], "path string, content binary, length long"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_jpeg_parts_tile_the_file():
