@@ -10,8 +10,9 @@ longer one, so different pairs are at most as many as the bytes of both vocabula
 hundred thousand, whatever the corpus): their counts are summed in Spark and carried to the tasks.
 Texts are tokenized once; what is stored between the passes are each document's distinct pairs.
 
-Long texts are tokenized in parts that begin with a blank after a visible character: no
-pre-token of the first and no piece of the second tokenizer spans that place, which is checked against both files.
+Texts are tokenized by words that begin with a blank after a visible character: no
+pre-token of the first and no piece of the second tokenizer spans that place, which is checked against both files (else
+whole texts are). Ids of a word are kept once found; long texts are aligned part by part.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,14 @@ from .grams import segment_sums, settle, sum_by
 from .packing import texts
 from .scratch import written
 
-PART = 1 << 16  # characters after which a long text is cut
-BATCH = 1 << 20  # characters that are tokenized at once
+PART = 1 << 16  # words after which a long text is cut
+BATCH = 1 << 20  # characters that are aligned at once
+KEPT = 300_000  # words whose ids are kept from slice to slice, about
+ENCODED = 8192  # words that are tokenized at once
 #: Between a character that is no white space and a blank. U+001C to U+001F are none, unlike in Python.
 _CUT = re.compile("(?<=[\\S\x1c-\x1f])(?= )")
+#: A blank that is at the beginning or after white space.
+_RUN = re.compile("(?:^|[^\\S\x1c-\x1f]) ")
 BLANK = "▁"
 
 
@@ -66,37 +71,41 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray, last
 
     ends: where each token ends, rising; last: of each text its last token, which ends together with the other side's.
     """
-    a, b = (np.stack([np.concatenate([[0], last + 1])[:-1], last]) for last in (last_a, last_b))  # first and last tokens of intervals
+    # First and last tokens of the intervals, on both sides.
+    (low_a, high_a), (low_b, high_b) = ((np.concatenate([[0], last + 1])[:-1], last) for last in (last_a, last_b))
     cuts_a, cuts_b = [last_a], [last_b]
+
+    def shared(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(ends_b, ends_a[token])
+        return ends_b[at] == ends_a[token], at
+
     while True:
-        open_ = (a[0] < a[1]) & (b[0] < b[1])
-        a, b = a[:, open_], b[:, open_]
-        if not a.shape[1]:
+        open_ = (low_a < high_a) & (low_b < high_b)
+        low_a, high_a, low_b, high_b = (x[open_] for x in (low_a, high_a, low_b, high_b))
+        if not len(low_a):
             break
-        middle = (a[0] + a[1] - 1) // 2
-        cut_a = np.full(len(middle), -1)
-        cut_b = cut_a.copy()
-        left, ring = np.arange(len(middle)), 0  # intervals without a cut so far, the distances [ring, max(1, 2 * ring)) being next
+        cut_a = (low_a + high_a - 1) // 2
+        hit, cut_b = shared(cut_a)
+        left, ring = np.flatnonzero(~hit), 1  # intervals without a cut so far; distances [ring, 2 * ring) from the middle are next
+        middle = cut_a[left]
         while len(left):
-            reach = np.arange(ring, max(1, 2 * ring))
-            steps = np.stack([reach, -reach], axis=1).ravel() if ring else reach
-            tried = middle[left][:, None] + steps[None, :]
-            inside = (tried >= a[0][left][:, None]) & (tried < a[1][left][:, None])
+            steps = np.stack([np.arange(ring, 2 * ring), -np.arange(ring, 2 * ring)], axis=1).ravel()
+            tried = middle[:, None] + steps
+            inside = (tried >= low_a[left][:, None]) & (tried < high_a[left][:, None])
             row, column = np.nonzero(inside)
             token = tried[row, column]
-            at = np.searchsorted(ends_b, ends_a[token])
-            hit = ends_b[at] == ends_a[token]
-            found, nearest = np.unique(row[hit], return_index=True)
-            cut_a[left[found]], cut_b[left[found]] = token[hit][nearest], at[hit][nearest]
+            good, at = shared(token)
+            row, token, at = row[good], token[good], at[good]
+            nearest = np.flatnonzero(np.diff(row, prepend=-1))
+            found = left[row[nearest]]
+            cut_a[found], cut_b[found], hit[found] = token[nearest], at[nearest], True
             going = inside.any(axis=1)
-            going[found] = False
-            left, ring = left[going], max(1, 2 * ring)
-        some = cut_a >= 0
-        a, b, cut_a, cut_b = a[:, some], b[:, some], cut_a[some], cut_b[some]
+            going[row] = False
+            left, middle, ring = left[going], middle[going], 2 * ring
+        low_a, high_a, low_b, high_b, cut_a, cut_b = (x[hit] for x in (low_a, high_a, low_b, high_b, cut_a, cut_b))
         cuts_a.append(cut_a)
         cuts_b.append(cut_b)
-        a = np.concatenate([np.stack([a[0], cut_a]), np.stack([cut_a + 1, a[1]])], axis=1)
-        b = np.concatenate([np.stack([b[0], cut_b]), np.stack([cut_b + 1, b[1]])], axis=1)
+        low_a, high_a, low_b, high_b = (np.concatenate(x) for x in ((low_a, cut_a + 1), (cut_a, high_a), (low_b, cut_b + 1), (cut_b, high_b)))
     return np.sort(np.concatenate(cuts_a)), np.sort(np.concatenate(cuts_b))
 
 
@@ -131,36 +140,50 @@ class Aligner:
         pieces = [self.other.id_to_piece(i) for i in range(self.other.get_piece_size())]
         self.bytes_a = Strings(own)
         self.bytes_b = Strings([bytes([int(p[3:5], 16)]) if self.other.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)])
-        self.numbers = Strings([f"{i}{mark}".encode() for i in range(max(len(own), len(pieces))) for mark in (",", "|", ";")])
+        self.numbers = [f"{i}{mark}".encode() for i in range(max(len(own), len(pieces))) for mark in (",", "|", ";")]
+        self.digits = np.array([len(x) for x in self.numbers], np.int64)
         self.blank = self.other.piece_to_id(BLANK)
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
         rule = json.loads(self.one.to_str()).get("pre_tokenizer") or {}
         own_rule = json.loads(self.one.to_str()).get("normalizer") is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
         self.divisible = bool(own_rule) and not any(BLANK in p.lstrip(BLANK) for p in pieces)
 
-    def parts(self, text: str) -> list[str]:
-        """The text, each part but the first without the blank before it."""
-        if len(text) <= PART or not self.divisible:
+    def words(self, text: str) -> list[str]:
+        """The text's words, each but the first without the blank before it."""
+        if not self.divisible:
             return [text]
-        # A first blank of the text stays with it: the place is looked for behind a blank that is not of the text.
-        found, low = [], 0
-        for m in _CUT.finditer(text):
-            if m.start() - low >= PART:
-                found.append(text[low : m.start()])
-                low = m.start() + 1
-        return [*found, text[low:]]
-
-    def align(self, parts: list[str]) -> tuple[Aligned, np.ndarray]:
-        """(aligned, good): parts as a blank and the part; those whose tokens are not these bytes on both sides are not good and have no tokens."""
-        raw = [(" " + p).encode() for p in parts]
+        if not _RUN.search(text):
+            return text.split(" ")
+        first, *more = _CUT.split(text)
+        return [first, *(w[1:] for w in more)]
+
+    def parts(self, text: str) -> list[list[str]]:
+        """The words of a text in runs of PART."""
+        words = self.words(text)
+        return [words[i : i + PART] for i in range(0, len(words), PART)]
+
+    def learn(self, words: set[str]) -> None:
+        fresh = [w for w in words if w not in self.known_a]
+        if len(self.known_a) + len(fresh) > KEPT:
+            self.known_a, self.known_b = ({w: known[w] for w in words if w in known} for known in (self.known_a, self.known_b))
+        for low in range(0, len(fresh), ENCODED):
+            some = fresh[low : low + ENCODED]
+            self.known_a.update(zip(some, (array("I", e.ids).tobytes() for e in self.one.encode_batch_fast([" " + w for w in some], add_special_tokens=False))))
+            # Of an empty word, which follows a last blank, only that blank is left.
+            self.known_b.update((w, array("I", x if w else [self.blank]).tobytes()) for w, x in zip(some, self.other.encode(some, num_threads=1)))
+
+    def align(self, parts: list[list[str]]) -> tuple[Aligned, np.ndarray]:
+        """(aligned, good): parts, each as its words with a blank before each; those whose tokens are not these bytes on both sides are not good and have no tokens."""
+        self.learn(set().union(*parts))
+        raw = [(" " + " ".join(p)).encode() for p in parts]
         whole = np.array([len(r) for r in raw], np.int64)
-        a = [e.ids for e in self.one.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b = self.other.encode(parts, num_threads=1)
-        b = [x if p else [self.blank] for x, p in zip(b, parts)]  # of an empty part, which ends a text, only the blank is left
         good = np.ones(len(parts), bool)
         flat, sizes = [], []
-        for ids, strings in ((a, self.bytes_a), (b, self.bytes_b)):
-            n = np.array([len(x) for x in ids], np.int64)
-            every = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+        for known, strings in ((self.known_a, self.bytes_a), (self.known_b, self.bytes_b)):
+            ids = [b"".join(map(known.__getitem__, p)) for p in parts]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            every = np.frombuffer(b"".join(ids), np.uint32).astype(np.int64)
             good &= segment_sums(strings.sizes[every], n) == whole
             flat.append(every)
             sizes.append(n)
@@ -177,15 +200,15 @@ class Aligner:
 
     def written_groups(self, x: Aligned) -> tuple[bytes, np.ndarray]:
         """(text, bounds): groups as ``a1,a2|b1;`` end to end, and where those of each part begin."""
-        marks_a, marks_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
-        marks_a[x.cuts_a], marks_b[x.cuts_b] = 1, 2
-        of_a, of_b = np.searchsorted(x.cuts_a, np.arange(len(x.a))), np.searchsorted(x.cuts_b, np.arange(len(x.b)))
+        last_a, last_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
+        last_a[x.cuts_a], last_b[x.cuts_b] = 1, 1
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b  # groups
         before_b = np.concatenate([[0], x.cuts_b + 1])  # b's tokens before a group
         mixed = np.empty(len(x.a) + len(x.b), np.int64)
-        mixed[np.arange(len(x.a)) + before_b[of_a]] = 3 * x.a + marks_a
-        mixed[np.arange(len(x.b)) + x.cuts_a[of_b] + 1] = 3 * x.b + marks_b
-        sizes = np.concatenate([[0], np.cumsum(self.numbers.sizes[mixed])])
-        return self.numbers.joined(mixed).tobytes(), sizes[x.bounds_a + x.bounds_b]
+        mixed[np.arange(len(x.a)) + before_b[of_a]] = 3 * x.a + last_a
+        mixed[np.arange(len(x.b)) + x.cuts_a[of_b] + 1] = 3 * x.b + 2 * last_b
+        sizes = np.concatenate([[0], np.cumsum(self.digits[mixed])])
+        return b"".join(map(self.numbers.__getitem__, mixed.tolist())), sizes[x.bounds_a + x.bounds_b]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -204,15 +227,16 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _batches(parts: list[tuple[int, str]]):
+def _batches(parts: list[tuple[int, list[str]]]):
     """parts in runs of BATCH characters, or one longer part."""
     held, size = [], 0
     for part in parts:
-        if held and size + len(part[1]) > BATCH:
+        own = sum(map(len, part[1]))
+        if held and size + own > BATCH:
             yield held
             held, size = [], 0
         held.append(part)
-        size += len(part[1])
+        size += own
     if held:
         yield held
 

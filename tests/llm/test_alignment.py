@@ -36,8 +36,9 @@ def plain(both, text):
         return [], [], [], []
     ends_a, ends_b = (np.cumsum([len(x) for x in xs]).tolist() for xs in (bytes_a, bytes_b))
     groups, i, j = [], 0, 0
+    place_a, place_b = ({end: i for i, end in enumerate(ends)} for ends in (ends_a, ends_b))
     for end in sorted(set(ends_a) & set(ends_b)):
-        k, m = ends_a.index(end) + 1, ends_b.index(end) + 1
+        k, m = place_a[end] + 1, place_b[end] + 1
         groups.append((a[i:k], b[j:m]))
         i, j = k, m
     return a, b, groups, [(x[-1], y[-1]) for x, y in groups]
@@ -89,11 +90,12 @@ def test_no_texts_and_an_interval_without_a_cut():
 
 
 def test_parts_give_the_tokens_of_the_whole(both, monkeypatch):
-    monkeypatch.setattr(A, "PART", 40)
+    monkeypatch.setattr(A, "PART", 7)
+    monkeypatch.setattr(A, "KEPT", 30)
     for seed in range(40):
         text = words(seed, 400) + (" " if seed % 2 else "")
         parts = both.parts(text)
-        assert " ".join(parts) == text and len(parts) > 1
+        assert " ".join(w for p in parts for w in p) == text and len(parts) > 1
         x, good = both.align(parts)
         a, b, groups, _ = plain(both, text)
         if good.all():
@@ -103,7 +105,7 @@ def test_parts_give_the_tokens_of_the_whole(both, monkeypatch):
 
 
 def test_counts_against_plain_intersections(spark, both, monkeypatch):
-    docs = list(enumerate(ODD)) + [(100 + s, words(s, 60)) for s in range(30)] + [(7, ODD[7]), (None, "no id"), (200, words(1, 60)), (300, words(5, 40_000))]
+    docs = list(enumerate(ODD)) + [(100 + s, words(s, 60)) for s in range(30)] + [(7, ODD[7]), (None, "no id"), (200, words(1, 60)), (300, words(5, 100_000)), (301, "word " * 70_000), (302, "x" * 3_000)]
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("theirs") for c in ("n_a", "pairs", "groups")})
     got = sorted(map(tuple, A.alignment_counts(table.repartition(3)).collect()), key=str)
     assert got == expected(both, docs)
