@@ -100,6 +100,20 @@ def decay_histogram(before: DataFrame, now: DataFrame, sym: str, weighted: bool
     return made.filter(~F.col(sym).eqNullSafe(F.lit(end))).unionByName(one)
 
 
+#: Rows of one key from which on it is dealt over slices instead of being ordered by one task.
+HOT_ROWS = 1_000_000
+
+
+def _hot(rows: DataFrame, by: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of other keys, rows of keys with at least hot_rows rows or None); keys are counted, but no row is moved for it."""
+    hot = rows.groupBy(by).count().filter(F.col("count") >= hot_rows).select(F.col(by).alias("_hot"))
+    hot = written(hot, "hot")
+    if hot.isEmpty():
+        return rows, None
+    same = F.col(by).eqNullSafe(F.col("_hot"))
+    return rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
+
+
 def _sliced(rows: DataFrame, by: str, order: list[str], columns: dict[str, Column]) -> DataFrame:
     """(by, order..., columns..., slice): rows dealt out in order and stored, so that a frequent ``by`` lies in many slices, each in order after the one before.
 
@@ -111,13 +125,16 @@ def _sliced(rows: DataFrame, by: str, order: list[str], columns: dict[str, Colum
     return written(dealt.repartitionByRange(parts, by, *order).withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def _runs(rows: DataFrame, by: str, order: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """rows with at (from 1) and run_no, and their runs (by, run_no, value, first, n)."""
+def _begins(value: str, w) -> Column:
+    """1 for a row that begins a run: the first, and each with another value than the one before it."""
+    return (F.row_number().over(w).eqNullSafe(1) | ~F.lag(value).over(w).eqNullSafe(F.col(value))).cast("long")
+
+
+def _numbered_slices(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """rows(by, order..., value) with _at (from 1) and run_no, counted in slices that are joined at their edges."""
     parts = _sliced(rows, by, [c for c in order if c != value], {value: F.col(value)}) if value not in order else _sliced(rows, by, order, {})
     w = Window.partitionBy(by, "_slice").orderBy(*order)
-    inner = parts.withColumns({"_place": F.row_number().over(w), "_was": F.lag(value).over(w)})
-    turns = ((F.col("_place") > 1) & ~F.col("_was").eqNullSafe(F.col(value))).cast("int")
-    inner = inner.withColumn("_turn", turns)
+    inner = parts.withColumns({"_place": F.row_number().over(w), "_turn": _begins(value, w) - (F.row_number().over(w) == 1).cast("long")})
     head, tail = F.min(F.struct("_place", F.col(value).alias("v")))["v"], F.max(F.struct("_place", F.col(value).alias("v")))["v"]
     sums = inner.groupBy(by, "_slice").agg(F.count("*").alias("_rows"), F.sum("_turn").alias("_turns"), head.alias("_head"), tail.alias("_tail"))
     v = Window.partitionBy(by).orderBy("_slice")
@@ -127,38 +144,99 @@ def _runs(rows: DataFrame, by: str, order: list[str], value: str) -> tuple[DataF
     runs_before = F.coalesce(F.sum(F.col("_turns") + F.col("_begins")).over(before), F.lit(0)) + F.col("_begins")
     sums = sums.select(F.col(by).alias("_own"), F.col("_slice").alias("_own_slice"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"), runs_before.alias("_runs_before"))
     numbered = inner.join(sums, F.col(by).eqNullSafe(F.col("_own")) & (F.col("_slice") == F.col("_own_slice")))
-    numbered = numbered.withColumn("run_no", (F.col("_runs_before") + F.sum("_turn").over(w)).cast("long")).withColumn("_at", (F.col("_rows_before") + F.col("_place")).cast("long"))
-    runs = numbered.groupBy(by, "run_no").agg(F.first(value).alias(value), (F.min("_at") - 1).cast("long").alias("first"), F.count("*").alias("n"))
-    return numbered.select(by, *order, *([value] if value not in order else []), "_at", "run_no"), runs
+    numbered = numbered.withColumns({"run_no": (F.col("_runs_before") + F.sum("_turn").over(w)).cast("long"), "_at": (F.col("_rows_before") + F.col("_place")).cast("long")})
+    return numbered.select(*dict.fromkeys([by, *order, value]), "_at", "run_no")
+
+
+def _numbered(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """rows(by, order..., value) with _at (from 1) and run_no, by a window for each key."""
+    w = Window.partitionBy(by).orderBy(*order)
+    began = rows.withColumns({"_at": F.row_number().over(w).cast("long"), "_began": _begins(value, w)})
+    return began.withColumn("run_no", F.sum("_began").over(w).cast("long"))
 
 
-def value_runs(rows: DataFrame, by: str, order: list[str], value: str, min_zero: int = 5, min_other: int = 7) -> DataFrame:
+def _runs_of(numbered: DataFrame, by: str, value: str) -> DataFrame:
+    return numbered.groupBy(by, "run_no").agg(F.first(value).alias(value), (F.min("_at") - 1).cast("long").alias("first"), F.count("*").alias("n"))
+
+
+def value_runs(rows: DataFrame, by: str, order: list[str], value: str, min_zero: int = 5, min_other: int = 7, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(by, value, run_no, first, n, good): maximal runs of equal values in order; good: long enough to code as a repeat.
 
-    Runs are found in slices of the order and joined at their edges, so that one frequent ``by`` is dealt over many tasks.
+    A key of hot_rows rows or more is dealt over slices of the order, whose runs are joined at their edges.
     """
-    _, runs = _runs(rows, by, order, value)
+    usual, hot = _hot(rows.select(*dict.fromkeys([by, *order, value])), by, hot_rows)
+    runs = _runs_of(_numbered(usual, by, order, value), by, value)
+    if hot is not None:
+        runs = runs.unionByName(_runs_of(_numbered_slices(hot, by, order, value), by, value))
     zero = F.coalesce(F.col(value).cast("string") == "0", F.lit(False))
     return runs.withColumn("good", (F.col("n") >= min_zero) & (zero | (F.col("n") >= min_other)))
 
 
-def repeats_left(rows: DataFrame, by: str, order: list[str], value: str, cap: int = 65_535) -> DataFrame:
+def repeats_left(rows: DataFrame, by: str, order: list[str], value: str, cap: int = 65_535, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(by, order..., value, left): how many rows with the same value follow each row without a break, ``cap`` at most."""
-    numbered, runs = _runs(rows, by, order, value)
-    ends = runs.select(F.col(by).alias("_own"), F.col("run_no").alias("_own_run"), (F.col("first") + F.col("n")).alias("_end"))
+    names = list(dict.fromkeys([by, *order, value]))
+    usual, hot = _hot(rows.select(*names), by, hot_rows)
+    left = lambda end: F.least(end - F.col("_at"), F.lit(cap)).cast("int").alias("left")
+    made = _numbered(usual, by, order, value).select(*names, left(F.max("_at").over(Window.partitionBy(by, "run_no"))))
+    if hot is None:
+        return made
+    numbered = _numbered_slices(hot, by, order, value)
+    ends = _runs_of(numbered, by, value).select(F.col(by).alias("_own"), F.col("run_no").alias("_own_run"), (F.col("first") + F.col("n")).alias("_end"))
     joined = numbered.join(ends, F.col(by).eqNullSafe(F.col("_own")) & (F.col("run_no") == F.col("_own_run")))
-    return joined.withColumn("left", F.least(F.col("_end") - F.col("_at"), F.lit(cap)).cast("int")).drop("_own", "_own_run", "_end", "_at", "run_no")
+    return made.unionByName(joined.select(*names, left(F.col("_end"))))
 
 
-def running_offset(rows: DataFrame, by: str, order: list[str], length: Column) -> DataFrame:
+def running_offset(rows: DataFrame, by: str, order: list[str], length: Column, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(by, order..., length, offset): the sum of the lengths before each row, null lengths being 0.
 
-    Sums are taken in slices of the order and added up over slices, so that one frequent ``by`` is dealt over many tasks.
+    A key of hot_rows rows or more is summed in slices of the order, and then over slices.
     """
-    parts = _sliced(rows, by, order, {"length": F.coalesce(length.cast("long"), F.lit(0))})
     earlier = lambda w: F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    usual, hot = _hot(rows.select(by, *order, F.coalesce(length.cast("long"), F.lit(0)).alias("length")), by, hot_rows)
+    made = usual.withColumn("offset", earlier(Window.partitionBy(by).orderBy(*order)).cast("long"))
+    if hot is None:
+        return made
+    parts = _sliced(hot, by, order, {"length": F.col("length")})
     sums = parts.groupBy(by, "_slice").agg(F.sum("length").alias("length"))
     sums = sums.select(F.col(by).alias("_own"), F.col("_slice").alias("_own_slice"), earlier(Window.partitionBy(by).orderBy("_slice")).alias("base"))
     joined = parts.join(sums, F.col(by).eqNullSafe(F.col("_own")) & (F.col("_slice") == F.col("_own_slice")))
     inner = earlier(Window.partitionBy(by, "_slice").orderBy(*order))
-    return joined.withColumn("offset", (F.col("base") + inner).cast("long")).select(by, *order, "length", "offset")
+    return made.unionByName(joined.withColumn("offset", (F.col("base") + inner).cast("long")).select(by, *order, "length", "offset"))
+
+
+def explode_symbols(payloads: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, pos, sym): the bytes of each payload by position, from 0; made where the payload is, CHUNK of them at a time. Null payloads are left out."""
+    kind = payloads.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i, blob in enumerate(batch.column(1)):
+                raw = np.frombuffer(blob.as_buffer(), np.uint8)
+                for low in range(0, len(raw), CHUNK):
+                    piece = raw[low : low + CHUNK].astype(np.int32)
+                    keys = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(piece), np.int32)), batch.column(0).slice(i, 1)).dictionary_decode()
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(low, low + len(piece))), pa.array(piece)], names=[key, "pos", "sym"])
+
+    blobs = payloads.select(key, F.col(content).cast("binary").alias("content")).filter("content IS NOT NULL")
+    return blobs.mapInArrow(run, f"{key} {kind}, pos long, sym int")
+
+
+def payload_runs(payloads: DataFrame, key: str, content: str, min_zero: int = 5, min_other: int = 7) -> DataFrame:
+    """(key, sym, run_no, first, n, good): value_runs over the bytes of each payload, without a shuffle and without a row for each byte."""
+    kind = payloads.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i, blob in enumerate(batch.column(1)):
+                raw = np.frombuffer(blob.as_buffer(), np.uint8)
+                first = np.flatnonzero(np.concatenate([[True], raw[1:] != raw[:-1]])) if len(raw) else np.zeros(0, np.int64)
+                n, sym = np.diff(np.append(first, len(raw))), raw[first].astype(np.int32)
+                good = (n >= min_zero) & ((sym == 0) | (n >= min_other))
+                for low in range(0, len(first), CHUNK):
+                    at = slice(low, low + CHUNK)
+                    keys = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(first[at]), np.int32)), batch.column(0).slice(i, 1)).dictionary_decode()
+                    numbers = np.arange(low, low + len(first[at])) + 1
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(sym[at]), pa.array(numbers), pa.array(first[at]), pa.array(n[at]), pa.array(good[at])], names=[key, "sym", "run_no", "first", "n", "good"])
+
+    blobs = payloads.select(key, F.col(content).cast("binary").alias("content")).filter("content IS NOT NULL")
+    return blobs.mapInArrow(run, f"{key} {kind}, sym int, run_no long, first long, n long, good boolean")

@@ -143,3 +143,10 @@ ORACLES: dict[str, str] = {
 ORACLES["segment_sizes"] = f"""WITH j AS ({ORACLES["jpeg_segments"]}), g AS ({ORACLES["gif_blocks"]})
   SELECT kind, label, count(*) AS segments, cast(sum(length) AS bigint) AS bytes, count(DISTINCT path) AS files
   FROM (SELECT 'jpeg' AS kind, marker AS label, length, path FROM j UNION ALL SELECT 'gif', label, length, path FROM g) GROUP BY kind, label"""
+
+ORACLES["symbol_runs"] = """WITH b AS (SELECT doc_id, i - 1 AS pos, cast('0x' || substr(h, 2 * i - 1, 2) AS int) AS sym
+    FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))),
+  r AS (SELECT *, CASE WHEN pos = 0 OR lag(sym) OVER (PARTITION BY doc_id ORDER BY pos) != sym THEN 1 ELSE 0 END AS begins FROM b),
+  g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS run_no FROM r)
+  SELECT doc_id, sym, cast(run_no AS bigint) AS run_no, min(pos) AS first, count(*) AS n FROM g GROUP BY doc_id, sym, run_no HAVING count(*) >= 2 AND (sym = 0 OR count(*) >= 3)"""
+ORACLES["payload_runs"] = ORACLES["symbol_runs"]

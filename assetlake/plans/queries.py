@@ -232,6 +232,19 @@ def repeats_left(spark, d):
     return S.repeats_left(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "left")
 
 
+@query
+def symbol_runs(spark, d):
+    """Good runs over the bytes of each document, by position."""
+    symbols = S.explode_symbols(_docs(spark, d), "doc_id", "text")
+    return S.value_runs(symbols, "doc_id", ["pos"], "sym", 2, 3).filter("good").select("doc_id", "sym", "run_no", "first", "n")
+
+
+@query
+def payload_runs(spark, d):
+    """The same, found where the documents are."""
+    return S.payload_runs(_docs(spark, d), "doc_id", "text", 2, 3).filter("good").select("doc_id", "sym", "run_no", "first", "n")
+
+
 @query
 def running_offset(spark, d):
     rows = S.running_offset(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.octet_length("props"))

@@ -162,8 +162,9 @@ def test_strip_rows_of_one_path(spark):
     assert G.without_metadata(bytes.fromhex("FFD8FFFE0004CCDDFFD9") + bytes(8), "jpeg") is None  # 12 bytes are no image
 
 
-def test_a_frequent_key_is_split_over_slices(spark):
-    rows = [("hot" if i % 3 else f"k{i % 5}", i, "xy"[(i // 4) % 2] if i % 7 else None, i % 6) for i in range(900)]
+@pytest.mark.parametrize("hot_rows", [10**6, 200, 1])
+def test_frequent_keys_are_split_over_slices(spark, hot_rows):
+    rows = [("hot" if i % 3 else f"k{i % 5}" if i % 5 else None, i, "xy"[(i // 4) % 2] if i % 7 else None, i % 6) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, at int, v string, size int")
     want, sums, left, runs = {}, {}, {}, {}
     for k in {r[0] for r in rows}:
@@ -174,14 +175,25 @@ def test_a_frequent_key_is_split_over_slices(spark):
             if not i or own[i - 1][2] != r[2]:
                 runs.setdefault(k, []).append([r[2], i, 0])
             runs[k][-1][2] += 1
-    assert {r.at: r.offset for r in S.running_offset(df, "k", ["at"], F.col("size")).collect()} == sums
-    assert {r.at: r.left for r in S.repeats_left(df, "k", ["at"], "v").collect()} == left
-    for r in S.value_runs(df, "k", ["at"], "v").collect():
+    assert {r.at: r.offset for r in S.running_offset(df, "k", ["at"], F.col("size"), hot_rows=hot_rows).collect()} == sums
+    assert {r.at: r.left for r in S.repeats_left(df, "k", ["at"], "v", hot_rows=hot_rows).collect()} == left
+    for r in S.value_runs(df, "k", ["at"], "v", hot_rows=hot_rows).collect():
         want.setdefault(r.k, []).append((r.run_no, [r.v, r.first, r.n]))
     assert {k: [x for _, x in sorted(v)] for k, v in want.items()} == runs
     assert all(sorted(n for n, _ in v) == list(range(1, len(v) + 1)) for v in want.values())
 
 
+def test_symbols_by_position_and_their_runs(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 7)
+    blobs = [(1, bytes([0] * 9 + [7] * 3 + [0] * 5 + [9] * 8)), (2, b""), (3, None), (None, bytes([1, 1, 2]))]
+    df = spark.createDataFrame([(k, None if b is None else bytearray(b)) for k, b in blobs], "k int, content binary")
+    symbols = S.explode_symbols(df, "k", "content")
+    assert sorted(map(str, ((r.k, r.pos, r.sym) for r in symbols.collect()))) == sorted(str((k, i, x)) for k, b in blobs if b for i, x in enumerate(b))
+    one = {tuple(r) for r in S.payload_runs(df, "k", "content").select("k", "sym", "run_no", "first", "n", "good").collect()}
+    assert one == {tuple(r) for r in S.value_runs(symbols, "k", ["pos"], "sym").select("k", "sym", "run_no", "first", "n", "good").collect()}
+    assert {(r[1], r[4]) for r in one if r[5]} == {(0, 9), (0, 5), (9, 8)}
+
+
 def test_budgets_costs_and_ends(spark):
     row = spark.createDataFrame([(100, 300, 300)], "length int, width long, height long")
     assert row.select(*(c.alias(k) for k, c in K.effort_budget(0, 0).items())).first()[:] == (0, 0)
