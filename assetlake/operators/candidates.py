@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.headers import PNG_MAGIC
+from ..sources.scratch import written
 
 #: Settings of the deflate codecs, (level, strategy, memory), in the order in which they win ties.
 ZLIB_SETTINGS = ((9, zlib.Z_DEFAULT_STRATEGY, 9), (9, zlib.Z_FILTERED, 9), (6, zlib.Z_RLE, 9), (6, zlib.Z_HUFFMAN_ONLY, 9))
@@ -39,10 +40,15 @@ def best_candidate(candidates: DataFrame, key: str, size: str, ordinal: str, *pa
 def dedup_compute(df: DataFrame, key: str, content: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(key, digest, what compute adds): compute gets (digest, content), each distinct content once.
 
-    Digests, not contents, go through the join back; rows with a null content have a null digest and nothing more.
+    Of the keys of a digest the lowest is elected, from digests alone; the rows of the others are left out of the table where they are
+    (a stored list of keys, which Spark broadcasts unless it is large, and only then are contents moved). Digests go through the join back. Keys are unique;
+    rows with a null content have a null digest and nothing more.
     """
     rows = df.select(key, content, F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
-    once = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.first(content).alias(content))
+    named = rows.select(key, "digest").filter("digest IS NOT NULL")
+    several = named.groupBy("digest").agg(F.min(key).alias("_elected"), F.count("*").alias("_n")).filter("_n > 1")
+    repeats = written(named.join(several, "digest").filter(F.col(key) != F.col("_elected")).select(key), "repeats")
+    once = rows.filter("digest IS NOT NULL").join(repeats, key, "left_anti").select("digest", content)
     return rows.select(key, "digest").join(compute(once), "digest", "left")
 
 

@@ -6,6 +6,7 @@ of one large animation is dealt over many tasks.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,28 @@ def palette_index(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
     return pixels.join(palettes.select("asset_id", "frame_no", "palette"), ["asset_id", "frame_no"]).withColumn("index", F.when(at > 0, (at - 1).cast("int"))).drop("palette")
 
 
+def _merged(palettes: list[list[int]], limit: int) -> list[list[int]]:
+    """Shared palettes of an asset's palettes, which come in order of size; see merge_palettes. Sets of colours are bits of one integer."""
+    colors = sorted(set().union(*palettes))
+    if not palettes or len(colors) <= limit:
+        return [colors] if palettes else []
+    if len(palettes) == 2:
+        return []
+    number = {c: i for i, c in enumerate(colors)}
+    up = [sum(1 << number[c] for c in set(p)) for p in palettes]
+    found: set[int] = set()
+    for ordered in (up, up[::-1]):
+        for i in range(len(ordered)):
+            made, members = ordered[i], 1
+            for p in (*ordered[i + 1 :], *ordered[:i]):
+                both = made | p
+                if both == made or both.bit_count() <= limit:
+                    made, members = both, members + 1
+            if members >= 2:
+                found.add(made)
+    return sorted([c for i, c in enumerate(colors) if m >> i & 1] for m in found)
+
+
 def merge_palettes(palettes: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(asset_id, candidates): shared palettes worth trying for an asset, from those of its frames that are within the limit.
 
@@ -96,28 +119,18 @@ def merge_palettes(palettes: DataFrame, limit: int = LIMIT) -> DataFrame:
     all if it fits; else, from each starting place in order of size (frames of one size in their order), and
     then in the reverse order, what still fits is merged in turn, and those of two frames or more are
     candidates, distinct and in order. Frames with equal palettes are frames like any others. An
-    asset's palettes are one row, each of limit colours at most.
+    asset's palettes are one row, each of limit colours at most; colours are numbered by asset, and sets of them are bits, so
+    that a union and its size are a few machine words' work.
     """
-    within = F.size("palette") <= limit
-    sized = F.array_sort(F.collect_list(F.when(within, F.struct(F.size("palette").alias("size"), "frame_no", "palette"))))
+    sized = F.array_sort(F.collect_list(F.when(F.size("palette") <= limit, F.struct(F.size("palette").alias("size"), "frame_no", "palette"))))
     lists = palettes.groupBy("asset_id").agg(F.transform(sized, lambda s: s["palette"]).alias("up"))
-    none = F.expr("cast(array() as array<array<int>>)")
-    lists = lists.withColumns({"down": F.reverse("up"), "all": F.array_sort(F.array_distinct(F.flatten("up")))})
-
-    def folded(ordered: str):
-        def from_place(i):
-            turned = F.concat(F.slice(ordered, i + 1, F.size(ordered)), F.slice(ordered, F.lit(1), i))
-            start = F.struct(F.expr("cast(array() as array<int>)").alias("colors"), F.lit(0).alias("members"))
-            step = lambda made, p: F.when(F.size(F.array_union(made["colors"], p)) <= limit, F.struct(F.array_union(made["colors"], p).alias("colors"), (made["members"] + 1).alias("members"))).otherwise(made)
-            return F.aggregate(turned, start, step)
-
-        return F.transform(F.sequence(F.lit(0), F.size(ordered) - 1), from_place)
-
-    found = F.filter(F.concat(folded("up"), folded("down")), lambda m: m["members"] >= 2)
-    many = F.array_sort(F.array_distinct(F.transform(found, lambda m: F.array_sort(m["colors"]))))
-    n = F.size("up")
-    chosen = F.when(n == 0, none).when(F.size("all") <= limit, F.array("all")).when(n == 2, none).otherwise(many)
-    return lists.select("asset_id", chosen.alias("candidates"))
+
+    def run(batches):
+        for batch in batches:
+            made = [_merged(up, limit) for up in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.list_(pa.int32())))], names=["asset_id", "candidates"])
+
+    return lists.mapInArrow(run, f"asset_id {palettes.schema['asset_id'].dataType.simpleString()}, candidates array<array<int>>")
 
 
 def lossless_check(before: DataFrame, after: DataFrame, key: tuple[str, str] = ("asset_id", "frame_no")) -> DataFrame:

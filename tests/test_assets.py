@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from assetlake.operators import classify as K
 from assetlake.operators import frames as A
 from assetlake.operators import segments as G
 from assetlake.operators import symbols as S
-from assetlake.operators.candidates import best_candidate, recompress
+from assetlake.operators.candidates import best_candidate, dedup_compute, recompress
 from assetlake.operators.reports import sort_paths
 from assetlake.sources import files
 
@@ -140,6 +141,44 @@ def test_merge_palettes(spark):
     assert got[3] == [[1, 2]] and got[4] == [[1, 2]] and got[5] == [] and got[6] == [[5]]
 
 
+def test_merge_palettes_of_many_frames(spark):
+    rng = random.Random(9)
+    rows = [(1, i, sorted(rng.sample(range(2000), 40))) for i in range(600)] + [(2, i, sorted(rng.sample(range(30), rng.randint(1, 6)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "asset_id int, frame_no int, palette array<int>")
+
+    def plain(palettes, limit):
+        palettes, found = sorted((p for p in palettes if len(p) <= limit), key=len), set()
+        for ordered in (palettes, palettes[::-1]):
+            for i in range(len(ordered)):
+                made, members = set(), 0
+                for p in ordered[i:] + ordered[:i]:
+                    if len(made | set(p)) <= limit:
+                        made, members = made | set(p), members + 1
+                if members > 1:
+                    found.add(tuple(sorted(made)))
+        return [list(x) for x in sorted(found)]
+
+    began = time.time()
+    got = {r.asset_id: r.candidates for r in A.merge_palettes(df, 200).collect()}
+    assert time.time() - began < 60 and all(len(c) <= 200 for c in got[1]) and len(got[1]) > 300
+    small = {r.asset_id: r.candidates for r in A.merge_palettes(df.filter("asset_id = 2"), 12).collect()}
+    assert small[2] == plain([p for a, _, p in rows if a == 2], 12)
+
+
+def test_distinct_contents_are_computed_once(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "a"), (6, "")], "k int, text string")
+    seen = []
+
+    def compute(once):
+        seen.append([r.text for r in once.collect()])
+        return once.select("digest", F.length("text").alias("n"))
+
+    got = {r.k: (r.digest is None, r.n) for r in dedup_compute(df, "k", "text", compute).collect()}
+    assert sorted(seen[0]) == ["", "a", "b"] and got == {1: (False, 1), 2: (False, 1), 3: (False, 1), 4: (True, None), 5: (False, 1), 6: (False, 0)}
+    plan = dedup_compute(df, "k", "text", lambda once: once.select("digest", F.length("text").alias("n")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [k" in plan and "first(text" not in plan
+
+
 def test_scan_ignores_case_and_other_files(spark, tmp_path):
     for name in ("a.GIF", "b.jpeg", "c.txt"):
         (tmp_path / name).write_bytes(b"x")
