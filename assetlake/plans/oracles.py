@@ -150,3 +150,8 @@ ORACLES["symbol_runs"] = """WITH b AS (SELECT doc_id, i - 1 AS pos, cast('0x' ||
   g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS run_no FROM r)
   SELECT doc_id, sym, cast(run_no AS bigint) AS run_no, min(pos) AS first, count(*) AS n FROM g GROUP BY doc_id, sym, run_no HAVING count(*) >= 2 AND (sym = 0 OR count(*) >= 3)"""
 ORACLES["payload_runs"] = ORACLES["symbol_runs"]
+
+ORACLES["payload_crc"] = """WITH payloads AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+  steps AS (SELECT list(c ORDER BY i) AS step FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i)))
+  SELECT doc_id, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) AS bigint))),
+    lambda c, b: xor(list_extract(step, (xor(c, b) & 255) + 1), c >> 8))) AS crc FROM payloads, steps"""
