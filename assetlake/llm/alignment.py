@@ -21,8 +21,8 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from .scratch import written
 
 PART = 1 << 16  # words after which a long text is cut
 BATCH = 1 << 20  # characters that are aligned at once
-KEPT = 300_000  # words whose ids are kept from slice to slice, about
+KEPT = 200_000  # words whose ids are kept from slice to slice, about
 ENCODED = 8192  # words that are tokenized at once
 #: Between a character that is no white space and a blank. U+001C to U+001F are none, unlike in Python.
 _CUT = re.compile("(?<=[\\S\x1c-\x1f])(?= )")
@@ -53,18 +53,29 @@ def byte_level() -> dict[str, int]:
 
 
 class Strings:
-    """Byte strings by number, to be put end to end without a loop."""
+    """Strings of bytes or ids by number, to be put end to end without a loop."""
 
-    def __init__(self, values: list[bytes]):
-        self.sizes = np.array([len(v) for v in values], np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(values) or b"\0", np.uint8)
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+        self.data, self.sizes = data, sizes
+        self.first = np.cumsum(sizes) - sizes
+
+    @staticmethod
+    def of(values: list[bytes]) -> Strings:
+        return Strings(np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], np.int64))
 
     def joined(self, numbers: np.ndarray) -> np.ndarray:
         sizes = self.sizes[numbers]
         place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return self.data[np.repeat(self.first[numbers], sizes) + place]
 
+    def only(self, numbers: np.ndarray) -> Strings:
+        return Strings(self.joined(numbers), self.sizes[numbers])
+
+    def more(self, values: list) -> Strings:
+        sizes = np.array([len(v) for v in values], np.int64)
+        added = np.fromiter(chain.from_iterable(values), self.data.dtype, int(sizes.sum()))
+        return Strings(np.concatenate([self.data, added]), np.concatenate([self.sizes, sizes]))
+
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the tokens of a and of b that end together, in order.
@@ -138,13 +149,13 @@ class Aligner:
         for token, number in vocabulary.items():
             own[number] = bytes(sign[c] for c in token) if all(c in sign for c in token) else token.encode()
         pieces = [self.other.id_to_piece(i) for i in range(self.other.get_piece_size())]
-        self.bytes_a = Strings(own)
-        self.bytes_b = Strings([bytes([int(p[3:5], 16)]) if self.other.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)])
+        self.bytes_a = Strings.of(own)
+        self.bytes_b = Strings.of([bytes([int(p[3:5], 16)]) if self.other.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)])
         self.numbers = [f"{i}{mark}".encode() for i in range(max(len(own), len(pieces))) for mark in (",", "|", ";")]
         self.digits = np.array([len(x) for x in self.numbers], np.int64)
         self.blank = self.other.piece_to_id(BLANK)
-        self.known_a: dict[str, bytes] = {}
-        self.known_b: dict[str, bytes] = {}
+        self.known: dict[str, int] = {}
+        self.ids = [Strings(np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in range(2)]  # of both sides, by the known words' numbers
         rule = json.loads(self.one.to_str()).get("pre_tokenizer") or {}
         own_rule = json.loads(self.one.to_str()).get("normalizer") is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
         self.divisible = bool(own_rule) and not any(BLANK in p.lstrip(BLANK) for p in pieces)
@@ -164,14 +175,20 @@ class Aligner:
         return [words[i : i + PART] for i in range(0, len(words), PART)]
 
     def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.known_a]
-        if len(self.known_a) + len(fresh) > KEPT:
-            self.known_a, self.known_b = ({w: known[w] for w in words if w in known} for known in (self.known_a, self.known_b))
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if len(known) + len(fresh) > KEPT:
+            kept = [w for w in words if w in known]
+            numbers = np.array([known[w] for w in kept], np.int64)
+            self.ids = [x.only(numbers) for x in self.ids]
+            self.known = known = {w: i for i, w in enumerate(kept)}
         for low in range(0, len(fresh), ENCODED):
             some = fresh[low : low + ENCODED]
-            self.known_a.update(zip(some, (array("I", e.ids).tobytes() for e in self.one.encode_batch_fast([" " + w for w in some], add_special_tokens=False))))
+            a = [e.ids for e in self.one.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
             # Of an empty word, which follows a last blank, only that blank is left.
-            self.known_b.update((w, array("I", x if w else [self.blank]).tobytes()) for w, x in zip(some, self.other.encode(some, num_threads=1)))
+            b = [x if w else [self.blank] for w, x in zip(some, self.other.encode(some, num_threads=1))]
+            self.ids = [x.more(made) for x, made in zip(self.ids, (a, b))]
+            known.update(zip(some, range(len(known), len(known) + len(some))))
 
     def align(self, parts: list[list[str]]) -> tuple[Aligned, np.ndarray]:
         """(aligned, good): parts, each as its words with a blank before each; those whose tokens are not these bytes on both sides are not good and have no tokens."""
@@ -179,11 +196,10 @@ class Aligner:
         raw = [(" " + " ".join(p)).encode() for p in parts]
         whole = np.array([len(r) for r in raw], np.int64)
         good = np.ones(len(parts), bool)
-        flat, sizes = [], []
-        for known, strings in ((self.known_a, self.bytes_a), (self.known_b, self.bytes_b)):
-            ids = [b"".join(map(known.__getitem__, p)) for p in parts]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            every = np.frombuffer(b"".join(ids), np.uint32).astype(np.int64)
+        flat, sizes, n_words = [], [], np.array([len(p) for p in parts], np.int64)
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(n_words.sum()))
+        for known, strings in zip(self.ids, (self.bytes_a, self.bytes_b)):
+            every, n = known.joined(numbers).astype(np.int64), segment_sums(known.sizes[numbers], n_words)
             good &= segment_sums(strings.sizes[every], n) == whole
             flat.append(every)
             sizes.append(n)
