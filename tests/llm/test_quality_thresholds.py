@@ -27,16 +27,26 @@ def judged(spark):
     return trained, [r for r in quality_classifier.quality_classifier(docs, labels, sample_docs=600).collect()]
 
 
-def test_thresholds_are_quantiles_of_all_that_did_not_train(judged):
+def test_thresholds_are_quantiles_drawn_towards_that_of_all(judged):
     trained, got = judged
+    at = lambda held: held[math.ceil(0.995 * len(held)) - 1]
+    held = {lang: sorted(r.perplexity for r in got if lang in (None, r.lang) and r.doc_id < 3000 and r.doc_id not in trained) for lang in (None, "en", "xx")}
+    every = at(held[None])
     for lang in ("en", "xx"):
-        held = sorted(r.perplexity for r in got if r.lang == lang and r.doc_id < 3000 and r.doc_id not in trained)
-        assert len(held) >= (2000 if lang == "en" else quality_classifier.FEW - 20)
-        if len(held) >= quality_classifier.FEW:
-            assert {r.threshold for r in got if r.lang == lang} == {held[math.ceil(0.995 * len(held)) - 1]}
+        n, own = len(held[lang]), at(held[lang])
+        assert n >= (2000 if lang == "en" else 30)
+        (threshold,) = {r.threshold for r in got if r.lang == lang}
+        assert threshold == pytest.approx(math.exp((n * math.log(own) + 25 * math.log(every)) / (n + 25)), rel=1e-12)
     assert all(r.keep == (r.perplexity <= r.threshold) for r in got)
 
 
+@pytest.mark.parametrize(("counts", "total", "want"), [([5, 100, 100], 60, [5, 27.5, 27.5]), ([10, 10], 100, [10, 10]), ([3, 9, 50, 1000], 62, [3, 9, 25, 25]), ([7], 3, [3])])
+def test_shares_of_languages(spark, counts, total, want):
+    table = spark.createDataFrame([(f"l{i}" if i else None, c) for i, c in enumerate(counts)], "lang string, count long")
+    got = {r.lang: r.share for r in quality_classifier._shares(table, total).collect()}
+    assert [got[f"l{i}" if i else None] * c for i, c in enumerate(counts)] == pytest.approx(want)
+
+
 def test_each_language_trains_and_bad_rows_go(judged):
     trained, got = judged
     rare = sum(i < RARE for i in trained)
