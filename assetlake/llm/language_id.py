@@ -3,7 +3,7 @@
 Bytes are embedded; filters of widths 2, 3 and 4 slide over fixed windows of WINDOW bytes; each
 filter's maximum over the window goes through a softmax over the learned languages. A text is cut
 into windows, all of which are scored; their log-probabilities, weighed by the bytes they hold, add
-up to the text's. Training takes a bounded sample of windows of labelled texts, as many for each
+up to the text's. Training takes all windows of a bounded sample of labelled texts, as many for each
 language; the network of a few thousand numbers goes to the tasks, and texts are never shuffled.
 
 To apply the network, the embedding and the filters are folded into two tables over byte pairs, so
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from .annotate import annotate
 from .grams import segment_sums, text_buffers
+from .scratch import written
 from .toxicity import remainder
 
 WINDOW = 128
 EMBED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
-SAMPLE_DOCS = 600  # of each language
-SAMPLE_WINDOWS = 6  # of each of them
+SAMPLE_DOCS = 150  # of each language, all windows of each
+SAMPLE_ALL = 30_000  # of all languages
 _LETTER = re.compile("[A-Za-z]")
 
 
@@ -116,38 +117,32 @@ def has_letter(text: str) -> bool:
     return bool(_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, languages: int = 200):
+def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_all: int = SAMPLE_ALL):
     """(languages, network) from docs(text, lang), null lang and texts without a letter left out; None if nothing is left.
 
     Of each language about ``sample_docs`` distinct texts are drawn by a hash, never more than twice as
-    many, and of each SAMPLE_WINDOWS windows, spread evenly over the whole text. Copies of a text count as one. More than ``languages`` distinct values are an error.
+    many, and fewer if that would be over ``sample_all`` for all languages; all windows of a drawn text train. Copies of a text count as one.
     """
-    spark = docs.sparkSession
     known = docs.filter("lang IS NOT NULL AND octet_length(text) > 0")
-    there = known.select("lang", F.xxhash64("text")).distinct().groupBy("lang").count().orderBy("lang").limit(languages + 1).collect()
-    if not there:
+    there = written(known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")), "languages")  # no text or hash is moved
+    languages = there.count()
+    if not languages:
         return None
-    if len(there) > languages:
-        raise ValueError(f"over {languages} languages")
-    share = F.create_map(*(x for r in there for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))))
-    drawn = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
-    texts = known.filter(drawn).select("lang", "text").dropDuplicates()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(7)), "text")  # of about sample_docs rows
-    few = texts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * sample_docs)
+    each = max(1, min(sample_docs, sample_all // languages))
+    drawn = known.join(there, "lang").filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_003)) < F.lit(1.5 * each * 1_000_003) / F.col("n"))
+    texts = drawn.select("lang", "text").dropDuplicates()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(7)), "text")  # of about 1.5 * each rows
+    few = texts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * each)
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             windows, held, n = cut(data, offsets)
-            first = np.cumsum(n) - n
-            langs, found = [], []
-            for lang, text, f, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), first, n):
-                if not has_letter(text):
-                    continue
-                for w in sorted({f + i * m // SAMPLE_WINDOWS for i in range(SAMPLE_WINDOWS)}):
-                    langs.append(lang)
-                    found.append(windows[w].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "bytes"])
+            good = np.array([has_letter(t) for t in batch.column(1).to_pylist()], bool)
+            owner = np.repeat(np.arange(len(n)), n)
+            some = np.flatnonzero(good[owner])
+            langs = batch.column(0).take(pa.array(owner[some]))
+            yield pa.RecordBatch.from_arrays([langs, pa.array([windows[i].tobytes() for i in some], pa.binary())], names=["lang", "bytes"])
 
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in few.select("lang", "text").mapInArrow(run, "lang string, bytes binary").collect())  # bounded
     if not rows:
@@ -186,6 +181,7 @@ def identify(docs: DataFrame, fitted, *, carry=None) -> DataFrame:
 
 
 def op7_language_id(spark, sf_dir):
+    """Each document's language, learned from those whose crc32(doc_id) mod 4 is not 2 (see identify)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     fitted = fit(docs.filter(~held).select("text", "lang"))
