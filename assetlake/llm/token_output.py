@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .grams import blocks, text_buffers
 from .packing import CAPACITY, Slots, default_tokenizer, plan, texts, token_ids
+from .scratch import Scratch
 
 BLOCK_TOKENS = 4 << 20
 SCHEMA = "sequence_id long, n_tokens int, input_ids binary, cu_seqlens binary, position_ids binary, doc_ids array<long>, starts array<long>"
@@ -105,8 +106,10 @@ def token_sequences(docs: DataFrame, tokenizer: str | None = None, *, capacity:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
-def write_sequences(sequences: DataFrame, path: str) -> None:
-    sequences.write.parquet(path)
+def write_sequences(sequences: DataFrame, path: str) -> DataFrame:
+    """Stores sequences below path, compressed, and returns what is stored there."""
+    sequences.write.option("compression", "zstd").parquet(path)
+    return sequences.sparkSession.read.schema(sequences.schema).parquet(path)
 
 
 def unpack(sequences: DataFrame) -> DataFrame:
@@ -126,7 +129,8 @@ def unpack(sequences: DataFrame) -> DataFrame:
 
 
 def op6_token_output(spark, sf_dir):
-    """A row for each sequence: sequence_id, n_tokens, segments, doc_ids, starts, and CRC-32 of the three binaries."""
+    """A row for each sequence, as it is read back from the files it was written to: sequence_id, n_tokens, segments, doc_ids, starts, and CRC-32 of the three binaries."""
     made = token_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    stored = write_sequences(made, Scratch(spark, "sequences").path("matrices"))
     crc = [F.crc32(c).alias(f"{c}_crc32") for c in ("input_ids", "cu_seqlens", "position_ids")]
-    return made.select("sequence_id", "n_tokens", F.size("doc_ids").alias("segments"), "doc_ids", "starts", *crc)
+    return stored.select("sequence_id", "n_tokens", F.size("doc_ids").alias("segments"), "doc_ids", "starts", *crc)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -102,17 +103,24 @@ def test_packing_covers_every_id(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_binary_output_round_trip(docs, empty):
-    sequences = token_output.token_sequences(docs, capacity=64, block_tokens=500)
+def test_binary_output_round_trip(docs, empty, tmp_path):
+    made = token_output.token_sequences(docs, capacity=64, block_tokens=500)
+    sequences = token_output.write_sequences(made, str(tmp_path / "matrices"))
+    assert sequences.schema == made.schema and sequences.count() == made.count()
     assert sequences.filter("octet_length(input_ids) != 4 * n_tokens OR n_tokens > 64 OR octet_length(position_ids) != 4 * n_tokens").count() == 0
     parts = sorted(((r.doc_id if r.doc_id is not None else -1, r.start, bytes(r.input_ids)) for r in token_output.unpack(sequences).collect() if r.doc_id != 4))
     whole = {}
     for i, _, x in parts:
         whole[i] = whole.get(i, b"") + x
-    encode = packing.token_ids(packing.default_tokenizer())
+    plain = Tokenizer.from_file(packing.default_tokenizer())
     for i, text, _ in ROWS:
         if i != 4:
-            assert whole[-1 if i is None else i] == encode([text or ""])[0].tobytes(), i
+            ids = [*plain.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+            assert np.frombuffer(whole[-1 if i is None else i], "<u4").tolist() == ids, i
+    for r in sequences.collect():
+        bounds, places = np.frombuffer(r.cu_seqlens, "<i4"), np.frombuffer(r.position_ids, "<i4")
+        assert bounds[0] == 0 and bounds[-1] == r.n_tokens and len(bounds) == len(r.doc_ids) + 1 and (np.diff(bounds) > 0).all()
+        assert places.tolist() == [p for n in np.diff(bounds) for p in range(n)]
     assert token_output.token_sequences(empty).count() == 0
 
 
