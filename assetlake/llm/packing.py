@@ -28,7 +28,7 @@ from .scratch import written
 
 CAPACITY = 4096
 END_ID = 2
-SALTS = 64
+SALTS, FULL_SALTS = 64, 1 << 14  # groups in which pieces of one length are ranked, and full windows, of which long texts make many
 CACHED_WORDS, CACHED_CORES = 150_000, 300_000  # kept from slice to slice, about; a worker lives on after its task, and so does what it keeps
 ENCODED = 8192  # words that are tokenized at once
 MARKS = ".,!#*$%&"
@@ -236,16 +236,17 @@ def packed_pieces(cut: DataFrame, *, capacity: int = CAPACITY, order=("doc_id",
     Pieces of one length are ranked by a hash salt, then by ``order``; rows equal in all of that
     are interchangeable. Any piece longer than capacity is an error. No rows give no rows.
     """
-    cut = written(cut.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))), "pieces")
+    salts = F.when(F.col("length") == capacity, FULL_SALTS).otherwise(SALTS)
+    cut = written(cut.withColumn("salt", F.pmod(F.xxhash64(*order), salts)), "pieces")
     counts = cut.groupBy("length", "salt").count()
-    table = counts.toPandas()  # capacity * SALTS rows at most
+    table = counts.toPandas()  # capacity * SALTS + FULL_SALTS rows at most
     histogram = {int(k): int(v) for k, v in table.groupby("length")["count"].sum().items()}
     if histogram and max(histogram) > capacity:
         raise ValueError("a piece is longer than a sequence")
     slots = cut.sparkSession.sparkContext.broadcast(Slots.of(plan(histogram, capacity)))
     base = table.sort_values(["length", "salt"])
     base["base"] = base.groupby("length")["count"].cumsum() - base["count"]
-    bases = cut.sparkSession.sparkContext.broadcast(((base["length"] * SALTS + base["salt"]).to_numpy(), base["base"].to_numpy()))
+    bases = cut.sparkSession.sparkContext.broadcast(((base["length"] * FULL_SALTS + base["salt"]).to_numpy(), base["base"].to_numpy()))
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
     names = cut.columns
 
@@ -253,7 +254,7 @@ def packed_pieces(cut: DataFrame, *, capacity: int = CAPACITY, order=("doc_id",
         for batch in batches:
             length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "rank"))
             keys, first = bases.value
-            sequence, offset = slots.value.find(length, rank + first[np.searchsorted(keys, length * SALTS + salt)])
+            sequence, offset = slots.value.find(length, rank + first[np.searchsorted(keys, length * FULL_SALTS + salt)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, c in enumerate(names) if c != "salt"), pa.array(sequence), pa.array(offset)], names=[*(c for c in names if c != "salt"), "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name != "salt")
@@ -276,6 +277,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, capacity: int = CAPAC
 
 
 def op4_packing(spark, sf_dir):
+    """A row for each piece of each document, with its place (see pack for nulls, empty texts and repeats)."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
