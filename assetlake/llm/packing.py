@@ -12,6 +12,7 @@ placing every piece one by one.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -32,6 +33,9 @@ SALTS, FULL_SALTS = 64, 1 << 14  # groups in which pieces of one length are rank
 CACHED_WORDS, CACHED_CORES = 150_000, 300_000  # kept from slice to slice, about; a worker lives on after its task, and so does what it keeps
 ENCODED = 8192  # words that are tokenized at once
 MARKS = ".,!#*$%&"
+#: Normalizers and split of a tokenizer whose words, and whose letters and the marks after them, can be tokenized apart.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class RoomTree:
@@ -158,17 +162,22 @@ class Slots:
 
 
 class TokenIds:
-    """Token ids of texts by a tokenizer that drops white space; ids of a word are kept once found."""
+    """Token ids of texts; by a tokenizer of the form of NORMALIZERS and SPLIT word by word, ids of a word being kept once found, else by whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        normalizer, split = form["normalizer"] or {}, ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.divisible = [x["type"] for x in normalizer.get("normalizers", [])] == NORMALIZERS and split.get("pattern") == {"Regex": SPLIT} and split.get("invert") is True and split.get("behavior") == "Removed"
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str], end: int = END_ID) -> list[np.ndarray]:
+        if not self.divisible:
+            return [np.array([*e.ids, end], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         # No token spans white space, so a text's ids are its words' ids in a row.
         known, split = self.known, [text.split(" ") for text in texts]
         every = set().union(*split)

@@ -103,6 +103,17 @@ def test_packing_covers_every_id(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_tokenizers_of_another_form_get_whole_texts():
+    import public_tokenizers
+
+    said = ["It's  two\n\nlines, \u00c9T\u00c9 12,345!", "", PROSE]
+    for name, divisible in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        own, plain = packing.TokenIds(path), Tokenizer.from_file(path)
+        assert own.divisible is divisible
+        assert [x.tolist() for x in own(said)] == [[*plain.encode(s, add_special_tokens=False).ids, packing.END_ID] for s in said]
+
+
 def test_binary_output_round_trip(docs, empty, tmp_path):
     made = token_output.token_sequences(docs, capacity=64, block_tokens=500)
     sequences = token_output.write_sequences(made, str(tmp_path / "matrices"))
