@@ -132,7 +132,9 @@ ORACLES: dict[str, str] = {
       SELECT asset_id, count(*) AS frames, bool_and(same AND (asset_id != 3 OR frame_no > 0) AND (asset_id != 7 OR frame_no != 2) AND (asset_id != 6 OR frame_no != 1) AND (asset_id != 8 OR frame_no != 1)) AS same FROM f GROUP BY asset_id""",
     "read_status": _ASSETS + "SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'vanished!' WHEN doc_id % 5 = 0 THEN 'read error' END AS io FROM assets",
     "written_status": _ASSETS + "SELECT path, CASE WHEN length % 4 = 0 AND length > 0 THEN 'write error' ELSE 'ok' END AS status, length AS before, CASE WHEN length % 4 = 0 THEN length ELSE length // 2 END AS after FROM sniffed",
-    "asset_report": _ASSETS + "SELECT kind, status, count(*) AS assets, cast(sum(length) AS bigint) AS bytes, cast(sum(length) AS bigint) AS bytes_after FROM classified GROUP BY ALL",
+    "asset_report": _ASSETS + ", " + _FILES.removeprefix("WITH ") + """SELECT kind, status, count(*) AS assets, cast(sum(before) AS bigint) AS bytes, cast(sum(after) AS bigint) AS bytes_after FROM (
+      SELECT kind, status, length AS before, length AS after FROM classified
+      UNION ALL SELECT kind, CASE WHEN kind = 'jpeg' THEN 'skipped' ELSE 'ok' END, before, CASE WHEN kind = 'jpeg' THEN before ELSE after END FROM runs) GROUP BY ALL""",
     "optimize_assets": _FILES + """SELECT folder || '/' || (page_id % 7)::varchar || '/' || page_id::varchar || ending AS path, kind, 'ok' AS status, before, after FROM runs""",
     "optimized": _FILES + """SELECT folder || '/' || (page_id % 7)::varchar || '/' || page_id::varchar || ending AS path, kind, before, after, lower(content) AS content FROM runs WHERE kind != 'png'""",
     "incremental_files": _FILES + """SELECT folder || '/' || (page_id % 7)::varchar || '/' || page_id::varchar || ending AS path, kind, 'ok' AS status, before, after FROM runs""",

@@ -404,7 +404,9 @@ def payload_crc(spark, d):
 
 @query
 def asset_report(spark, d):
-    rows = rewritten(assets(spark, d), LIMITED)
+    """By kind and status: assets, and their bytes before and after; damaged files, and whole ones that can be made smaller."""
+    whole = image_files(spark, d).withColumn("length", F.length("content").cast("long"))
+    rows = rewritten(assets(spark, d).select("path", "content", "length").unionByName(whole), LIMITED)
     return rows.groupBy("kind", "status").agg(F.count("*").alias("assets"), F.sum("before").alias("bytes"), F.sum("after").alias("bytes_after"))
 
 
