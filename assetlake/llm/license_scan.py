@@ -134,7 +134,6 @@ def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, threshold: float = TH
         own = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
         distinct = [np.unique(x, return_counts=True) for x in own]
         every = np.unique(hashes)
-        # A word that the fewest templates have gives a quick reason not to look further.
         return own, distinct, every
 
     def compute(data, offsets, batch):
