@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,6 +75,13 @@ def png_chunks(raw: bytes) -> list[tuple[bytes, bytes]]:
     return found
 
 
+@lru_cache(maxsize=1)
+def _taken_apart(raw: bytes) -> tuple[list[tuple[bytes, bytes]], list[tuple[bytes, bytes]], bytes]:
+    """Chunks of a PNG, and what _image makes of them; kept for the settings that are tried on it in turn."""
+    chunks = png_chunks(raw)
+    return chunks, *_image(chunks)
+
+
 def _image(chunks: list[tuple[bytes, bytes]]) -> tuple[list[tuple[bytes, bytes]], bytes]:
     """What has to stay equal: the other chunks, and the image's bytes before compression."""
     rest = [c for c in chunks if c[0] != b"IDAT" and c[0] not in PNG_METADATA]
@@ -82,33 +90,37 @@ def _image(chunks: list[tuple[bytes, bytes]]) -> tuple[list[tuple[bytes, bytes]]
 
 def png_codec(raw: bytes, setting: int) -> bytes:
     """A PNG with its image data compressed anew and without metadata chunks; the image's bytes are the same."""
-    chunks = png_chunks(raw)
-    rest, image = _image(chunks)
+    chunks, rest, image = _taken_apart(raw)
     before = [n for n, _ in chunks if n not in PNG_METADATA].index(b"IDAT")
     made = [*rest[:before], (b"IDAT", _deflated(image, setting)), *rest[before:]]
     return bytes.fromhex(PNG_MAGIC) + b"".join(len(d).to_bytes(4) + n + d + zlib.crc32(n + d).to_bytes(4) for n, d in made)
 
 
 def same_png(one: bytes, other: bytes) -> bool:
-    return _image(png_chunks(one)) == _image(png_chunks(other))
+    return _taken_apart(one)[1:] == _image(png_chunks(other))
 
 
 def deflate_codec(content: bytes, setting: int) -> bytes:
     return _deflated(content, setting)
 
 
-def smallest(raw: bytes, settings: int, encode: Callable[[bytes, int], bytes], same: Callable[[bytes, bytes], bool]) -> tuple[int | None, bytes | None, int]:
-    """(setting, encoding, failed) of the smallest encoding that is smaller than raw and stands for it; None and None without one."""
+def smallest(raw: bytes, settings: int, encode: Callable[[bytes, int], bytes], same: Callable[[bytes, bytes], bool], *, check_all: bool = False) -> tuple[int | None, bytes | None, int]:
+    """(setting, encoding, failed) of the smallest encoding that is smaller than raw and stands for it; None and None without one.
+
+    failed: settings that raised an error or made something that ``same`` rejects; of those that would not have
+    won anyway only if all are to be checked.
+    """
     setting, best, failed = None, None, 0
     for s in range(settings):
         try:
             made = encode(raw, s)
-            if not same(raw, made):
+            wins = len(made) < len(raw if best is None else best)
+            if (wins or check_all) and not same(raw, made):
                 made = None
         except Exception:  # a codec may fail in any way; the content then stays as it is
             made = None
         failed += made is None
-        if made is not None and len(made) < len(raw if best is None else best):
+        if made is not None and wins:
             setting, best = s, made
     return setting, best, failed
 
@@ -142,7 +154,7 @@ def recompress(
                 if raw is None:
                     rows.append((None,) * 5)
                     continue
-                setting, made, failed = smallest(raw, min(settings, rounds(len(raw)) if rounds else settings), encode, same)
+                setting, made, failed = smallest(raw, min(settings, rounds(len(raw)) if rounds else settings), encode, same, check_all=True)
                 rows.append((len(raw), len(raw) if made is None else len(made), setting, failed, made))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[*names, *(f.name for f in new)])
 

@@ -47,7 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, w, h, path, content, length)."""
     made = spark.sql(_ASSETS.format(**_SPARK).replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
-    return made.withColumn("content", F.unhex("chex")).withColumn("length", F.length("content").cast("long")).drop("chex")
+    # A generator's column is made once, however often it is used later.
+    return made.select("*", F.explode(F.array(F.unhex("chex"))).alias("content")).withColumn("length", F.length("content").cast("long")).drop("chex")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +92,8 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     Kept are the URL in an application segment of the JPEG and in a private chunk of the PNG, and a colour table of the GIF.
     """
     pages = table(spark, sf_dir, "pages").filter("html IS NOT NULL AND html != ''")
+    # Encoding costs far more than its input's size tells, so a small table is dealt over all cores.
+    pages = pages.select("page_id", "url", "html").repartition(spark.sparkContext.defaultParallelism, "page_id")
     rows = pages.select("page_id", F.hex(F.col("html").cast("binary")).alias("body"), F.hex(F.coalesce("url", F.lit("")).cast("binary")).alias("url"))
 
     def sized(hex_text, digits: int, more: int = 0):
@@ -114,8 +117,8 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     png = F.concat(
         F.lit("89504E470D0A1A0A"), chunk("IHDR", F.lit("0000002000000020" + "0800000000")), chunk("prVt", url), chunk("tEXt", body), chunk("IDAT", F.lit(_STORED)), chunk("IEND", F.lit("")),
     )
-    every = rows.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("hex")) for k, c in (("jpg", jpeg), ("gif", gif), ("PNG", png))))).alias("file"))
+    every = rows.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.unhex(c).alias("content")) for k, c in (("jpg", jpeg), ("gif", gif), ("PNG", png))))).alias("file"))
     folders = F.when(F.col("page_id") % 10 == 0, F.array(F.lit("pages"), F.lit("copies/of/pages"))).otherwise(F.array(F.lit("pages")))
     each = every.select("page_id", "file.*", F.explode(folders).alias("folder"))
     path = F.concat(F.col("folder"), F.lit("/"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit("."), F.col("kind"))
-    return each.select(path.alias("path"), F.unhex("hex").alias("content"))
+    return each.select(path.alias("path"), "content")

@@ -451,5 +451,5 @@ def incremental_files(spark, d):
     rows = image_files(spark, d)
     for part in (0, 1):
         files.write_files(rows.filter(F.pmod(F.crc32("path"), F.lit(2)) == part), folder)
-        done = run_incrementally(spark, stream_assets(spark, folder), out, checkpoint)
+        done = run_incrementally(spark, stream_assets(spark, folder, files_per_batch=100_000), out, checkpoint)
     return done.select(F.element_at(F.split("path", "-arrived/"), -1).alias("path"), "kind", "status", "before", "after")
