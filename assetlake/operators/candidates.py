@@ -76,10 +76,20 @@ def png_chunks(raw: bytes) -> list[tuple[bytes, bytes]]:
 
 
 @lru_cache(maxsize=1)
+def _read_once(raw: bytes) -> tuple | Exception:
+    try:
+        chunks = png_chunks(raw)
+        return chunks, *_image(chunks)
+    except (ValueError, zlib.error) as wrong:
+        return wrong
+
+
 def _taken_apart(raw: bytes) -> tuple[list[tuple[bytes, bytes]], list[tuple[bytes, bytes]], bytes]:
-    """Chunks of a PNG, and what _image makes of them; kept for the settings that are tried on it in turn."""
-    chunks = png_chunks(raw)
-    return chunks, *_image(chunks)
+    """Chunks of a PNG, and what _image makes of them, or its error; kept for the settings that are tried on it in turn."""
+    found = _read_once(raw)
+    if isinstance(found, Exception):
+        raise found
+    return found
 
 
 def _image(chunks: list[tuple[bytes, bytes]]) -> tuple[list[tuple[bytes, bytes]], bytes]:
