@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Arrow's own allocator keeps what it has freed; what comes from the C library's can be given back (see settle).
+pa.set_memory_pool(pa.system_memory_pool())
+
 BLOCK_BYTES = 1 << 20
 START, END = 0xFE, 0xFF  # never part of UTF-8
 
