@@ -156,8 +156,8 @@ class Aligner:
         self.blank = self.other.piece_to_id(BLANK)
         self.known: dict[str, int] = {}
         self.ids = [Strings(np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in range(2)]  # of both sides, by the known words' numbers
-        rule = json.loads(self.one.to_str()).get("pre_tokenizer") or {}
-        own_rule = json.loads(self.one.to_str()).get("normalizer") is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
+        rule = json.loads(self.one.pre_tokenizer.__getstate__()) if self.one.pre_tokenizer else {}
+        own_rule = self.one.normalizer is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
         self.divisible = bool(own_rule) and not any(BLANK in p.lstrip(BLANK) for p in pieces)
 
     def words(self, text: str) -> list[str]:

@@ -169,8 +169,8 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        form = json.loads(self.tokenizer.to_str())
-        normalizer, split = form["normalizer"] or {}, ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        normalizer, rule = (json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        split = (rule.get("pretokenizers") or [{}])[0]
         self.divisible = [x["type"] for x in normalizer.get("normalizers", [])] == NORMALIZERS and split.get("pattern") == {"Regex": SPLIT} and split.get("invert") is True and split.get("behavior") == "Removed"
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
