@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import blocks, text_buffers
-from .packing import CAPACITY, Slots, default_tokenizer, plan, texts, token_ids
+from .packing import CAPACITY, Slots, default_tokenizer, plan, token_ids
 from .scratch import Scratch
 
 BLOCK_TOKENS = 4 << 20
@@ -80,7 +80,7 @@ def token_sequences(docs: DataFrame, tokenizer: str | None = None, *, capacity:
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        encode, number = token_ids(path), TaskContext.get().partitionId() << 40
+        encode, number = token_ids(path).of, TaskContext.get().partitionId() << 40
         ids, owners, held = [], [], 0
 
         def flush():
@@ -93,7 +93,8 @@ def token_sequences(docs: DataFrame, tokenizer: str | None = None, *, capacity:
             data, offsets = text_buffers(batch.column(1))
             names = batch.column(0).to_pylist()
             for low, high in blocks(offsets):
-                found = encode(list(texts(data, offsets[low : high + 1])))
+                at = offsets[low : high + 1]
+                found = encode(data[at[0] : at[-1]], at - at[0])
                 ids += found
                 owners += names[low:high]
                 held += sum(map(len, found))
