@@ -52,12 +52,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, limit: int = CHUNK_BYTE
         yield number, pa.Table.from_batches(held)
 
 
-def listed_keys(docs: DataFrame, keys) -> DataFrame:
-    """(chunk, key, n): keys(rows of a chunk) gives the distinct keys and their counts. docs must have a column text."""
+def listed_keys(docs: DataFrame, keys, before=None) -> DataFrame:
+    """(chunk, key, n): keys(rows of a chunk) gives the distinct keys and their counts. docs must have a column text; before adds columns to a task's batches."""
     text = docs.columns.index("text")
 
     def run(batches):
-        for chunk, rows in chunks(batches, text):
+        for chunk, rows in chunks(before(batches) if before else batches, text):
             found, n = keys(rows)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), pa.array(found.astype(np.int64)), pa.array(n)], names=["chunk", "key", "n"])
         settle()

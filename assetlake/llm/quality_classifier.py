@@ -1,6 +1,7 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model over byte 5-grams.
 
-The model is trained on trusted texts: a bounded sample of rows labelled good, drawn by language. Its counts are made
+The model is trained on trusted texts: all rows labelled good but a fifth, which sets the thresholds. Which rows
+train is found by a join of ids alone and goes to the scan's tasks as one bit a row. Counts are made
 and joined in shards: each distinct 5-gram of the corpus gets its log-probability in a shard that
 holds all n-grams with the same end of context, and goes back to the chunks of documents that have
 it (see lookups). A text's perplexity is that of its bytes and its end. A text is kept if it is not
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +21,17 @@ from .kneser_ney import ORDER, Level, SYMBOLS, continuations, count_of_counts, d
 from .lookups import found_at, listed_keys, score_chunks, suffix_groups
 from .scratch import veiled, written
 
-SAMPLE_DOCS = 16_000  # trusted rows that train, about
 QUANTILE, ACCURACY = 0.995, 100_000  # the quantile's rank is right to one in ACCURACY
 PRIOR = 25  # rows that the threshold of all languages counts for beside a language's own
 
 
-def _gram_keys(trained: np.ndarray):
+def _listed(docs: DataFrame, learns: dict[int, tuple[int, bytes]]) -> DataFrame:
+    """(chunk, key, n) of docs(text): of each chunk its distinct 5-grams, and how often the rows that learn have each."""
+    shared = docs.sparkSession.sparkContext.broadcast(learns)
+
     def keys(rows: pa.Table):
         data, offsets = text_buffers(rows.column("text"))
-        ids = rows.column("doc_id").combine_chunks()
-        use = np.isin(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), trained) & ~ids.is_null().to_numpy(zero_copy_only=False)
+        use = rows.column("learns").to_numpy()
         parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for low, high in blocks(offsets, 2 << 20):
             at = offsets[low : high + 1]
@@ -39,7 +41,39 @@ def _gram_keys(trained: np.ndarray):
             parts += [(every, np.zeros(len(every), np.int64)), (k, n)]
         return sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
-    return keys
+    def marked(batches):
+        n, bits = shared.value.get(TaskContext.get().partitionId(), (0, b""))
+        use, at = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool), 0
+        for batch in batches:
+            own = use[at : at + batch.num_rows]
+            at += batch.num_rows
+            if len(own) == batch.num_rows:
+                yield batch.append_column("learns", pa.array(own))
+        if at != n:
+            raise ValueError("the table was dealt out otherwise than before; store it first")
+
+    return listed_keys(docs, keys, before=marked)
+
+
+def _learning(docs: DataFrame, learned: DataFrame) -> dict[int, tuple[int, bytes]]:
+    """Of each scan task of docs(doc_id) its number of rows, and a bit for each: whether learned(doc_id) has it."""
+
+    def places(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), batch.column(0)], names=["part", "at", "doc_id"])
+            at += n
+
+    def bits(rows: pa.Table) -> pa.Table:
+        use = np.zeros(rows.num_rows, bool)
+        use[rows.column("at").to_numpy()] = rows.column("learns").to_numpy()
+        return pa.table({"part": rows.column("part")[:1].cast(pa.int32()), "n": pa.array([len(use)], pa.int64()), "bits": pa.array([np.packbits(use).tobytes()], pa.binary())})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = docs.mapInArrow(places, f"part int, at long, doc_id {kind}").join(learned.withColumn("learns", F.lit(True)), "doc_id", "left")
+    rows = placed.select("part", "at", F.coalesce("learns", F.lit(False)).alias("learns")).groupBy("part").applyInArrow(bits, "part int, n long, bits binary")
+    return {r.part: (r.n, bytes(r.bits)) for r in rows.toLocalIterator()}
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -125,20 +159,22 @@ def _by_lang(df: DataFrame, table: DataFrame) -> DataFrame:
     return df.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
 
 
+_HELD = "pmod(xxhash64(doc_id, 5), 5) = 0"  # trusted rows that never train
+
+
 def _trained(docs: DataFrame, trusted: DataFrame, sample_docs: int) -> np.ndarray:
     """doc_ids that train: about ``sample_docs`` at most, drawn by a hash within each language, none of a fifth of all."""
-    able = docs.select("doc_id", "lang").join(trusted.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) != 0), "doc_id").distinct()
+    able = docs.select("doc_id", "lang").join(trusted.filter(f"NOT {_HELD}"), "doc_id").distinct()
     drawn = _by_lang(able, _shares(able.groupBy("lang").count(), sample_docs)).filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_003)) < F.col("share") * 1_000_003)
     return np.array(sorted({r["doc_id"] for r in drawn.select("doc_id").collect()}), np.int64)  # bounded
 
 
-def _thresholds(scored: DataFrame, trusted: DataFrame, train: np.ndarray, quantile: float) -> DataFrame:
-    """scored(doc_id, lang, perplexity, ...) with its language's threshold, set by trusted rows that did not train.
+def _thresholds(scored: DataFrame, held: DataFrame, quantile: float) -> DataFrame:
+    """scored(doc_id, lang, perplexity, ...) with its language's threshold, set by the rows of held(doc_id): trusted ones that did not train.
 
     The logarithm of a language's own quantile and that of all languages' are averaged, weighted by its n rows and by PRIOR.
     """
-    learned = scored.sparkSession.createDataFrame([(int(i),) for i in train], "doc_id long")
-    held = scored.join(trusted.join(F.broadcast(learned), "doc_id", "left_anti"), "doc_id", "left_semi")
+    held = scored.join(held, "doc_id", "left_semi")
     cut = F.percentile_approx("perplexity", quantile, ACCURACY)
     every = held.agg(cut).first()[0]
     if every is None:
@@ -149,12 +185,12 @@ def _thresholds(scored: DataFrame, trusted: DataFrame, train: np.ndarray, quanti
     return _by_lang(scored, by).withColumn("threshold", F.coalesce("threshold", F.lit(every)))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, quantile: float = QUANTILE, carry=None) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, *, sample_docs: int | None = None, quantile: float = QUANTILE, carry=None) -> DataFrame:
     """docs (or its columns in carry) with perplexity, threshold and keep.
 
     docs(doc_id, text, lang, ...) must be a stored table; labels(doc_id, quality): rows with
-    quality 1 are trusted. A fifth of them, by a hash of doc_id, never train; of the others about
-    ``sample_docs`` at most do, as many of each language as it has up to an equal part. All that did
+    quality 1 are trusted. A fifth of them, by a hash of doc_id, never train; all others do, unless a caller
+    wants fewer: then about ``sample_docs`` at most, as many of each language as it has up to an equal part. All that did
     not train set the thresholds: of each language the ``quantile`` of their perplexities, drawn
     towards that of all languages as if by PRIOR rows more; null is a language, and one without such rows has that of
     all. keep: the text is not empty and its perplexity is within the
@@ -164,14 +200,19 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, *, sample_docs: int =
     new = ("perplexity", "threshold", "keep")
     docs = docs.drop(*new, "_lang")
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    train = _trained(docs, trusted, sample_docs)
-    listed = written(listed_keys(docs.select("doc_id", "text"), _gram_keys(train)), "keys")
+    if sample_docs is None:
+        learned, held = trusted.filter(f"NOT {_HELD}"), trusted.filter(_HELD)
+    else:
+        learned = docs.sparkSession.createDataFrame([(int(i),) for i in _trained(docs, trusted, sample_docs)], "doc_id long")
+        held = trusted.join(learned, "doc_id", "left_anti")
+    learns = _learning(docs.select("doc_id"), learned)
+    listed = written(_listed(docs.select("text"), learns), "keys")
     costs = gram_costs(listed)
     names = docs.columns if carry is None else list(carry)
     inputs = docs.select(*dict.fromkeys([*names, "doc_id", "text", "lang"]))
     scored = perplexities(inputs, listed, costs).withColumn("some", F.coalesce(F.octet_length("text") > 0, F.lit(False)))
     scored = written(scored.select(*dict.fromkeys([*names, "doc_id", "lang"]), "some", "perplexity"), "scored")
-    out = _thresholds(scored, trusted, train, quantile) if len(train) else scored.withColumn("threshold", F.lit(None).cast("double"))
+    out = _thresholds(scored, held, quantile) if any(any(bits) for _, bits in learns.values()) else scored.withColumn("threshold", F.lit(None).cast("double"))
     out = out.withColumn("keep", F.col("some") & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
     return out.select(*names, *new)
 
