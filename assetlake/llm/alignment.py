@@ -36,7 +36,7 @@ from .scratch import written
 
 PART = 1 << 16  # words after which a long text is cut
 BATCH = 1 << 20  # characters that are aligned at once
-KEPT = 200_000  # words whose ids are kept from slice to slice, about
+KEPT = 600_000  # words whose ids are kept from slice to slice, about
 ENCODED = 8192  # words that are tokenized at once
 #: Between a character that is no white space and a blank. U+001C to U+001F are none, unlike in Python.
 _CUT = re.compile("(?<=[\\S\x1c-\x1f])(?= )")
@@ -182,13 +182,32 @@ class Aligner:
             numbers = np.array([known[w] for w in kept], np.int64)
             self.ids = [x.only(numbers) for x in self.ids]
             self.known = known = {w: i for i, w in enumerate(kept)}
+        made: tuple[list, list] = [], []
         for low in range(0, len(fresh), ENCODED):
             some = fresh[low : low + ENCODED]
-            a = [e.ids for e in self.one.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
+            made[0].extend(self.first_ids(some))
             # Of an empty word, which follows a last blank, only that blank is left.
-            b = [x if w else [self.blank] for w, x in zip(some, self.other.encode(some, num_threads=1))]
-            self.ids = [x.more(made) for x, made in zip(self.ids, (a, b))]
-            known.update(zip(some, range(len(known), len(known) + len(some))))
+            made[1].extend(x if w else [self.blank] for w, x in zip(some, self.other.encode(some, num_threads=1)))
+        if fresh:
+            self.ids = [x.more(new) for x, new in zip(self.ids, made)]
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+
+    def first_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids by the first tokenizer of each word with a blank before it: words without white space in one text, which is cut where they end."""
+        if self.divisible and (solid := [w for w in words if w.split() == [w]]):
+            ids = self.one.encode(" " + " ".join(solid), add_special_tokens=False).ids
+            ends, wanted = np.cumsum(self.bytes_a.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in solid])
+            at = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
+            if np.array_equal(ends[at], wanted) and at[-1] == len(ends) - 1:
+                cuts = [0, *(at + 1).tolist()]
+                found = {w: ids[a:b] for w, a, b in zip(solid, cuts[:-1], cuts[1:])}
+                rest = [w for w in words if w not in found]
+                found.update(zip(rest, self.whole_ids(rest)))
+                return [found[w] for w in words]
+        return self.whole_ids(words)
+
+    def whole_ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.one.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
 
     def align(self, parts: list[list[str]]) -> tuple[Aligned, np.ndarray]:
         """(aligned, good): parts, each as its words with a blank before each; those whose tokens are not these bytes on both sides are not good and have no tokens."""

@@ -42,17 +42,18 @@ class _SizeClass:
 
     def __init__(self, members: list[int], sets: list[np.ndarray], hashes: int):
         self.half = max(1, (max(len(sets[i]) for i in members) + 1) // 2)
+        self.bits = min(_BITS, len(members).bit_length() + 7)  # tables of 128 places an item or more; each class and hash function has one
         self.tables = []
         for k in range(hashes):
             minima = np.array([(sets[i] * _MINIMA[k]).min() for i in members], np.uint64)
             order = np.argsort(minima, kind="stable")
-            seen = np.zeros(1 << _BITS, bool)
-            seen[_slot(minima)] = True
+            seen = np.zeros(1 << self.bits, bool)
+            seen[_slot(minima, self.bits)] = True
             self.tables.append((minima[order], np.array(members)[order], seen))
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
-    return ((x * _SPREAD) >> np.uint64(64 - _BITS)).astype(np.int64)
+def _slot(x: np.ndarray, bits: int) -> np.ndarray:
+    return ((x * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _item_sets(column) -> list[np.ndarray]:
@@ -116,7 +117,8 @@ def candidates(found: np.ndarray, text: np.ndarray, classes: list[_SizeClass]) -
             for step in (1, 2):
                 np.minimum(window[:-step], lows[step:], out=window[:-step], where=same[step - 1])
             minima, items, seen = c.tables[k]
-            for w in np.flatnonzero(seen[_slot(window)]):
+            some = np.flatnonzero(seen[_slot(window, c.bits)])
+            for w in some[positions_in(minima, window[some]) >= 0]:
                 a, b = np.searchsorted(minima, window[w], "left"), np.searchsorted(minima, window[w], "right")
                 pairs.update((int(owner[w]), int(i)) for i in items[a:b])
     return pairs

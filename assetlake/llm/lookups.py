@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .grams import settle
 
 CHUNK_BYTES = 24 << 20
-GROUP_KEYS = 2_000_000  # distinct n-grams that one task holds, on average
+GROUP_KEYS = 1_000_000  # distinct n-grams that one task holds, on average
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Table]]:

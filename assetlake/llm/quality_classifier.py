@@ -25,6 +25,17 @@ QUANTILE, ACCURACY = 0.995, 100_000  # the quantile's rank is right to one in AC
 PRIOR = 25  # rows that the threshold of all languages counts for beside a language's own
 
 
+def _sum(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    return sum_by(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _merged(parts: list) -> list:
+    """parts, the last ones added up as long as they are not smaller than those before them: what is held stays near the distinct keys."""
+    while len(parts) > 1 and len(parts[-1][0]) >= len(parts[-2][0]):
+        parts[-2:] = [_sum(parts[-2:])]
+    return parts
+
+
 def _listed(docs: DataFrame, learns: dict[int, tuple[int, bytes]]) -> DataFrame:
     """(chunk, key, n) of docs(text): of each chunk its distinct 5-grams, and how often the rows that learn have each."""
     shared = docs.sparkSession.sparkContext.broadcast(learns)
@@ -33,13 +44,15 @@ def _listed(docs: DataFrame, learns: dict[int, tuple[int, bytes]]) -> DataFrame:
         data, offsets = text_buffers(rows.column("text"))
         use = rows.column("learns").to_numpy()
         parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        for low, high in blocks(offsets, 2 << 20):
+        for low, high in blocks(offsets):
             at = offsets[low : high + 1]
             codes, learned = byte_codes(data[at[0] : at[-1]], at - at[0], ORDER), np.repeat(use[low:high], np.diff(at) + 1)
+            k, times = tally(codes[learned])
             every = tally(codes)[0]
-            k, n = tally(codes[learned])
-            parts += [(every, np.zeros(len(every), np.int64)), (k, n)]
-        return sum_by(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            n = np.zeros(len(every), np.int64)
+            n[np.searchsorted(every, k)] = times
+            parts = _merged([*parts, (every, n)])
+        return _sum(parts)
 
     def marked(batches):
         n, bits = shared.value.get(TaskContext.get().partitionId(), (0, b""))
