@@ -119,6 +119,40 @@ def test_a_kill_around_the_commit_leaves_each_asset_once(spark, tmp_path, monkey
     assert rows.count() == 6  # what had been committed was not done again
 
 
+def test_small_batches_leave_no_core_idle_and_stay_few(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for i in range(10):
+        (src / f"{i}.png").write_bytes(png_file(1000 + i))
+    outcomes, _ = X.optimize_assets(spark, [str(src)], out, part_cost=60_000, batch_parts=1)  # a file a part
+    assert outcomes.filter("status = 'ok' AND after < before").count() == 10 and X.optimized(spark, out).count() == 10
+    rows = Versions(spark, out).read("outcomes", X.OUTCOMES)
+    assert {r.version: r["count"] for r in rows.groupBy("version").count().collect()} == {1: 4, 2: 4, 3: 2}
+    for parts, least, most in ((1, 1, 1), (30, 6, 5), (1800, 6, 25), (5, 2000, 1)):
+        made = list(X.batches(parts, least))
+        assert [first for first, _ in made] == [0, *(last for _, last in made[:-1])] and made[-1][1] == parts and len(made) <= most
+        assert all(last - first <= max(least, first / 4) for first, last in made)
+
+
+def test_files_that_are_stripped_only_cost_their_length(spark):
+    rows = spark.createDataFrame([("a.jpg", 10), ("b.GIF", 10), ("c.PNG", 10), ("d.png", 200_000), ("e.png", None)], "path string, length long")
+    costs = lambda *of: [r[0] for r in rows.select(X.cost(*of)).collect()]
+    assert costs(K.Settings()) == [10, 10, 600, 4_000_000, 0]
+    assert costs(K.Settings(rounds=0)) == costs(K.Settings(preserve_meta=True)) == costs(K.Settings(), {}) == [10, 10, 10, 200_000, 0]
+
+
+def test_versions_are_read_by_one_scan(spark, tmp_path):
+    versions = Versions(spark, f"{tmp_path}/runs/x/rows/")
+    for n, label in ((1, None), (2, "stream-7"), (3, None)):
+        run = versions.begin(label)
+        run.write(spark.range(n), "rows")
+        run.commit()
+    rows = Versions(spark, f"{tmp_path}/runs/x/rows").read("rows", "id long")
+    assert sorted(map(tuple, rows.collect())) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1 and versions.has("stream-7") and not versions.has("stream-8")
+    assert versions.read("none", "id long").count() == 0
+
+
 def test_unfinished_paths_are_exported_and_taken_up_again(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
