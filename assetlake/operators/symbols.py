@@ -205,7 +205,10 @@ def running_offset(rows: DataFrame, by: str, order: list[str], length: Column, *
 
 
 def explode_symbols(payloads: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, pos, sym): the bytes of each payload by position, from 0; made where the payload is, CHUNK of them at a time. Null payloads are left out."""
+    """(key, pos, sym): the bytes of each payload by position, from 0; made where the payload is, CHUNK of them at a time. Null payloads are left out.
+
+    For what has to join or group single bytes: each costs a row, so runs of them are payload_runs' work, not value_runs' over these rows.
+    """
     kind = payloads.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -221,22 +224,46 @@ def explode_symbols(payloads: DataFrame, key: str, content: str) -> DataFrame:
     return blobs.mapInArrow(run, f"{key} {kind}, pos long, sym int")
 
 
-def payload_runs(payloads: DataFrame, key: str, content: str, min_zero: int = 5, min_other: int = 7) -> DataFrame:
-    """(key, sym, run_no, first, n, good): value_runs over the bytes of each payload, without a shuffle and without a row for each byte."""
+def byte_runs(raw: np.ndarray, chunk: int):
+    """(first, n) of the maximal runs of equal bytes, in order; as arrays of those that end in each ``chunk`` bytes."""
+    begun = 0  # the run that has not ended
+    for low in range(0, len(raw), chunk):
+        at, high = max(low, 1), min(len(raw), low + chunk)
+        turns = np.flatnonzero(raw[at:high] != raw[at - 1 : high - 1]) + at
+        ends = turns if high < len(raw) else np.append(turns, high)
+        first = np.append(begun, turns)[: len(ends)]
+        yield first, ends - first
+        begun = turns[-1] if len(turns) else begun
+
+
+def payload_runs(payloads: DataFrame, key: str, content: str, min_zero: int = 5, min_other: int = 7, *, good_only: bool = False) -> DataFrame:
+    """(key, sym, run_no, first, n, good): value_runs over the bytes of each payload, without a shuffle and without a row for each byte.
+
+    good_only: runs that are not good are counted in run_no, but no rows are made of them.
+    """
     kind = payloads.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
+            held, rows = [], 0
+
+            def record():
+                of, *columns = (pa.array(np.concatenate(c)) for c in zip(*held))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(of), *columns], names=[key, "sym", "run_no", "first", "n", "good"])
+
             for i, blob in enumerate(batch.column(1)):
-                raw = np.frombuffer(blob.as_buffer(), np.uint8)
-                first = np.flatnonzero(np.concatenate([[True], raw[1:] != raw[:-1]])) if len(raw) else np.zeros(0, np.int64)
-                n, sym = np.diff(np.append(first, len(raw))), raw[first].astype(np.int32)
-                good = (n >= min_zero) & ((sym == 0) | (n >= min_other))
-                for low in range(0, len(first), CHUNK):
-                    at = slice(low, low + CHUNK)
-                    keys = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(first[at]), np.int32)), batch.column(0).slice(i, 1)).dictionary_decode()
-                    numbers = np.arange(low, low + len(first[at])) + 1
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(sym[at]), pa.array(numbers), pa.array(first[at]), pa.array(n[at]), pa.array(good[at])], names=[key, "sym", "run_no", "first", "n", "good"])
+                raw, number = np.frombuffer(blob.as_buffer(), np.uint8), 0
+                for first, n in byte_runs(raw, CHUNK):
+                    sym, numbers = raw[first].astype(np.int32), np.arange(number, number + len(first)) + 1
+                    good = (n >= min_zero) & ((sym == 0) | (n >= min_other))
+                    kept = np.flatnonzero(good) if good_only else slice(None)
+                    held.append([c[kept] for c in (np.full(len(first), i), sym, numbers, first, n, good)])
+                    number, rows = number + len(first), rows + len(held[-1][0])
+                    if rows >= CHUNK:
+                        yield record()
+                        held, rows = [], 0
+            if rows:
+                yield record()
 
     blobs = payloads.select(key, F.col(content).cast("binary").alias("content")).filter("content IS NOT NULL")
     return blobs.mapInArrow(run, f"{key} {kind}, sym int, run_no long, first long, n long, good boolean")

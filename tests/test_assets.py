@@ -1,5 +1,6 @@
 import random
 import time
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from assetlake.operators import segments as G
 from assetlake.operators import symbols as S
 from assetlake.operators.candidates import best_candidate, dedup_compute, recompress
 from assetlake.operators.reports import sort_paths
+from assetlake.plans.queries import QUERIES
 from assetlake.sources import files
 
 
@@ -233,6 +235,22 @@ def test_symbols_by_position_and_their_runs(spark, monkeypatch):
     assert {(r[1], r[4]) for r in one if r[5]} == {(0, 9), (0, 5), (9, 8)}
 
 
+def test_runs_of_bytes_make_no_row_for_each_byte(spark, monkeypatch):
+    plan = QUERIES["symbol_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    monkeypatch.setattr(S, "CHUNK", 5)
+    rng = random.Random(1)
+    blobs = [bytes(rng.choices((0, 1, 2), (8, 2, 1), k=rng.randrange(60))) for _ in range(40)] + [bytes(23), b"\x01" * 5, b"\x01" * 6, b"\x00"]
+    df = spark.createDataFrame([(str(k), bytearray(b)) for k, b in enumerate(blobs)], "k string, content binary").repartition(3)
+    every = {tuple(r) for r in S.payload_runs(df, "k", "content", 2, 3).collect()}
+    assert {r for r in every if r[5]} == {tuple(r) for r in S.payload_runs(df, "k", "content", 2, 3, good_only=True).collect()}
+    for k, b in enumerate(blobs):
+        own = sorted((r[2], r[1], r[3], r[4]) for r in every if r[0] == str(k))
+        runs = [(x, len(list(g))) for x, g in groupby(b)]
+        starts = [sum(n for _, n in runs[:i]) for i in range(len(runs))]
+        assert own == [(i + 1, x, at, n) for i, ((x, n), at) in enumerate(zip(runs, starts))]
+
+
 def test_budgets_costs_and_ends(spark):
     row = spark.createDataFrame([(100, 300, 300)], "length int, width long, height long")
     assert row.select(*(c.alias(k) for k, c in K.effort_budget(0, 0).items())).first()[:] == (0, 0)
