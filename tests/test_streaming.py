@@ -1,5 +1,7 @@
 """Files as they arrive: each asset once, wherever a run is killed."""
 
+import re
+
 import pytest
 from test_optimize import JPEG, png_file
 
@@ -55,3 +57,34 @@ def test_nothing_has_arrived(spark, tmp_path):
     (tmp_path / "in").mkdir()
     source = stream_assets(spark, str(tmp_path / "in"))
     assert incremental_run(spark, source, str(tmp_path / "out"), str(tmp_path / "progress")).count() == 0
+
+
+def test_the_stream_keeps_no_path_of_a_file(spark, tmp_path):
+    src, progress = tmp_path / "in", tmp_path / "progress"
+    (src / "more").mkdir(parents=True)
+    for i in range(9):
+        (src / ("more" if i % 2 else "") / f"asset{i}.jpg").write_bytes(JPEG)
+    run = lambda: incremental_run(spark, stream_assets(spark, str(src), files_per_batch=4), str(tmp_path / "out"), str(progress))
+    assert sorted(r["count"] for r in run().groupBy("version").count().collect()) == [1, 4, 4]
+    kept = "".join(p.read_text() for p in sorted((progress / "sources" / "0").iterdir()) if not p.name.startswith("."))
+    assert "asset" not in kept and len(set(re.findall("part-[^\"]*", kept))) == 3
+    (src / "asset9.jpg").write_bytes(JPEG)
+    assert run().count() == 10 and run().count() == 10
+
+
+def test_a_kill_between_listing_and_stream_loses_no_file(spark, tmp_path):
+    src, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    src.mkdir()
+    for name in ("a.jpg", "b.jpg", "c.jpg"):
+        (src / name).write_bytes(JPEG)
+    source = stream_assets(spark, str(src), files_per_batch=2)
+    source.stream(f"{progress}/arrived", progress)  # and no more
+    (src / "a.jpg").unlink()
+    (src / "d.jpg").write_bytes(JPEG)
+    done = {r.path.rsplit("/")[-1]: r.status for r in incremental_run(spark, source, out, progress).collect()}
+    assert done == {"a.jpg": "vanished!", "b.jpg": "ok", "c.jpg": "ok", "d.jpg": "ok"}
+    with pytest.raises(FileNotFoundError):
+        incremental_run(spark, stream_assets(spark, str(tmp_path / "nowhere")), out, str(tmp_path / "other"))
+    (tmp_path / "older" / "offsets").mkdir(parents=True)
+    with pytest.raises(RuntimeError):
+        incremental_run(spark, source, out, str(tmp_path / "older"))
